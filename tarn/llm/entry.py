@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, katz, language_id, line_dedup, mixing, quality_rules, repeats
+from . import bpe, fingerprints, katz, language_id, line_dedup, mixing, neighbours, quality_rules, repeats, secrets_scan
 from .common import crc_mod, docs_of, read
 
 
@@ -38,3 +38,33 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(read(spark, sf_dir, "documents"))
+
+
+#: Where the installed package keeps public vocabularies; executors find it by the same name.
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read(spark, sf_dir, "documents"), vocabulary())
+
+
+def op9_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read(spark, sf_dir, "embeddings"))
+
+
+def op7_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.scan(read(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_katz_backoff, op3_language_id, op4_repeated_strings, op5_line_windows, op6_bpe_transducer, op7_secret_forest, op8_simhash_trie, op9_adaptive_scan, op10_source_mix, pipeline)}
+
+ORACLES = {"op5_line_windows": line_dedup.ORACLE, "op10_source_mix": mixing.ORACLE}

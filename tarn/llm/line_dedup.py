@@ -74,3 +74,17 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         F.when(F.col("kept").isNull(), 0).otherwise(F.col("n_lines") - F.size("kept")).cast("long").alias("n_removed"),
         "n_windows",
     )
+
+
+#: The same rows in DuckDB, which compares the lines themselves.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+w AS (SELECT doc_id, i, array_to_string(lines[i:i+2], chr(10)) AS w FROM d, unnest(generate_series(1, len(lines) - 2)) AS u(i)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS n FROM w WHERE regexp_matches(w, '[^\x20\x09-\x0D]')),
+c AS (SELECT doc_id, list(i) AS starts FROM r WHERE n > 1 GROUP BY doc_id),
+l AS (SELECT d.doc_id, j, lines[j] AS line, EXISTS (SELECT 1 FROM r WHERE r.n > 1 AND r.doc_id = d.doc_id AND j BETWEEN r.i AND r.i + 2) AS gone
+      FROM d, unnest(generate_series(1, len(lines))) AS u(j)),
+k AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY j) FILTER (NOT gone), '') AS text, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed FROM l GROUP BY doc_id)
+SELECT d.doc_id, k.text, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed, CAST(coalesce(len(c.starts), 0) AS BIGINT) AS n_windows
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id)
+"""

@@ -42,7 +42,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame
     return x.select("source", "source_size", F.when(F.col("stops"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), keep: tuple[str, ...] = ()) -> DataFrame:
     """One row a document: id, source, size, source_size, target, taken.
 
     Size is the number of words of the whole text (null: 0).  A source whose target is t times its size and more is
@@ -52,13 +52,13 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     and the first DIGITS digits of the hash, the bucket in which the budget ends is found, and only that bucket is
     looked at again by the next digits, LEVELS times.  Documents that agree in all these digits (rows that repeat an
     id, or null ids, which hash as one) are taken together or not at all; a source short of its target by one such
-    group, or one document, stays short.
+    group, or one document, stays short.  Columns named in ``keep`` come along.
 
     Null sources are a source of their own.  Texts without words have size 0 and are taken 0 words.  An empty table gives
     an empty table.  A source may hold any share of the rows: all sums are partial before they are shuffled, and the
     joins are with one row a source.
     """
-    one = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), n_words(F.col(f"`{text_col}`").cast("string")).alias("size"))
+    one = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), n_words(F.col(f"`{text_col}`").cast("string")).alias("size"), *[F.col(f"`{c}`").alias(f"keep_{c}") for c in keep])
     docs = staged(one.withColumn("h", F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")), 1, DIGITS * LEVELS)), "mix-sizes")
     plan = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(REPEATS))).otherwise(0))
@@ -79,7 +79,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     # a source without a cut spends its whole budget: all its documents are within it
     more = F.when(F.col("cut").isNull() | (F.col("h") < F.col("cut")), 1).otherwise(0)
     taken = F.col("size") * F.least(F.col("whole") + more, F.lit(REPEATS))
-    return docs.join(done, F.col("source").eqNullSafe(F.col("s"))).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return docs.join(done, F.col("source").eqNullSafe(F.col("s"))).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col(f"keep_{c}").alias(c) for c in keep])
 
 
 #: The same rows in DuckDB: the running sum in hash order, by a window over all documents of a source.
