@@ -183,7 +183,8 @@ def links(fps: DataFrame, limit: int = 3) -> DataFrame:
 
 
 def groups(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): connected components by alternating large-star and small-star steps; root is the smallest node.
+    """(node, root): connected components by alternating large-star and small-star steps; root is the smallest node,
+    with a row of its own.
 
     Each step is two aggregations; a node's neighbours are never gathered, only their minimum.  A step's result is a table in
     the shared folder; steps end when none changes.  Nodes without a link are not in the result.
@@ -207,7 +208,8 @@ def groups(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now.drop()
         now = new
         if state == seen:
-            return now.df().select(F.col("u").alias("node"), F.col("v").alias("root"))
+            stars = now.df().select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return stars.union(stars.select("root", "root").distinct())
         seen = state
     raise RuntimeError("the groups did not settle")
 

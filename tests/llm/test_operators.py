@@ -1,0 +1,372 @@
+"""Operators against brute force on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import hashlib
+import math
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tarn.llm import bpe, fingerprints, katz, language_id, line_dedup, mixing, neighbours, quality_rules, repeats, secrets_scan
+from tarn.llm.entry import vocabulary
+
+PARA = "\n".join(f"line {i} of a passage that many documents share, word{i} word{i + 1}" for i in range(6))
+LONG = " ".join(f"w{i % 997} the of and" for i in range(20000))
+TEXTS = [
+    None, "", " \t\n", "one", "One  two\tthree", "one two three four", PARA, PARA, "intro\n" + PARA + "\nend " + "x" * 300, PARA.upper(), "a b c a b c a b c d", LONG, LONG + " tail", "ab" * 400, "ab" * 400, "#$ % & | * < >\n\n\n\n\n\n",
+    "été déjà vu — ça va? 日本語 \U0001f600 <|endoftext|> it's", "The cat sat on the mat.\nThe cat sat on the mat.\n" * 3,
+]
+IDS = [*range(len(TEXTS) - 2), 3, None]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, size long, w string, pos int"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, "en", [None, "b", "a"][k % 3], 0, 1, 2, "x", 3) for k, (i, t) in enumerate(zip(IDS, TEXTS))], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def by_id(df):
+    return sorted((tuple(-1 if v is None else v for v in r) for r in df.collect()), key=lambda r: tuple(map(str, r)))
+
+
+def words(t):
+    return (t or "").encode().split()
+
+
+# -- quality rules ---------------------------------------------------------------------------
+
+
+def test_statistics(docs, none):
+    def brute(i, t):
+        w = words(t)
+        runs = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        n = Counter(runs)
+        covered = {k + j for k, r in enumerate(runs) if n[r] > 1 for j in range(3)}
+        lines = [x for x in (t or "").split("\n") if x.encode().split()]
+        return (i if i is not None else -1, len(w), sum(len(x.decode()) for x in w), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(covered))
+
+    got = by_id(quality_rules.statistics(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
+    assert got == sorted((brute(i, t) for i, t in zip(IDS, TEXTS)), key=lambda r: tuple(map(str, r)))
+    assert quality_rules.statistics(none).count() == 0
+
+
+def test_decision_list(spark, docs):
+    rng = np.random.default_rng(0)
+    x = {"a": rng.random(2000), "b": rng.random(2000)}
+    low = (x["a"] > 0.7) & (x["b"] < 0.4)
+    rules = quality_rules.learn(x, low)
+    assert rules.rules and (rules.predict(x) == ~low).mean() > 0.98 and "if " in str(rules)
+    assert quality_rules.learn(x, np.zeros(2000, bool)).rules == () and quality_rules.learn(x, np.ones(2000, bool)).rules == ()
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(10)] + [(None, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
+    out, _ = quality_rules.judge(docs, labels)
+    assert all(not r.kept for r in out.collect() if r.base_failed) and out.count() == len(TEXTS)
+
+
+# -- Katz backoff ----------------------------------------------------------------------------
+
+
+def test_katz(docs, none, spark):
+    rows = katz.score(docs).collect()
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    low = lambda t: [*(w.lower() for w in words(t)), None]
+    train = [low(t) for i, t in zip(IDS, TEXTS) if not held(i)]
+    c = Counter(w for t in train for w in t)
+    n, v = sum(c.values()), len(c)
+    want = sorted((-1 if i is None else i, held(i), len(low(t)), sum(c[w] > 0 for w in low(t)), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in low(t)), 6)) for i, t in zip(IDS, TEXTS))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in rows) == want
+    # the model itself, by plain counting
+    pairs = Counter(p for t in train for p in zip([0, *t], t))
+    ctx, d1 = Counter(), katz.discounts(counts(c))
+    for (a, _), k in pairs.items():
+        ctx[a] += k
+    uni = katz.Words.of(counts(c), n, v)
+    p1 = lambda w: float(uni.p(np.array([c[w]]))[0])
+    assert sum(p1(w) for w in c) + uni.unknown == pytest.approx(1) and len(d1) == katz.K + 2
+    d2 = katz.discounts(counts(pairs))
+
+    def model(a):
+        own = {w: k for (x, w), k in pairs.items() if x == a}
+        small = np.array([[sum(k == r for k in own.values()) for r in range(1, katz.K + 1)]])
+        s, al = katz.backoff(d2, np.array([ctx[a]]), np.array([len(own)]), np.array([sum(map(p1, own))]), small)
+        return lambda w: float(s[0] * d2[min(own[w], katz.K + 1)] * own[w] / ctx[a]) if w in own else float(al[0] * p1(w))
+
+    for a in [0, b"the", b"one", b"never seen", b"ab" * 400]:
+        p = model(a)
+        assert sum(p(w) for w in c) + p("unknown") == pytest.approx(1)
+    models = {a: model(a) for a in {0, *(w for t in TEXTS for w in low(t))}}
+    score = {i: sum(math.log10(models[a](w)) for a, w in zip([0, *low(t)], low(t))) for i, t in zip(IDS, TEXTS) if i not in (3, None)}
+    assert all(r.score == pytest.approx(score[r.doc_id]) for r in rows if r.doc_id in score)
+    assert katz.score(none).count() == 0
+
+
+def counts(c):
+    return katz.count_counts(np.array(list(c.values()), np.int64))
+
+
+# -- language ID -----------------------------------------------------------------------------
+
+
+def test_gradients_and_training():
+    rng = np.random.default_rng(1)
+    net = language_id.train([b"abcabc", b"xyzxyz"], ["a", "b"], hidden=3, epochs=1)
+    x, mask = language_id.padded([b"abca", b"xy"])
+    y = np.array([0, 1])
+    for a in language_id.params(net):
+        a[...] = rng.normal(0, 0.3, a.shape)
+    _, g = net.gradients(x, mask, y)
+    for a, own in zip(language_id.params(net), g):
+        at = np.unravel_index(np.abs(own).argmax(), own.shape)
+        old, eps = a[at], 1e-2
+        a[at] = old + eps
+        up = net.gradients(x, mask, y)[0]
+        a[at] = old - eps
+        down = net.gradients(x, mask, y)[0]
+        a[at] = old
+        assert (up - down) / (2 * eps) == pytest.approx(own[at], rel=0.05)
+
+
+def test_language(docs, none, spark):
+    rng = np.random.default_rng(0)
+    make = lambda parts: " ".join("".join(rng.choice(parts, 3)) for _ in range(30))
+    rows = [(i, make(["th", "er", "ing"]) if i % 2 else make(["sch", "ei", "ung"]), "en" if i % 2 else "de") for i in range(300)]
+    df = spark.createDataFrame([*rows, (None, "x", "en"), (7, None, "en"), (8, "y", None)], "doc_id long, text string, lang string")
+    net = language_id.fit(df, sample=100)
+    got = {r.doc_id: r for r in language_id.predict(df, net).collect()}
+    held = [(i, lang) for i, _, lang in rows if zlib.crc32(str(i).encode()) % 4 == 2 and i not in (7, 8)]
+    assert np.mean([got[i].lang_pred == lang for i, lang in held]) > 0.95
+    out = language_id.predict(docs, net).collect()
+    assert len(out) == len(TEXTS) and all(0 <= r.score <= 1 for r in out)
+    assert {r.lang_pred for r in out if r.doc_id in (0, 1, 2, 15)} == {"und"}
+    assert language_id.fit(none) is None and language_id.predict(docs, None).where("lang_pred != 'und'").count() == 0
+    whole, one = language_id.pooled(net, ["".join(r[1] for r in rows[:9]).encode()]), language_id.pooled(net, [rows[0][1].encode()])
+    assert whole.shape == one.shape == (1, 2) and whole.sum() == pytest.approx(1, abs=1e-3)
+
+
+# -- repeated strings ------------------------------------------------------------------------
+
+
+def cut_brute(texts, width):
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(b[k : k + width] for b in raw for k in range(len(b) - width + 1))
+    out = []
+    for b in raw:
+        gone = np.zeros(len(b) + 1, int)
+        for k in range(len(b) - width + 1):
+            if seen[b[k : k + width]] > 1:
+                gone[k : k + width] = 1
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        out.append((len(b), int(gone.sum()), int((np.diff(gone, prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_repeats(docs, none):
+    for width in (200, 64):
+        got = sorted(tuple(r)[1:5] for r in repeats.remove_repeats(docs, width=width).collect())
+        assert got == sorted(cut_brute(TEXTS, width))
+    assert repeats.remove_repeats(none).count() == 0
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.text("ab", max_size=300), min_size=1, max_size=4))
+def test_phrases_cover_windows(texts):
+    x = repeats.Text(repeats.pack(np.arange(len(texts)), np.ones(len(texts), np.uint8), np.array([len(t) for t in texts])), repeats.pack(np.frombuffer("".join(texts).encode(), np.uint8)))
+    x.prepare()
+    t, lo, hi = x.windows(64)
+    starts = sorted(s for a, b, c in zip(t, lo, hi) for s in range(a - c, a - b + 1))
+    assert starts == [e - n + k for e, n in zip(x.ends, x.lens) for k in range(n - 63)]
+
+
+# -- line dedup ------------------------------------------------------------------------------
+
+
+def test_lines(docs, none, spark):
+    fixed = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    c = duckdb.connect()
+    frame = pd.DataFrame({"doc_id": range(len(TEXTS)), "text": TEXTS})  # noqa: F841
+    c.sql("CREATE TABLE documents AS SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(text AS VARCHAR) AS text FROM frame")
+    names = "doc_id, text, n_lines, n_removed, n_windows"
+    want = sorted(c.sql(f"SELECT {names} FROM ({line_dedup.ORACLE})").fetchall(), key=str)
+    assert sorted(map(tuple, line_dedup.dedup_lines(fixed).select(*names.split(", ")).collect()), key=str) == want
+    assert line_dedup.dedup_lines(docs).count() == len(TEXTS) and line_dedup.dedup_lines(none).count() == 0
+
+
+# -- BPE -------------------------------------------------------------------------------------
+
+
+def library():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary())
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
+TOKENIZER, ENCODER = library(), bpe.Encoder(vocabulary())
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from([*"abetsσΣİßé1½ \n'!_", "th", "ing", "<|endoftext|>", "́", "日", "\U0001f600", "\x1c", "\x85"]), max_size=60).map("".join))
+def test_encoding_matches_library(text):
+    want = TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert ENCODER.encode(text) == want
+    assert bpe.Decoder(ENCODER.texts).decode(want) == TOKENIZER.decode(want, skip_special_tokens=False)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.text("abcxyz", min_size=1), st.integers(1, 7))
+def test_streaming_merges(seed, step):
+    """A stream in parts gives what all merges on the whole piece give."""
+    piece = (seed * 800)[:1500].encode()
+    whole = ENCODER.merges.apply([ENCODER.inner[b] for b in piece[:-1]] + [ENCODER.final[piece[-1]]])
+    assert list(ENCODER.stream(piece[k : k + step] for k in range(0, len(piece), step))) == whole
+
+
+def test_bpe(docs, none):
+    def brute(i, t):
+        e = TOKENIZER.encode(t or "", add_special_tokens=False).ids
+        return (-1 if i is None else i, len(e), hashlib.sha256(" ".join(map(str, e)).encode()).hexdigest(), hashlib.sha256(TOKENIZER.decode(e, skip_special_tokens=False).encode()).hexdigest())
+
+    assert by_id(bpe.digests(docs, vocabulary())) == sorted((brute(i, t) for i, t in zip(IDS, TEXTS)), key=lambda r: tuple(map(str, r)))
+    assert bpe.digests(none, vocabulary()).count() == 0 and bpe.encode(docs, vocabulary()).count() == len(TEXTS)
+    d = bpe.Decoder({0: "Ã", 1: "©", 2: "x</w>"}, "</w>", plain=False)
+    assert d.push(0) == "" and d.push(1) + d.push(2) + d.end() == "éx "
+
+
+# -- secrets ---------------------------------------------------------------------------------
+
+
+def test_secrets(spark, none):
+    train, test = secrets_scan.labelled_findings(), secrets_scan.labelled_findings(300, seed=99)
+    forest = secrets_scan.train(train)
+    x, y = np.array([secrets_scan.features(*f[:3]) for f in test]), np.array([f[3] for f in test])
+    assert ((forest.score(x) >= 0.5) == y).mean() > 0.95
+    assert secrets_scan.train([]).score(np.zeros((2, 3))).tolist() == [0, 0]
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    df = spark.createDataFrame([(1, f'x token = "{key}" y'), (2, "plain words only"), (3, None), (4, ""), (None, f"commit {key} fixed")], "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets_scan.scan(df, forest).collect()}
+    assert set(got) == {1, None} and got[1].is_secret and not got[None].is_secret
+    assert got[1].value_sha256 == hashlib.sha256(key.encode()).hexdigest() and got[1].end - got[1].begin == 40
+    assert secrets_scan.scan(none, forest).count() == 0
+
+
+# -- SimHash ---------------------------------------------------------------------------------
+
+
+def simhash(t):
+    w = [x.lower() for x in words(t)]
+    s = [b" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))] if w else []
+    h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def components(fps, limit):
+    root = list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(fps)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= limit:
+                root[find(a)] = find(b)
+    return [find(x) for x in range(len(fps))]
+
+
+def test_near_duplicates(docs, none):
+    fps = [simhash(t) for t in TEXTS]
+    own = components(fps, 3)
+    least = {}
+    for r, i in zip(own, IDS):
+        least[r] = min(least.get(r, 10**9), 10**9 if i is None else i)
+    want = sorted((-1 if i is None else i, f"{f:016x}", -1 if least[r] == 10**9 else least[r]) for i, f, r in zip(IDS, fps, own))
+    assert sorted(by_id(fingerprints.near_duplicates(docs).select("doc_id", "fingerprint", "component_id"))) == want
+    assert fingerprints.near_duplicates(none).count() == 0
+
+
+@pytest.mark.parametrize("cut", [None, 8])
+def test_trie_join(spark, monkeypatch, cut):
+    if cut:
+        monkeypatch.setattr(fingerprints, "NODE", cut)
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 40, np.uint64)
+    near = [int(b) ^ sum(1 << int(k) for k in rng.integers(0, 64, rng.integers(0, 5))) for b in np.repeat(base, 6)]
+    fps = sorted({*near, *range(20), *(2**64 - 1 - k for k in range(9))})
+    own = components(fps, 3)
+    df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
+    edges = fingerprints.links(df, 3)
+    roots = {r.node: r.root for r in fingerprints.groups(edges).collect()}
+    got = [roots.get(int(np.uint64(f).view(np.int64)), int(np.uint64(f).view(np.int64))) for f in fps]
+    assert len(set(got)) == len(set(own)) == len(set(zip(got, own)))
+
+
+def test_long_chain(spark):
+    n = 200
+    df = spark.createDataFrame([(k, k + 1) for k in range(n)], "a long, b long")
+    assert {r.root for r in fingerprints.groups(df).collect()} == {0}
+
+
+# -- neighbours ------------------------------------------------------------------------------
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 16))
+    x[300:] = x[7]  # a group of equal vectors
+    rows = [(i, [float(np.float32(v)) for v in x[i]]) for i in range(400)] + [(900, None), (920, [0.0] * 16), (940, [float("nan")] * 16), (960, [None] * 16), (980, []), (None, [1.0] * 16), (1000, [1.0] * 3)]
+    df = spark.createDataFrame([(*r, 1, 2.0) for r in rows], "vec_id long, embedding array<float>, label int, score double")
+    got = neighbours.search(df, k=20).toPandas()
+    X = np.array([r[1] for r in rows[:400]])
+    hits = n = 0
+    for q in range(0, 400, 20):
+        s = X @ X[q]
+        o = np.lexsort((np.arange(400), -s))
+        o = o[o != q][:20]
+        own = got[got.query_id == q].sort_values("rank")
+        assert own["rank"].tolist() == list(range(1, 21)) and own.score.is_monotonic_decreasing and q not in set(own.vec_id)
+        assert np.allclose(own.score, s[own.vec_id.astype(int)], atol=1e-12)
+        hits += len(set(own.vec_id) & set(o.tolist()))
+        n += 20
+    assert hits / n >= 0.9 and set(got.query_id) == set(range(0, 400, 20))
+    tied = got[got.query_id == 300].sort_values("rank").vec_id.tolist()
+    assert tied == [7, *range(301, 320)]
+    few = neighbours.search(df.where("vec_id < 5"), k=20).collect()
+    assert len(few) == 4
+    assert neighbours.search(df.where("false")).count() == 0
+
+
+# -- mixing ----------------------------------------------------------------------------------
+
+
+def test_mix(docs, none, spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 30))), [None, "a", "b", "Z", "é"][int(rng.integers(5)) if i % 3 else 1]) for i in range(400)]
+    c = duckdb.connect()
+    frame = pd.DataFrame(rows, columns=["doc_id", "text", "source"])  # noqa: F841
+    c.sql("CREATE TABLE documents AS SELECT CAST(doc_id AS BIGINT) AS doc_id, text, CAST(source AS VARCHAR) AS source FROM frame")
+    names = ["doc_id", "size", "source_size", "target", "taken"]
+    want = sorted(c.sql(f"SELECT {', '.join(names)} FROM ({mixing.ORACLE})").fetchall())
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df)
+    assert sorted(map(tuple, got.select(*names).collect())) == want
+    by = {}
+    for r in got.collect():
+        t = by.setdefault(r.source, [r.target, 0, r.source_size])
+        t[1] += r.taken
+        assert 0 <= r.taken <= 3 * r.size
+    assert sum(t[0] for t in by.values()) == pytest.approx(sum(t[2] for t in by.values()))
+    assert all(abs(t[0] - t[1]) <= 30 and t[0] <= 3 * t[2] + 1e-6 for t in by.values())
+    assert mixing.mix(docs).count() == len(TEXTS) and mixing.mix(none).count() == 0
