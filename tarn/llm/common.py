@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
+import sys
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -54,12 +57,15 @@ def remove(spark: SparkSession, path: str) -> None:
 class Stage:
     """A table written to the shared folder: cuts lineage, survives lost executors."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, release: bool = False):
+        """release: give back the disk that the shuffles behind the table took, which are not needed any more."""
         self.spark = df.sparkSession
         self.path = f"{shared_root(self.spark)}/{name}-{uuid.uuid4().hex[:12]}"
         df.write.option("compression", "zstd").parquet(self.path)
         self.schema = df.schema
-        tidy(self.spark)
+        del df
+        if release:
+            tidy(self.spark)
 
     def df(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
@@ -69,14 +75,43 @@ class Stage:
         remove(self.spark, self.path)
 
 
+class Buckets(Stage):
+    """A staged table that is dealt by a column: joins on it leave its rows where they are, and shuffle only the other side."""
+
+    def __init__(self, df: DataFrame, name: str, column: str):
+        self.spark, self.table = df.sparkSession, f"tarn_{uuid.uuid4().hex}"
+        self.path = f"{shared_root(self.spark)}/{name}-{self.table}"
+        writer = df.write.format("parquet").option("path", self.path).option("compression", "zstd")
+        writer.bucketBy(n_shuffle(self.spark), column).sortBy(column).saveAsTable(self.table)
+
+    def df(self) -> DataFrame:
+        return self.spark.table(self.table)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        super().drop()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     return Stage(df, name).df()
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of stages whose results are staged."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark's cleaner delete the shuffle files of stages whose results are staged.
+
+    The first collection frees what Python held, and only then does the second find the shuffles unused.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on, and their allocators keep what large arrays took."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def n_shuffle(spark: SparkSession) -> int:

@@ -18,12 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, Stage, answers, arrow_schema, by_bucket, crc_mod, deal, joined_planes, map_rows, mix64, n_buckets, pack, planes, text_bytes, unpack
+from .common import PACKED, Buckets, Stage, answers, arrow_schema, by_bucket, crc_mod, deal, give_back, joined_planes, map_rows, mix64, n_buckets, pack, planes, text_bytes, unpack
 
 #: Counts up to here are discounted.
 K = 5
 #: Tokens of a chunk, about.
-CHUNK = 3_000_000
+CHUNK = 1_500_000
 #: Bytes of the second word's hash that tell the pairs of one first word apart.
 SECOND = 6
 UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -211,11 +211,34 @@ def ask_pairs(joined: DataFrame, buckets: int) -> DataFrame:
                     heads, at = np.unique(context, return_index=True)
                     h = np.append(c.vocab, np.uint64(BEGIN))[heads]
                     sizes = np.diff(np.append(at, len(context)))
-                    yield k, chunk, pack(h, sizes.astype(np.uint32), planes(c.vocab[word], SECOND), n.astype(np.uint32), planes(known[word].astype(np.uint32), 4))
+                    yield k, chunk, pack(h, sizes.astype(np.uint32), planes(steps(c.vocab[word], at), SECOND), n.astype(np.uint32), planes(known[word].astype(np.uint32), 4), level=3)
 
     return map_rows(joined.select("chunk", "vocab", "tokens", "answers"), run, PACKED)
 
 
+LOW = np.uint64(8 * (8 - SECOND))
+
+
+def steps(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes cut to SECOND bytes, each but the first of a context (at ``at``) as the step from the one before it.
+
+    Second words come in the order of their hashes, so steps of frequent contexts are short and compress.
+    """
+    h = hashes >> LOW
+    out = h.copy()
+    out[1:] -= h[:-1]
+    out[at] = h[at]
+    return out << LOW
+
+
+def summed(moved: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What steps() began from, cut."""
+    total = np.cumsum(moved)
+    begin = np.cumsum(sizes.astype(np.int64)) - sizes
+    before = np.where(begin > 0, total[np.maximum(begin, 1) - 1], np.uint64(0))
+    return total - np.repeat(before, sizes)
+
+
 def known_counts(got: list) -> np.ndarray:
     """The counts of a chunk's vocabulary: the answers in the order of their buckets."""
     return np.concatenate([unpack(x["blob"], "int64")[0] for x in sorted(got, key=lambda x: x["bucket"])])
@@ -238,10 +261,12 @@ def distinct_pairs(c: Chunk, buckets: int) -> list[tuple]:
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     out = [(int(bucket[o[0]]), context[o], second[o], n[o]) for o in np.split(order, cuts)] if len(order) else []
     c.token_pair = place[inverse]
+    del code, inverse, place
+    give_back()
     return out
 
 
-def count_pairs(asked: DataFrame, words: Words, table: bool = False) -> DataFrame:
+def count_pairs(asked: DataFrame, words: Words, keep: bool = False) -> DataFrame:
     """kind 0: answers (log10 probability of each pair that a chunk asked for); 1: the table of pairs; 2: counts of counts.
 
     Discounts of pairs need the counts of counts of all pairs, so answers leave them open: a pair's answer is its count,
@@ -253,7 +278,7 @@ def count_pairs(asked: DataFrame, words: Words, table: bool = False) -> DataFram
             parts = [unpack(x, "uint64", "uint32", "uint8", "uint32", "uint8") for _, x in blobs]
             heads = np.concatenate([p[0] for p in parts])
             sizes = np.concatenate([p[1] for p in parts]).astype(np.int64)
-            seconds, c = np.concatenate([joined_planes(p[2], SECOND) for p in parts]), np.concatenate([joined_planes(p[4], 4) for p in parts])
+            seconds, c = np.concatenate([summed(joined_planes(p[2], SECOND), p[1]) for p in parts]), np.concatenate([joined_planes(p[4], 4) for p in parts])
             n = np.concatenate([p[3] for p in parts])
             own, head_of = np.unique(heads, return_inverse=True)
             context = np.repeat(head_of, sizes)
@@ -265,19 +290,21 @@ def count_pairs(asked: DataFrame, words: Words, table: bool = False) -> DataFram
             total = np.bincount(group, n).astype(np.int64)
             first = order[new]
             seen = total > 0
+            kept = seconds[first][seen] if keep else None
             ctx, tot = context[first][seen], total[seen]
             p1 = words.p(c[first][seen].astype(np.int64))
             count = np.bincount(ctx, tot, len(own)).astype(np.int64)
             kinds = np.bincount(ctx, minlength=len(own))
             mass = np.bincount(ctx, p1, len(own))
             small = np.stack([np.bincount(ctx[tot == r], minlength=len(own)) for r in range(1, K + 1)], 1)
+            del seconds, n, c, order, context
             at = at_head = 0
             for (chunk, _), p in zip(blobs, parts):
                 o, h = slice(at, at + len(p[3])), head_of[at_head : at_head + len(p[0])]
-                yield 0, k, chunk, pack(total[group[o]].astype(np.uint32), count[h], kinds[h].astype(np.uint32), mass[h], small[h].astype(np.uint32).ravel())
+                yield 0, k, chunk, pack(total[group[o]].astype(np.uint32), count[h], kinds[h].astype(np.uint32), mass[h], small[h].astype(np.uint32).ravel(), level=3)
                 at, at_head = at + len(p[3]), at_head + len(p[0])
-            if table:
-                yield 1, k, 0, pack(own, kinds.astype(np.uint32), planes(seconds[first][seen], SECOND), tot.astype(np.uint32))
+            if keep:
+                yield 1, k, 0, pack(own, kinds.astype(np.uint32), planes(kept, SECOND), tot.astype(np.uint32))
             yield 2, k, 0, pack(count_counts(total), np.array([tot.sum(), seen.sum()]))
 
     return map_rows(deal(asked), run, "kind int, " + PACKED)
@@ -346,12 +373,12 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     """
     spark = df.sparkSession
     buckets = n_buckets(spark)
-    table = Stage(chunks(df, id_col, text_col), "katz-chunks")
-    counted = Stage(count_words(ask_words(table.df(), buckets)), "katz-words")
+    table = Buckets(chunks(df, id_col, text_col), "katz-chunks", "chunk")
+    counted = Stage(count_words(ask_words(table.df(), buckets)), "katz-words", release=True)
     counts, total, kinds = totals(counted.df())
     words = Words.of(counts, total, kinds)
     one = answers(counted.df().where("kind = 0"))
-    pairs = Stage(count_pairs(ask_pairs(table.df().join(one, "chunk"), buckets), words), "katz-pairs")
+    pairs = Stage(count_pairs(ask_pairs(table.df().join(one, "chunk"), buckets), words), "katz-pairs", release=True)
     d = discounts(totals(pairs.df())[0])
     joined = table.df().join(answers(counted.df().where("kind = 0"), "words"), "chunk").join(answers(pairs.df().where("kind = 0"), "pairs"), "chunk")
     return score_chunks(joined, words, d, buckets)

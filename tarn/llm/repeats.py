@@ -278,8 +278,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError(f"strings of under {3 * TRIGGER} bytes have no trigger")
     buckets = n_buckets(df.sparkSession)
     table = Stage(chunks(df, id_col, text_col), "repeats-chunks")
-    contexts = Stage(judge_contexts(ask_contexts(table.df(), width, buckets)), "repeats-contexts")
+    contexts = Stage(judge_contexts(ask_contexts(table.df(), width, buckets)), "repeats-contexts", release=True)
     first = table.df().join(answers(contexts.df(), "contexts"), "chunk")
-    windows = Stage(judge_windows(ask_windows(first, width, buckets)), "repeats-windows")
+    windows = Stage(judge_windows(ask_windows(first, width, buckets)), "repeats-windows", release=True)
     last = table.df().join(answers(contexts.df(), "contexts"), "chunk", "left").join(answers(windows.df(), "windows"), "chunk", "left")
     return cut(last, width, buckets, with_text)
