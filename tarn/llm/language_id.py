@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import arrow_schema, crc_mod, map_rows
+from .common import crc_mod, map_rows
 
 #: Hidden units in each direction.
 HIDDEN = 8
@@ -218,22 +219,28 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     return train(pieces, langs) if pieces else None
 
 
-def predict(df: DataFrame, net: BiGru | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(df: DataFrame, net: BiGru | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, lang_pred, score) for every whole text, without a shuffle.
 
     ``und`` with score 0 where the text is null or has no letter, or where there is no network.  The score is the
-    pooled probability of the predicted language.
+    pooled probability of the predicted language.  Columns named in ``keep`` come along unchanged.
     """
+    sent = [text_col, *[c for c in keep if c != text_col]]
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), *[F.col(f"`{c}`").alias(f"keep_{k}") for k, c in enumerate(sent)])
+    kept = [sent.index(c) for c in keep]
+    out = StructType.fromDDL("doc_id long, lang_pred string, score double")
+    for k in kept:
+        out.add(rows.schema[f"keep_{k}"])
     packed = df.sparkSession.sparkContext.broadcast(net)  # 20 KB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, own = arrow_schema("doc_id long, lang_pred string, score double"), packed.value
+        own, names = packed.value, out.names
         for b in batches:
             texts = [t if t is not None and any(map(str.isalpha, t)) else "" for t in b.column(1).to_pylist()]
             p = pooled(own, [t.encode() for t in texts]) if own else np.zeros((len(texts), 1))
             k = p.argmax(axis=1)
             lang = [own.labels[j] if own and t else UNKNOWN for t, j in zip(texts, k.tolist())]
             score = [min(1.0, s) if t else 0.0 for t, s in zip(texts, p.max(axis=1).tolist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), *[b.column(1 + k) for k in kept]], names=names)
 
-    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(run, out).select("doc_id", "lang_pred", "score", *[F.col(f"keep_{k}").alias(sent[k]) for k in kept])

@@ -41,7 +41,7 @@ def without(text: Column, starts: Column, width: int) -> Column:
     return bind(F.struct(F.split(text, "\n", -1).alias("l"), starts.alias("s")), rest)
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row a document: id, text with repeated passages removed, n_lines, n_removed, n_windows.
 
     Lines are what ``\\n`` separates.  Every run of ``width`` consecutive lines of a document is a window; windows are
@@ -52,11 +52,12 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     A null text gives a null text, no lines and no windows.  Null ids come first in the order; rows that repeat an id
     are told apart by a row number that Spark assigns when the input is staged, so of equal rows one stays, the first by
     that number.  A document may become empty; it is kept with an empty text.  An empty table gives an empty table.
+    Columns named in ``keep`` come along.
 
     Shuffles: (window, row, place) moves, and text once in the last join.  The count of each window is summed before
     its shuffle; the join back is a sort-merge join whose hot windows adaptive execution splits.
     """
-    named = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    named = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"keep_{c}") for c in keep])
     docs = staged(named.withColumn("k", F.monotonically_increasing_id()), "lines-in")
     found = docs.select(F.struct("id", "k").alias("doc"), F.explode(window_keys(F.col("text"), width)).alias("x")).select("x.w", F.struct("doc.id", "doc.k", "x.pos").alias("at"))
     windows = staged(found, "lines-windows")
@@ -66,13 +67,14 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     joined = docs.join(covered, "k", "left")
     kept = F.when(F.col("starts").isNotNull(), without(F.col("text"), F.col("starts"), width))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
-    out = joined.select("id", "text", kept.alias("kept"), n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("starts"), F.lit(0)).cast("long").alias("n_windows"))
+    out = joined.select("id", "text", kept.alias("kept"), n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("starts"), F.lit(0)).cast("long").alias("n_windows"), *[f"`keep_{c}`" for c in keep])
     return out.select(
         F.col("id").alias(id_col),
         F.coalesce(F.array_join("kept", "\n"), "text").alias(text_col),
         "n_lines",
         F.when(F.col("kept").isNull(), 0).otherwise(F.col("n_lines") - F.size("kept")).cast("long").alias("n_removed"),
         "n_windows",
+        *[F.col(f"`keep_{c}`").alias(c) for c in keep],
     )
 
 
