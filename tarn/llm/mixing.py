@@ -13,6 +13,8 @@ DIGITS = 3
 LEVELS = 4
 #: No document is taken more often than this.
 REPEATS = 3
+#: Bytes of the plan, one row a source, up to which each executor gets it whole.
+BROADCAST = 8 << 20
 
 
 def n_words(text: Column) -> Column:
@@ -76,6 +78,10 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         cuts = staged(over.select("source", "budget", "x.spent", F.col("x.b").alias("cut")), f"mix-level{level}")
     done = plan.join(cuts.select(F.col("source").alias("s"), "cut"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     done = done.select(F.col("source").alias("s"), "source_size", "target", "whole", "cut")
+    # documents stay where they are while the plan is small; beyond that adaptive execution splits a hot source
+    sources = plan.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("source")), F.lit(0)).alias("chars")).first()
+    if sources.n * 64 + sources.chars <= BROADCAST:
+        done = F.broadcast(done)
     # a source without a cut spends its whole budget: all its documents are within it
     more = F.when(F.col("cut").isNull() | (F.col("h") < F.col("cut")), 1).otherwise(0)
     taken = F.col("size") * F.least(F.col("whole") + more, F.lit(REPEATS))
