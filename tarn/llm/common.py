@@ -126,34 +126,29 @@ def n_buckets(spark: SparkSession) -> int:
 # -- packed arrays ---------------------------------------------------------------------------
 
 
-def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
-    """Arrays as one compressed blob; unpack() needs their types."""
+def pack(*arrays: np.ndarray, level: int = 1, spread: bool = False) -> bytes:
+    """Arrays as one compressed blob; unpack() needs their types.
+
+    spread: all first bytes of an array's values come first, then all second ones, and so on; small numbers take less so.
+    """
     head = np.array([len(a) for a in arrays], dtype=np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=level).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    raw = (np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T if spread else np.ascontiguousarray(a) for a in arrays)
+    return zstandard.ZstdCompressor(level=level).compress(head + b"".join(x.tobytes() for x in raw))
 
 
-def unpack(blob: bytes, *types: str) -> list[np.ndarray]:
+def unpack(blob: bytes, *types: str, spread: bool = False) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     at, out = 8 * len(types), []
-    for n, t in zip(np.frombuffer(raw, np.int64, len(types)), types, strict=True):
-        out.append(np.frombuffer(raw, t, int(n), at))
-        at += int(n) * np.dtype(t).itemsize
+    for n, t in zip(np.frombuffer(raw, np.int64, len(types)).tolist(), types, strict=True):
+        size = np.dtype(t).itemsize
+        if spread:
+            out.append(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T.copy().view(t).ravel())
+        else:
+            out.append(np.frombuffer(raw, t, n, at))
+        at += n * size
     return out
 
 
-def planes(x: np.ndarray, keep: int) -> np.ndarray:
-    """The ``keep`` high bytes of 64-bit values, or low bytes of 32-bit ones, byte by byte: smaller when compressed."""
-    raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize)
-    return np.ascontiguousarray((raw[:, 8 - keep :] if x.dtype.itemsize == 8 else raw[:, :keep]).T).ravel()
-
-
-def joined_planes(raw: np.ndarray, keep: int) -> np.ndarray:
-    """What planes() took apart, as 64-bit values without the bytes that were not kept."""
-    out = np.zeros((len(raw) // keep, 8), np.uint8)
-    out[:, :keep] = raw.reshape(keep, -1).T
-    return out.view(np.uint64).ravel()
-
-
 PACKED = "bucket int, chunk long, blob binary"
 
 

@@ -3,7 +3,8 @@
 The model is of order two: a token follows the token before it, the first one a mark for the beginning.  Tokens are known
 by 64-bit hashes.  Texts become chunks of packed token numbers, staged once; two packed shuffles by key then gather the
 counts of words (keyed by the word) and of word pairs (keyed by the first word).  Both answer each chunk with what it asked
-for, so no vocabulary is ever broadcast or collected, and a word or pair that is in every text is one entry a chunk.
+for, so no vocabulary is ever broadcast or collected, and a word or pair that is in every text is one entry a chunk.  The first
+answer also numbers the words without gaps, in the order of their hashes; pairs are of these numbers, which take fewer bytes.
 """
 
 from __future__ import annotations
@@ -18,17 +19,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, Buckets, Stage, answers, arrow_schema, by_bucket, crc_mod, deal, give_back, joined_planes, map_rows, mix64, n_buckets, pack, planes, text_bytes, unpack
+from .common import PACKED, Buckets, Stage, answers, arrow_schema, by_bucket, crc_mod, deal, give_back, map_rows, mix64, n_buckets, pack, text_bytes, unpack
 
 #: Counts up to here are discounted.
 K = 5
 #: Tokens of a chunk, about.
 CHUNK = 1_500_000
-#: Bytes of the second word's hash that tell the pairs of one first word apart.
-SECOND = 6
 UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-#: Hashes of the end of a text, and of what is before its first token; no word contains a blank.
-END, BEGIN = xxhash.xxh64_intdigest(b" end", 7), xxhash.xxh64_intdigest(b" begin", 7)
+#: Hash of the end of a text; no word contains a blank.
+END = xxhash.xxh64_intdigest(b" end", 7)
 CHUNKS = "chunk long, vocab binary, tokens binary"
 
 
@@ -58,7 +57,7 @@ def chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             flat = np.concatenate(toks)
             vocab, local = np.unique(flat, return_inverse=True)
             known = np.array([i is not None for i in ids], np.uint8)
-            return (part << 32) + n, pack(vocab), pack(np.array([i or 0 for i in ids], np.int64), known, np.array(held, np.uint8), np.array(lens, np.int64), local.astype(np.uint32), level=3)
+            return (part << 32) + n, pack(steps(vocab), spread=True), pack(np.array([i or 0 for i in ids], np.int64), known, np.array(held, np.uint8), np.array(lens, np.int64), local.astype(np.uint32), level=3, spread=True)
 
         for b in batches:
             for i, h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), text_bytes(b.column(2))):
@@ -90,8 +89,8 @@ class Chunk:
 
     @staticmethod
     def of(vocab: bytes, tokens: bytes) -> Chunk:
-        ids, known, held, lens, local = unpack(tokens, "int64", "uint8", "uint8", "int64", "uint32")
-        (v,) = unpack(vocab, "uint64")
+        ids, known, held, lens, local = unpack(tokens, "int64", "uint8", "uint8", "int64", "uint32", spread=True)
+        v = np.cumsum(unpack(vocab, "uint64", spread=True)[0])
         return Chunk([i if k else None for i, k in zip(ids.tolist(), known.tolist())], held.astype(bool), lens, v, local)
 
     def doc(self) -> np.ndarray:
@@ -109,6 +108,22 @@ class Chunk:
         return before, self.local.astype(np.int64)
 
 
+def steps(x: np.ndarray, at: np.ndarray | int = 0) -> np.ndarray:
+    """Each value but the first of a run (runs begin ``at``) as the step from the one before it: sorted runs compress so."""
+    out = x.copy()
+    out[1:] -= x[:-1]
+    out[at] = x[at]
+    return out
+
+
+def summed(moved: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What steps() began from, of runs with these sizes, none empty."""
+    total = np.cumsum(moved)
+    begin = np.cumsum(sizes.astype(np.int64)) - sizes
+    before = np.where(begin > 0, total[np.maximum(begin, 1) - 1], 0)
+    return total - np.repeat(before, sizes)
+
+
 # -- the first shuffle: counts of words -----------------------------------------------------
 
 
@@ -120,7 +135,7 @@ def ask_words(table: DataFrame, buckets: int) -> DataFrame:
                 n = np.bincount(c.local[c.trained()], minlength=len(c.vocab)).astype(np.uint32)
                 for k, (lo, hi) in enumerate(zip(*by_bucket(c.vocab, buckets))):
                     if hi > lo:
-                        yield k, chunk, pack(c.vocab[lo:hi], n[lo:hi])
+                        yield k, chunk, pack(steps(c.vocab[lo:hi]), n[lo:hi], spread=True)
 
     return map_rows(table.select("chunk", "vocab", "tokens"), run, PACKED)
 
@@ -135,20 +150,21 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> dict[int, list[tuple[int, byte
 
 
 def count_words(asked: DataFrame) -> DataFrame:
-    """kind 0: the counts that a chunk asked for; kind 1: the table of words itself; kind 2: counts of counts."""
+    """kind 0: the counts that a chunk asked for, and the words' places in the bucket; kind 1: the table of words itself, in
+    the order of these places; kind 2: counts of counts, and the numbers of tokens, of words in training and of places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for k, blobs in grouped(batches).items():
-            parts = [unpack(x, "uint64", "uint32") for _, x in blobs]
-            words, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            parts = [unpack(x, "uint64", "uint32", spread=True) for _, x in blobs]
+            words, inverse = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
             total = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(words)).astype(np.int64)
             at = 0
             for (chunk, _), p in zip(blobs, parts):
-                yield 0, k, chunk, pack(total[inverse[at : at + len(p[0])]])
+                place = inverse[at : at + len(p[0])]
+                yield 0, k, chunk, pack(total[place], steps(place), spread=True)
                 at += len(p[0])
-            seen = total > 0
-            yield 1, k, 0, pack(words[seen], total[seen])
-            yield 2, k, 0, pack(count_counts(total), np.array([total.sum(), seen.sum()]))
+            yield 1, k, 0, pack(steps(words), total, spread=True)
+            yield 2, k, 0, pack(count_counts(total), np.array([total.sum(), (total > 0).sum(), len(words)]))
 
     return map_rows(deal(asked), run, "kind int, " + PACKED)
 
@@ -201,51 +217,31 @@ class Words:
 # -- the second shuffle: pairs, by their first word -----------------------------------------
 
 
-def ask_pairs(joined: DataFrame, buckets: int) -> DataFrame:
+def ask_pairs(joined: DataFrame, first: np.ndarray, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
             for chunk, vocab, tokens, got in zip(*(c.to_pylist() for c in b.columns)):
                 c = Chunk.of(vocab, tokens)
-                known = known_counts(got)
-                for k, context, word, n in distinct_pairs(c, buckets):
+                known, ids = known_words(got, first)
+                for k, context, word, n in distinct_pairs(c, ids, buckets):
                     heads, at = np.unique(context, return_index=True)
-                    h = np.append(c.vocab, np.uint64(BEGIN))[heads]
                     sizes = np.diff(np.append(at, len(context)))
-                    yield k, chunk, pack(h, sizes.astype(np.uint32), planes(steps(c.vocab[word], at), SECOND), n.astype(np.uint32), planes(known[word].astype(np.uint32), 4), level=3)
+                    yield k, chunk, pack(steps(ids[heads]), sizes.astype(np.uint32), steps(ids[word], at), n.astype(np.uint32), known[word], level=3, spread=True)
 
     return map_rows(joined.select("chunk", "vocab", "tokens", "answers"), run, PACKED)
 
 
-LOW = np.uint64(8 * (8 - SECOND))
+def known_words(got: list, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The counts and numbers of a chunk's vocabulary, the latter with one for the beginning at its end.
 
-
-def steps(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Hashes cut to SECOND bytes, each but the first of a context (at ``at``) as the step from the one before it.
-
-    Second words come in the order of their hashes, so steps of frequent contexts are short and compress.
+    ``first`` has the number of each bucket's first word, and last that of the beginning.
     """
-    h = hashes >> LOW
-    out = h.copy()
-    out[1:] -= h[:-1]
-    out[at] = h[at]
-    return out << LOW
-
-
-def summed(moved: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """What steps() began from, cut."""
-    total = np.cumsum(moved)
-    begin = np.cumsum(sizes.astype(np.int64)) - sizes
-    before = np.where(begin > 0, total[np.maximum(begin, 1) - 1], np.uint64(0))
-    return total - np.repeat(before, sizes)
-
-
-def known_counts(got: list) -> np.ndarray:
-    """The counts of a chunk's vocabulary: the answers in the order of their buckets."""
-    return np.concatenate([unpack(x["blob"], "int64")[0] for x in sorted(got, key=lambda x: x["bucket"])])
+    parts = [(x["bucket"], *unpack(x["blob"], "int64", "int64", spread=True)) for x in sorted(got, key=lambda x: x["bucket"])]
+    return np.concatenate([n for _, n, _ in parts]), np.concatenate([*(first[k] + np.cumsum(i) for k, _, i in parts), first[-1:]])
 
 
-def distinct_pairs(c: Chunk, buckets: int) -> list[tuple]:
-    """For each bucket of the first word's hash: contexts, words (numbers, sorted), training counts, and tokens' places.
+def distinct_pairs(c: Chunk, ids: np.ndarray, buckets: int) -> list[tuple]:
+    """For each bucket of the first word's number: contexts, words (numbers, sorted), training counts, and tokens' places.
 
     The same chunk gives the same order each time, so answers need no keys.
     """
@@ -253,8 +249,7 @@ def distinct_pairs(c: Chunk, buckets: int) -> list[tuple]:
     code, inverse = np.unique(before * np.int64(len(c.vocab)) + word, return_inverse=True)
     n = np.bincount(inverse[c.trained()], minlength=len(code))
     context, second = code // len(c.vocab), code % len(c.vocab)
-    head = np.append(c.vocab, np.uint64(BEGIN))[context]
-    bucket = (mix64(head) >> np.uint64(64 - (buckets - 1).bit_length())).astype(np.int64)
+    bucket = (mix64(ids[context].astype(np.uint64)) >> np.uint64(64 - (buckets - 1).bit_length())).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
@@ -275,10 +270,10 @@ def count_pairs(asked: DataFrame, words: Words, keep: bool = False) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for k, blobs in grouped(batches).items():
-            parts = [unpack(x, "uint64", "uint32", "uint8", "uint32", "uint8") for _, x in blobs]
-            heads = np.concatenate([p[0] for p in parts])
+            parts = [unpack(x, "int64", "uint32", "int64", "uint32", "int64", spread=True) for _, x in blobs]
+            heads = np.concatenate([np.cumsum(p[0]) for p in parts])
             sizes = np.concatenate([p[1] for p in parts]).astype(np.int64)
-            seconds, c = np.concatenate([summed(joined_planes(p[2], SECOND), p[1]) for p in parts]), np.concatenate([joined_planes(p[4], 4) for p in parts])
+            seconds, c = np.concatenate([summed(p[2], p[1]) for p in parts]), np.concatenate([p[4] for p in parts])
             n = np.concatenate([p[3] for p in parts])
             own, head_of = np.unique(heads, return_inverse=True)
             context = np.repeat(head_of, sizes)
@@ -292,7 +287,7 @@ def count_pairs(asked: DataFrame, words: Words, keep: bool = False) -> DataFrame
             seen = total > 0
             kept = seconds[first][seen] if keep else None
             ctx, tot = context[first][seen], total[seen]
-            p1 = words.p(c[first][seen].astype(np.int64))
+            p1 = words.p(c[first][seen])
             count = np.bincount(ctx, tot, len(own)).astype(np.int64)
             kinds = np.bincount(ctx, minlength=len(own))
             mass = np.bincount(ctx, p1, len(own))
@@ -301,11 +296,11 @@ def count_pairs(asked: DataFrame, words: Words, keep: bool = False) -> DataFrame
             at = at_head = 0
             for (chunk, _), p in zip(blobs, parts):
                 o, h = slice(at, at + len(p[3])), head_of[at_head : at_head + len(p[0])]
-                yield 0, k, chunk, pack(total[group[o]].astype(np.uint32), count[h], kinds[h].astype(np.uint32), mass[h], small[h].astype(np.uint32).ravel(), level=3)
+                yield 0, k, chunk, pack(total[group[o]], count[h], kinds[h], mass[h], small[h].T.ravel(), level=3, spread=True)
                 at, at_head = at + len(p[3]), at_head + len(p[0])
             if keep:
-                yield 1, k, 0, pack(own, kinds.astype(np.uint32), planes(kept, SECOND), tot.astype(np.uint32))
-            yield 2, k, 0, pack(count_counts(total), np.array([tot.sum(), seen.sum()]))
+                yield 1, k, 0, pack(own, kinds, kept, tot, spread=True)
+            yield 2, k, 0, pack(count_counts(total), np.array([tot.sum(), seen.sum(), len(total)]))
 
     return map_rows(deal(asked), run, "kind int, " + PACKED)
 
@@ -325,7 +320,7 @@ def backoff(d: np.ndarray, count: np.ndarray, kinds: np.ndarray, mass: np.ndarra
     return scale, np.where(count > 0, left / rest, 1.0)
 
 
-def score_chunks(joined: DataFrame, words: Words, d: np.ndarray, buckets: int) -> DataFrame:
+def score_chunks(joined: DataFrame, words: Words, d: np.ndarray, numbers: np.ndarray, buckets: int) -> DataFrame:
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,14 +328,14 @@ def score_chunks(joined: DataFrame, words: Words, d: np.ndarray, buckets: int) -
         for b in batches:
             for vocab, tokens, got1, got2 in zip(*(c.to_pylist() for c in b.columns)):
                 c = Chunk.of(vocab, tokens)
-                known = known_counts(got1)
+                known, ids = known_words(got1, numbers)
                 p1 = words.p(known)
                 got = {x["bucket"]: x["blob"] for x in got2}
                 logs = []
-                for k, context, word, _ in distinct_pairs(c, buckets):
-                    n, count, kinds, mass, small = unpack(got[k], "uint32", "int64", "uint32", "float64", "uint32")
+                for k, context, word, _ in distinct_pairs(c, ids, buckets):
+                    n, count, kinds, mass, small = unpack(got[k], "int64", "int64", "int64", "float64", "int64", spread=True)
                     head = np.cumsum(np.concatenate([[0], np.diff(context) != 0])).astype(np.int64)
-                    scale, alpha = backoff(d, count, kinds, mass, small.reshape(-1, K))
+                    scale, alpha = backoff(d, count, kinds, mass, small.reshape(K, -1).T)
                     pair = scale[head] * d[np.minimum(n, K + 1)] * n / np.maximum(count[head], 1)
                     logs.append(np.log10(np.where(n > 0, pair, alpha[head] * p1[word])))
                 token = np.concatenate(logs)[c.token_pair] if logs else np.zeros(0)
@@ -355,13 +350,10 @@ def score_chunks(joined: DataFrame, words: Words, d: np.ndarray, buckets: int) -
 # -- the operator ---------------------------------------------------------------------------
 
 
-def totals(counted: DataFrame) -> tuple[np.ndarray, int, int]:
-    """Counts of counts, the sum and the number of entries: a few numbers from each bucket."""
-    parts = [unpack(bytes(r.blob), "int64", "int64") for r in counted.where("kind = 2").select("blob").collect()]
-    if not parts:
-        return np.zeros(K + 2, np.int64), 0, 0
-    total = sum(p[1] for p in parts)
-    return sum(p[0] for p in parts), int(total[0]), int(total[1])
+def totals(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
+    """Counts of counts, the sums of what else kind 2 has, and its last number by bucket: a few numbers from each bucket."""
+    parts = {r.bucket: unpack(bytes(r.blob), "int64", "int64") for r in counted.where("kind = 2").select("bucket", "blob").collect()}
+    return sum((p[0] for p in parts.values()), np.zeros(K + 2, np.int64)), sum((p[1] for p in parts.values()), np.zeros(3, np.int64)), {k: int(p[1][-1]) for k, p in parts.items()}
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -375,10 +367,11 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     buckets = n_buckets(spark)
     table = Buckets(chunks(df, id_col, text_col), "katz-chunks", "chunk")
     counted = Stage(count_words(ask_words(table.df(), buckets)), "katz-words", release=True)
-    counts, total, kinds = totals(counted.df())
-    words = Words.of(counts, total, kinds)
+    counts, (total, kinds, _), places = totals(counted.df())
+    words = Words.of(counts, int(total), int(kinds))
+    numbers = np.cumsum([0, *(places.get(k, 0) for k in range(buckets))])
     one = answers(counted.df().where("kind = 0"))
-    pairs = Stage(count_pairs(ask_pairs(table.df().join(one, "chunk"), buckets), words), "katz-pairs", release=True)
+    pairs = Stage(count_pairs(ask_pairs(table.df().join(one, "chunk"), numbers, buckets), words), "katz-pairs", release=True)
     d = discounts(totals(pairs.df())[0])
     joined = table.df().join(answers(counted.df().where("kind = 0"), "words"), "chunk").join(answers(pairs.df().where("kind = 0"), "pairs"), "chunk")
-    return score_chunks(joined, words, d, buckets)
+    return score_chunks(joined, words, d, numbers, buckets)
