@@ -16,17 +16,19 @@ BITS = 64
 UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """The majority bits of the hashes of a text's shingles; 0 without words."""
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """The hashes of a text's runs of words in order; a text of fewer words is one run, and without words there is none."""
     w = text.translate(UPPER).split()
-    if not w:
-        return 0
     joined, h = b" ".join(w), xxhash.xxh64_intdigest
     if len(w) <= words:
-        return h(joined, 42)
+        return np.array([h(joined, 42)] if w else [], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
     starts = [0, *ends[: len(w) - words].tolist()]
-    hashes = np.array([h(joined[a:b], 42) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())], np.uint64)
+    return np.array([h(joined[a:b], 42) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that most hashes have; 0 without any."""
     count = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 4096):  # 256 KB of bits at a time, however long the text is
         part = hashes[at : at + 4096]
@@ -34,6 +36,11 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     return int(np.packbits(count * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, words: int = 3) -> int:
+    """The majority bits of the hashes of a text's shingles; 0 without words."""
+    return majority(shingles(text, words))
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed 64-bit number."""
 
@@ -231,3 +238,96 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ids = reach.join(lowest, "root", "left").select("fp", F.when(F.col("linked"), F.col("least")).otherwise(F.col("low")).alias("component_id"))
     ids = staged(ids, "components")
     return each.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
+
+
+# -- near copies by shingle similarity --------------------------------------------------------
+# SimHash puts texts of similarity 0.8 at about 10 of 64 bits, where the trie visits nearly all pairs. So the trie finds the
+# closest copies, and bands of least hashes find the others: one band meets at similarity s with probability s^DEEP.
+
+#: Bands, and least hashes a band: of pairs of similarity 0.8 at least one band meets for 99.8 %.
+BANDS, DEEP = 16, 5
+_draw = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * DEEP, 1), np.uint64)
+FACTORS, SHIFTS = _draw[0] | np.uint64(1), _draw[1]
+
+
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """One key a band of a set of hashes; none for an empty set."""
+    if not len(own):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * DEEP, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(own), 4096):
+        least = np.minimum(least, (own[at : at + 4096] * FACTORS + SHIFTS).min(axis=1))
+    rows = least.reshape(BANDS, DEEP)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sets of distinct hashes the common part of the union; two empty sets are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def sketches(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(doc_id, node, fp, keys): node is a hash of the text's shingle set, so texts of one node are of similarity 1."""
+    ddl = "doc_id long, node long, fp long, keys array<long>"
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, fp, keys = [], [], []
+            for t in text_bytes(b.column(1)):
+                hashes = shingles(t, words)
+                own = np.unique(hashes)
+                node.append(xxhash.xxh64_intdigest(own.tobytes()))
+                fp.append(majority(hashes))
+                keys.append(band_keys(own))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+
+    return docs_of(df, id_col, (text_col, "text")).mapInArrow(run, ddl)
+
+
+def candidate_pairs(nodes: DataFrame, limit: int) -> DataFrame:
+    """(a, b), a < b: in each band, and among equal fingerprints, every node with the first and the last of its key in an order
+    that differs by band; and the links of the trie.  A key makes at most two pairs a node, however many share it."""
+    keys = nodes.select("node", F.posexplode("keys").alias("band", "key")).union(nodes.select("node", F.lit(-1), "fp"))
+    keys = keys.withColumn("at", F.struct(F.xxhash64("node", "band").alias("h"), "node"))
+    ends = keys.groupBy("band", "key").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first != last")
+    met = keys.join(ends.select("band", "key", "first", "last"), ["band", "key"])
+    met = met.select("node", F.explode(F.array("first.node", "last.node")).alias("other"))
+    of_fp = staged(nodes.groupBy("fp").agg(F.min("node").alias("node")), "distinct-fingerprints")
+    near = links(of_fp.select("fp"), limit).join(of_fp.select(F.col("fp").alias("a"), "node"), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("node").alias("other")), "b")
+    pairs = met.union(near.select("node", "other")).where("node != other")
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def alike(pairs: DataFrame, texts: DataFrame, least: float, words: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose texts, of (node, text), have a shingle similarity of ``least`` or more."""
+    # texts of a hot node are split by adaptive execution; its rows come one after the other, so its set is made once
+    joined = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        held, own = None, None
+        for batch in batches:
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), text_bytes(batch.column(3))):
+                if a != held:
+                    held, own = a, np.unique(shingles(x, words))
+                if similarity(own, np.unique(shingles(y, words))) >= least:
+                    yield a, b
+
+    return map_rows(joined.select("a", "b", "text_a", "text_b"), run, "a long, b long")
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, limit: int = 3) -> DataFrame:
+    """(doc_id, component_id): groups of texts that pairs of shingle similarity ``least`` or more connect.
+
+    Ids must be distinct.  Similarity is the part that two texts' sets of ``words``-word shingles share of their union.  Pairs are
+    found by fingerprints within ``limit`` bits and by bands, and each is checked by its whole sets, so no other texts
+    are linked; what is found of the pairs is a matter of chance (see BANDS).  Texts without words are one group.
+    """
+    each = staged(sketches(df, id_col, text_col, words), "sketches")
+    nodes = staged(each.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
+    pairs = staged(candidate_pairs(nodes, limit), "pairs")
+    met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = nodes.join(met, "node").select("node", F.col("low").alias("doc_id")).join(docs_of(df, id_col, (text_col, "text")), "doc_id").select("node", "text")
+    root = groups(staged(alike(pairs, staged(texts, "pair-texts"), least, words), "alike"))
+    return each.select("doc_id", "node").join(root, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))

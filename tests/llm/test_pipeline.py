@@ -1,4 +1,5 @@
 import corpus_pipeline as p
+import numpy as np
 from pyspark.sql import functions as F
 
 from tarn.llm import language_id, line_dedup
@@ -23,3 +24,24 @@ def test_stages(spark):
     assert sorted(map(str, p.weighted(spark, three, sf).collect())) == sorted(map(str, four.collect()))
     five = p.tokens(spark, four, sf)
     assert five.count() == four.count() and five.where("n_tokens != size(ids)").count() == 0
+
+
+def test_near_copies_of_similarity_above_the_bound(spark):
+    rng = np.random.default_rng(7)
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}
+    rows, near, far = [], [], []
+    for i in range(400):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, int(rng.integers(30, 600)))]
+        copy = list(words)
+        for at in rng.choice(len(words), max(1, int(len(words) * rng.uniform(0.002, 0.04))), replace=False):
+            copy[at] = f"x{rng.integers(10**6)}"
+        a, b = shingles(words), shingles(copy)
+        (near if len(a & b) / len(a | b) >= 0.8 else far).append(2 * i + 1)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    # a repeated passage decides all bits of the fingerprint, but not the shingle set
+    rows += [(9000 + i, "a b c d e " * 300 + " ".join(f"q{i}r{j}" for j in range(400))) for i in range(2)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in p.near_copies(spark, docs, "").collect()}
+    assert len(near) > 150 and len(far) > 50
+    assert len(kept & set(near)) <= 0.01 * len(near)
+    assert kept - set(near) == {i for i, _ in rows} - set(near)
