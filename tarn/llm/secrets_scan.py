@@ -20,9 +20,10 @@ OTHERS = ("commit", "sha", "md5", "checksum", "hash", "digest", "uuid", "id", "i
 COMMON = ("the", "and", "for", "with", "that", "this", "from", "user", "name", "test", "example", "data", "file", "path", "value", "config", "server", "client", "index", "page", "home",
           "main", "list", "item", "type", "date", "time", "mail", "http", "https", "www", "com", "org", "net", "image", "photo", "video", "news", "blog", "post", "doc", "project", "source")
 
-#: A run of at least 16 characters that encodings of random bytes use, or a quoted or bare value after a naming word.
+#: A run of at least 16 characters that encodings of random bytes use, or a quoted or bare value after a naming word: both whole,
+#: however long.  Long words are candidates too; the forest takes them out.
 LONG = re.compile(r"(?<![A-Za-z0-9_+/=.@-])[A-Za-z0-9_+/=.@-]{16,}")
-NAMED = re.compile(r"(?i)(?:" + "|".join(NAMES) + r")[a-z_-]{0,20}[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?([^\s\"']{8,256})")
+NAMED = re.compile(r"(?i)(?:" + "|".join(NAMES) + r")[a-z_-]{0,20}[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?([^\s\"']{8,})")
 WORDS = re.compile(r"[^\W_]+")
 FEATURES = ("length", "entropy", "transitions", "digits", "upper", "lower", "other", "hex", "runs", "dictionary", "slashes", "dots", "at", "assigned", "quoted", "named", "other_named", "distinct")
 
@@ -67,7 +68,7 @@ def candidates(text: str) -> Iterator[tuple[int, int, str]]:
     yield_ = [(a, b, "named") for a, b in taken]
     for m in LONG.finditer(text):
         a, b = m.start(), m.start() + len(m[0].rstrip(".=@-"))
-        if b - a >= 16 and any(map(str.isdigit, m[0])) and not any(x < b and a < y for x, y in taken):
+        if b - a >= 16 and not any(x < b and a < y for x, y in taken):
             yield_.append((a, b, "long"))
     yield from sorted(yield_)
 
@@ -151,12 +152,13 @@ def labelled_findings(n: int = 1500, seed: int = 17) -> list[tuple[str, str, str
     out = []
     for _ in range(n):
         size = int(rng.integers(16, 65))
-        value = pick((chars(hexa, pick((32, 40, 64))), chars(b64, size), chars(b64, 20).upper(), chars(b64.replace("+/", ""), size)))
+        value = pick((chars(hexa, pick((32, 40, 64))), chars(b64, size), chars(b64, 20).upper(), chars(b64.replace("+/", ""), size), chars(b64[:52], size)))
         name, sign = pick(NAMES), pick((" = ", "=", ": ", ":"))
         name = pick((name, name.upper(), f"{word()}_{name}", f"{name}_{word()}"))
         quote = pick(("\"", "\"", "'", ""))
-        out.append((value, f"{prose(4)} {name}{sign}{quote}"[-CONTEXT:], f"{quote} {prose(2)}"[:CONTEXT], True))
-        kind = int(rng.integers(8))
+        start = f"{prose(4)} " if value.isalpha() and rng.integers(2) else f"{prose(4)} {name}{sign}{quote}"
+        out.append((value, start[-CONTEXT:], f"{quote if start[-1:] != ' ' else ''} {prose(2)}"[:CONTEXT], True))
+        kind = int(rng.integers(9))
         before = prose(5)
         if kind == 0:
             value = chars(digits, int(rng.integers(16, 20)))
@@ -172,6 +174,9 @@ def labelled_findings(n: int = 1500, seed: int = 17) -> list[tuple[str, str, str
             value = f"{word()}_{word()}_{pick(COMMON)}_{int(rng.integers(10000))}"
         elif kind == 6:
             value, before = f"{word()}{word()}{pick(COMMON)}", f"{before} {pick(NAMES)}{pick((': ', ' = '))}"
+        elif kind == 7:
+            value = "".join(word() for _ in range(9))[: int(rng.integers(16, 40))]
+            value = pick((value, value.capitalize(), value.upper()))
         else:
             value = word() + word() + str(int(rng.integers(10**6))) + word()
         out.append((value, f"{before} "[-CONTEXT:] if before[-1:] not in "=: " else before[-CONTEXT:], f" {prose(3)}"[:CONTEXT], False))

@@ -261,6 +261,17 @@ def test_secrets(spark, none):
     assert secrets_scan.scan(none, forest).count() == 0
 
 
+def test_secrets_whole_runs():
+    rng = np.random.default_rng(5)
+    jwt = "".join(rng.choice(list("ABCDEFGHabcdefgh0123456789_-"), 900)) + "Z"
+    letters = "qXvTzRkWpLmYbNcHgJdFsQwZ"
+    text = f"api_key = {jwt} and {letters} end"
+    assert [text[a:b] for a, b, _ in secrets_scan.candidates(text)] == [jwt, letters]
+    forest = secrets_scan.train(secrets_scan.labelled_findings())
+    score = lambda v: forest.score(np.array([secrets_scan.features(v, "and the file of ", " in the data")]))[0]
+    assert score(letters) >= 0.5 > max(map(score, ("internationalization", "Geschwindigkeitsbegrenzung", "desafortunadamente")))
+
+
 # -- SimHash ---------------------------------------------------------------------------------
 
 
