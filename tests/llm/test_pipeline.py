@@ -45,3 +45,9 @@ def test_near_copies_of_similarity_above_the_bound(spark):
     assert len(near) > 150 and len(far) > 50
     assert len(kept & set(near)) <= 0.01 * len(near)
     assert kept - set(near) == {i for i, _ in rows} - set(near)
+
+
+def test_language_without_labels(spark):
+    docs = spark.createDataFrame([(1, "ein Text", None, "s", 8), (2, "123 456", None, "s", 7), (3, None, None, "s", 0), (4, "ñ", None, None, 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = p.language(spark, docs, "")
+    assert got.columns == list(p.COLUMNS) and {(r.doc_id, r.lang) for r in got.collect()} == {(1, None), (4, None)}
