@@ -16,8 +16,8 @@ def to_0_2(s: Session) -> None:
     """Schemas and tables get paths; partition columns refer to column ids by their rank among a table's columns."""
     add_columns(s, "schema", "path VARCHAR", "path_is_relative BOOLEAN")
     add_columns(s, "table", "path VARCHAR", "path_is_relative BOOLEAN")
-    s.run("UPDATE {schema} SET path = schema_name || '/', path_is_relative = 1 WHERE path IS NULL")
-    s.run("UPDATE {table} SET path = table_name || '/', path_is_relative = 1 WHERE path IS NULL")
+    s.run("UPDATE {schema} SET path = schema_name || '/', path_is_relative = TRUE WHERE path IS NULL")
+    s.run("UPDATE {table} SET path = table_name || '/', path_is_relative = TRUE WHERE path IS NULL")
     s.run("UPDATE {partition_column} SET column_id = (SELECT r.column_id FROM (SELECT table_id, column_id, ROW_NUMBER() OVER (PARTITION BY table_id ORDER BY column_order) - 1 AS place FROM {column} WHERE parent_column IS NULL AND end_snapshot IS NULL) r WHERE r.table_id = {partition_column}.table_id AND r.place = {partition_column}.column_id)")
 
 
@@ -58,6 +58,6 @@ def migrate_from(store: Store, version: str) -> None:
     for target in VERSIONS[VERSIONS.index(version) + 1 :]:
         with store.writing() as s:
             STEPS[target](s)
-            s.run("UPDATE {metadata} SET value = ? WHERE key = 'version' AND scope IS NULL", target)
-    if store.rows("SELECT value FROM {metadata} WHERE key = 'version' AND scope IS NULL")[0]["value"] != VERSION:
+            s.run("""UPDATE {metadata} SET value = ? WHERE "key" = 'version' AND scope IS NULL""", target)
+    if store.rows("""SELECT value FROM {metadata} WHERE "key" = 'version' AND scope IS NULL""")[0]["value"] != VERSION:
         raise RuntimeError("the migration did not reach the present version")

@@ -172,7 +172,7 @@ def column_rows(table_id: int, columns: list[Column]) -> dict[int, dict]:
 def load(s: Session, snapshot: Snapshot) -> Catalog:
     """The catalog as it was at a snapshot."""
     at = (snapshot.id, snapshot.id)
-    data_path = s.rows("SELECT value FROM {metadata} WHERE key = 'data_path' AND scope IS NULL")[0]["value"]
+    data_path = s.rows("""SELECT value FROM {metadata} WHERE "key" = 'data_path' AND scope IS NULL""")[0]["value"]
     out = Catalog(snapshot, data_path)
     for r in s.rows(f"SELECT * FROM {{schema}} WHERE {ALIVE}", *at):
         out.schemas[r["schema_id"]] = SchemaDef(r["schema_id"], r["schema_uuid"], r["schema_name"], r["path"], bool(r["path_is_relative"]))
@@ -206,6 +206,21 @@ def latest(s: Session) -> Snapshot:
     return Snapshot.of(s.rows("SELECT * FROM {snapshot} ORDER BY snapshot_id DESC LIMIT 1")[0])
 
 
+def snapshot_of_schema(s: Session, version: int) -> Snapshot:
+    """The newest snapshot with a version of the schema.
+
+    If those are all expired, one that reads as the first of them did: its id comes from what schema versions note, and
+    its time and next ids mean nothing.
+    """
+    rows = s.rows("SELECT * FROM {snapshot} WHERE schema_version = ? ORDER BY snapshot_id DESC LIMIT 1", version)
+    if rows:
+        return Snapshot.of(rows[0])
+    first = s.rows("SELECT MIN(begin_snapshot) AS m FROM {schema_versions} WHERE schema_version = ?", version)[0]["m"]
+    if first is None:
+        raise NotFoundError(f"no snapshot has version {version} of the schema")
+    return Snapshot(first, dt.datetime.fromtimestamp(0, dt.UTC), version, 0, 0)
+
+
 def snapshot_at(s: Session, at: int | dt.datetime) -> Snapshot:
     if isinstance(at, dt.datetime):
         text = (at if at.tzinfo else at.replace(tzinfo=dt.UTC)).astimezone(dt.UTC).isoformat(timespec="microseconds")

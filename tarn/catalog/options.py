@@ -38,7 +38,7 @@ def set_options(store: Store, scope: str | None, scope_id: int | None, options:
         typed(k, v)
     with store.writing() as s:
         for k, v in options.items():
-            same = "key = ? AND scope IS NULL" if scope is None else "key = ? AND scope = ? AND scope_id = ?"
+            same = '"key" = ? AND scope IS NULL' if scope is None else '"key" = ? AND scope = ? AND scope_id = ?'
             s.run(f"DELETE FROM {{metadata}} WHERE {same}", *((k,) if scope is None else (k, scope, scope_id)))
             if v is not None:
                 s.insert("metadata", [{"key": k, "value": str(v).lower() if isinstance(v, bool) else str(v), "scope": scope, "scope_id": scope_id}])

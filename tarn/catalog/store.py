@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import datetime as dt
+import re
 import sqlite3
 from collections.abc import Iterable, Iterator
 from typing import Any
@@ -18,17 +19,18 @@ from ..errors import AlreadyInitializedError, NotInitializedError, OutdatedVersi
 VERSION = "1.0"
 VERSIONS = ("0.1", "0.2", "0.3", "0.4", "1.0")
 
+# The names and columns of the catalog's tables, which every client of a lake reads.
 LIFE = "begin_snapshot BIGINT, end_snapshot BIGINT"
 TABLES = {
-    "metadata": "key VARCHAR NOT NULL, value VARCHAR NOT NULL, scope VARCHAR, scope_id BIGINT",
+    "metadata": '"key" VARCHAR NOT NULL, value VARCHAR NOT NULL, scope VARCHAR, scope_id BIGINT',
     "snapshot": "snapshot_id BIGINT PRIMARY KEY, snapshot_time VARCHAR, schema_version BIGINT, next_catalog_id BIGINT, next_file_id BIGINT",
     "snapshot_changes": "snapshot_id BIGINT PRIMARY KEY, changes_made VARCHAR, author VARCHAR, commit_message VARCHAR, commit_extra_info VARCHAR",
     "schema": f"schema_id BIGINT, schema_uuid VARCHAR, {LIFE}, schema_name VARCHAR, path VARCHAR, path_is_relative BOOLEAN",
     "schema_versions": "begin_snapshot BIGINT, schema_version BIGINT, table_id BIGINT",
     "table": f"table_id BIGINT, table_uuid VARCHAR, {LIFE}, schema_id BIGINT, table_name VARCHAR, path VARCHAR, path_is_relative BOOLEAN",
     "column": f"column_id BIGINT, {LIFE}, table_id BIGINT, column_order BIGINT, column_name VARCHAR, column_type VARCHAR, initial_default VARCHAR, default_value VARCHAR, nulls_allowed BOOLEAN, parent_column BIGINT, default_value_type VARCHAR, default_value_dialect VARCHAR",
-    "column_tag": f"table_id BIGINT, column_id BIGINT, {LIFE}, key VARCHAR, value VARCHAR",
-    "tag": f"object_id BIGINT, {LIFE}, key VARCHAR, value VARCHAR",
+    "column_tag": f'table_id BIGINT, column_id BIGINT, {LIFE}, "key" VARCHAR, value VARCHAR',
+    "tag": f'object_id BIGINT, {LIFE}, "key" VARCHAR, value VARCHAR',
     "data_file": f"data_file_id BIGINT PRIMARY KEY, table_id BIGINT, {LIFE}, file_order BIGINT, path VARCHAR, path_is_relative BOOLEAN, file_format VARCHAR, record_count BIGINT, file_size_bytes BIGINT, footer_size BIGINT, row_id_start BIGINT, partition_id BIGINT, schema_version BIGINT",
     "delete_file": f"delete_file_id BIGINT PRIMARY KEY, table_id BIGINT, {LIFE}, data_file_id BIGINT, path VARCHAR, path_is_relative BOOLEAN, format VARCHAR, delete_count BIGINT, file_size_bytes BIGINT, footer_size BIGINT",
     "file_column_stats": "data_file_id BIGINT, table_id BIGINT, column_id BIGINT, column_size_bytes BIGINT, value_count BIGINT, null_count BIGINT, min_value VARCHAR, max_value VARCHAR, contains_nan BOOLEAN",
@@ -51,6 +53,8 @@ class Store:
 
     #: A placeholder of a parameter, and how a write transaction begins.
     mark, begin = "?", "BEGIN IMMEDIATE"
+    #: Parameters that a statement may bind, and the type of bytes.
+    binds, blob = 32_766, "BLOB"
 
     def __init__(self, url: str, prefix: str = "lake_"):
         self.url, self.prefix = url, prefix
@@ -63,7 +67,14 @@ class Store:
         names = {n: f"{self.prefix}{n}" for n in TABLES}
         for n, full in names.items():
             text = text.replace("{" + n + "}", full)
-        return text.replace("?", self.mark)
+        return self.typed(text.replace("?", self.mark))
+
+    def typed(self, text: str) -> str:
+        """Type names as the database spells them."""
+        return text
+
+    def ident(self, name: str) -> str:
+        return '"' + name.replace('"', '""') + '"'
 
     @contextlib.contextmanager
     def reading(self) -> Iterator[Session]:
@@ -120,7 +131,7 @@ class Store:
     def check_version(self, migrate: bool = False) -> None:
         if not self.initialised():
             raise NotInitializedError("the catalog holds no lake; create it first")
-        version = self.rows("SELECT value FROM {metadata} WHERE key = 'version' AND scope IS NULL")[0]["value"]
+        version = self.rows("""SELECT value FROM {metadata} WHERE "key" = 'version' AND scope IS NULL""")[0]["value"]
         if version == VERSION:
             return
         if version not in VERSIONS or not migrate:
@@ -137,9 +148,12 @@ class Session:
         self.store, self.connection = store, connection
 
     def run(self, text: str, *args: Any) -> Any:
+        return self.execute(self.store.sql(text), args)
+
+    def execute(self, text: str, args: Any) -> Any:
         cursor = self.connection.cursor()
         try:
-            cursor.execute(self.store.sql(text), args)
+            cursor.execute(text, args)
         except Exception as e:
             if self.store.conflict(e):
                 raise Conflict(str(e)) from e
@@ -152,19 +166,16 @@ class Session:
         return [dict(zip(names, r)) for r in cursor.fetchall()]
 
     def insert(self, table: str, rows: Iterable[dict]) -> None:
-        """Rows of one table; parameters are bound row by row, so no statement outgrows the database's limit."""
+        """Rows of one table, many a statement: as many as the database binds parameters for."""
         rows = list(rows)
         if not rows:
             return
         full = table if table not in TABLES else f"{self.store.prefix}{table}"
         names = list(dict.fromkeys(n for r in rows for n in r))
-        text = f"INSERT INTO {full} ({', '.join(map(ident, names))}) VALUES ({', '.join([self.store.mark] * len(names))})"
-        try:
-            self.connection.cursor().executemany(text, [[r.get(n) for n in names] for r in rows])
-        except Exception as e:
-            if self.store.conflict(e):
-                raise Conflict(str(e)) from e
-            raise
+        step, row = max(1, self.store.binds // len(names)), f"({', '.join([self.store.mark] * len(names))})"
+        for k in range(0, len(rows), step):
+            part = rows[k : k + step]
+            self.execute(f"INSERT INTO {full} ({', '.join(map(self.store.ident, names))}) VALUES {', '.join([row] * len(part))}", [r.get(n) for r in part for n in names])
 
     def matching(self, ids: Iterable[Any], text: str, *args: Any, step: int = 500) -> list[dict]:
         """Rows of a query with ``IN {ids}``, some ids at a time."""
@@ -184,10 +195,6 @@ class Session:
         return bool(self.store.tables({name}))
 
 
-def ident(name: str) -> str:
-    return '"' + name.replace('"', '""') + '"'
-
-
 def new_uuid() -> str:
     """A UUID of version 7, whose order is that of time."""
     import os
@@ -228,7 +235,9 @@ class SqliteStore(Store):
 class ServerStore(Store):
     """PostgreSQL and MySQL through any DB-API driver that is installed."""
 
-    mark, begin, drivers = "%s", "", ()
+    mark, begin, drivers, binds = "%s", "", (), 65_535
+    #: What a new connection is told, and the expression for the schema that the lake is in.
+    greeting, schema = "", ""
 
     def connect(self) -> Any:
         import importlib
@@ -239,11 +248,14 @@ class ServerStore(Store):
             except ImportError:
                 continue
             u = urlsplit(self.url)
-            return module.connect(host=u.hostname, port=u.port or self.port, user=u.username, password=u.password or "", **{self.database: u.path.lstrip("/")})
+            c = module.connect(host=u.hostname, port=u.port or self.port, user=u.username, password=u.password or "", **{self.database: u.path.lstrip("/")})
+            if self.greeting:
+                c.cursor().execute(self.greeting)
+            return c
         raise RuntimeError(f"none of the drivers {', '.join(self.drivers)} is installed")
 
     def tables(self, names: set[str]) -> set[str]:
-        return {r["table_name"] for r in self.rows("SELECT table_name AS table_name FROM information_schema.tables")} & names
+        return {r["table_name"] for r in self.rows(f"SELECT table_name AS table_name FROM information_schema.tables WHERE table_schema = {self.schema}")} & names
 
     def conflict(self, e: Exception) -> bool:
         return type(e).__name__ in ("IntegrityError", "UniqueViolation", "SerializationFailure", "DuplicateTable")
@@ -251,12 +263,17 @@ class ServerStore(Store):
 
 class PostgresStore(ServerStore):
     drivers, port, database, begin = ("psycopg", "psycopg2"), 5432, "dbname", "BEGIN ISOLATION LEVEL REPEATABLE READ"
+    schema, blob = "current_schema()", "BYTEA"
 
 
 class MySqlStore(ServerStore):
-    """Without inlining, as small writes need transactional DDL."""
+    """Without inlining, as small writes need transactional DDL. Its ANSI mode reads "names" and || as the others do."""
 
     drivers, port, database, begin = ("MySQLdb", "pymysql"), 3306, "database", "START TRANSACTION"
+    greeting, schema = "SET SESSION sql_mode = 'ANSI,STRICT_TRANS_TABLES'", "DATABASE()"
+
+    def typed(self, text: str) -> str:
+        return re.sub(r"\bVARCHAR\b(?!\()", "TEXT", text)
 
 
 def open_store(url: str, prefix: str = "lake_") -> Store:

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 import os
-import re
-import uuid
 from collections.abc import Mapping
 from typing import Any
 from zoneinfo import ZoneInfo
@@ -18,14 +16,16 @@ from .catalog.store import MySqlStore, open_store
 from .errors import InvalidNullabilityChangeError, NotFoundError, ReadonlyLakeError
 from .identifiers import TableName, table_name
 from .operators import maintenance as m
-from .operators.delete import delete_rows
-from .plans.scan import ScanResult, scan, to_df
+from .plans import pruning
+from .plans.scan import ScanResult, count, scan, to_df
+from .plans.statements import Statement
 from .sources.storage import apply_settings, storage_settings
 from .transaction import Transaction, TransactionTable
 from .types import Column, Partitioning, Schema
 
 #: What scans and writes need of a session; a lake sets it on its own.
-SETTINGS = {"spark.sql.parquet.fieldId.read.enabled": "true", "spark.sql.parquet.fieldId.write.enabled": "true", "spark.sql.timeType.enabled": "true"}
+#: Instants are written as microseconds: the older form has no statistics.
+SETTINGS = {"spark.sql.parquet.fieldId.read.enabled": "true", "spark.sql.parquet.fieldId.write.enabled": "true", "spark.sql.timeType.enabled": "true", "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS"}
 
 
 def create(spark: SparkSession, catalog_url: str, *, data_path: str, storage_options: Mapping[str, str] | None = None, time_zone: str = "UTC", prefix: str = "lake_") -> Lake:
@@ -74,6 +74,12 @@ class Lake:
             snapshot = model.snapshot_at(s, at)
         return Lake(self.spark, self.store, snapshot, True, self.storage_options, self.time_zone)
 
+    def at_schema_version(self, version: int) -> Lake:
+        """The lake at the newest snapshot with a version of the schema; data of expired snapshots may be gone."""
+        with self.store.reading() as s:
+            snapshot = model.snapshot_of_schema(s, version)
+        return Lake(self.spark, self.store, snapshot, True, self.storage_options, self.time_zone)
+
     def readonly(self) -> Lake:
         """Follows the newest snapshot, unless pinned, and rejects writes."""
         return Lake(self.spark, self.store, self.pinned, True, self.storage_options, self.time_zone)
@@ -133,7 +139,7 @@ class Lake:
 
     def metadata(self) -> dict[str, Any]:
         """Options of the whole lake, and the fixed values."""
-        fixed = {r["key"]: r["value"] for r in self.store.rows("SELECT key, value FROM {metadata} WHERE scope IS NULL") if r["key"] in options.FIXED}
+        fixed = {r["key"]: r["value"] for r in self.store.rows('SELECT "key", value FROM {metadata} WHERE scope IS NULL') if r["key"] in options.FIXED}
         return self.options() | fixed
 
     def set_metadata(self, *, schema: str | None = None, **opts: Any) -> None:
@@ -198,51 +204,15 @@ class Lake:
 
     def sql(self, query: str) -> DataFrame:
         """A query of Spark SQL; the lake's tables go by schema.table, or by their name in main."""
-        return self.spark.sql(self.bound(query)[0])
-
-    def bound(self, query: str) -> tuple[str, dict[str, str]]:
-        """The query with the lake's tables replaced by views of this snapshot; only tables that it names are scanned."""
-        views = {}
-        quoted = re.compile(r"('(?:[^'\\]|\\.|'')*')")
-        parts = quoted.split(query)
-        for n in sorted(self.list_tables(), key=lambda n: -len(str(n))):
-            spellings = [rf"`?{re.escape(n.schema)}`?\.`?{re.escape(n.name)}`?"] + ([rf"`?{re.escape(n.name)}`?"] if n.schema == "main" else [])
-            pattern = re.compile(r"(?<=[\s,(])(?:" + "|".join(spellings) + r")(?=[\s,);]|$)", re.I)
-            view = f"__lake_{uuid.uuid4().hex[:12]}"
-            used = False
-            for k in range(0, len(parts), 2):
-                new = self.replace_tables(parts[k], pattern, view, n.name)
-                used |= new != parts[k]
-                parts[k] = new
-            if used:
-                views[str(n)] = view
-                self.get_table(n).to_df().createOrReplaceTempView(view)
-        return "".join(parts), views
-
-    @staticmethod
-    def replace_tables(text: str, pattern: re.Pattern, view: str, name: str) -> str:
-        """A name after FROM, JOIN or a comma is a table; if it has no alias there it keeps its own name as one."""
-
-        def one(x: re.Match) -> str:
-            before = text[: x.start()].rstrip()
-            if not re.search(r"(?i)(?:\bfrom|\bjoin|,)$", before) or (before.endswith(",") and not re.search(r"(?i)\bfrom\b[^()]*,$", before)):
-                return x[0]
-            after = re.match(r"\s+(?:as\s+)?(\w+)", text[x.end() :], re.I)
-            word = after[1].lower() if after else ""
-            return view if after and word not in KEYWORDS else f"{view} AS `{name}`"
-
-        return pattern.sub(one, text)
+        return Statement(self, query).query()
 
     def execute_sql(self, query: Any) -> None:
-        """A statement: INSERT INTO, DELETE FROM, UPDATE, CREATE TABLE [AS], DROP, ALTER TABLE ... RENAME TO, CHECKPOINT, or a query."""
+        """A statement: INSERT, DELETE, UPDATE, MERGE, CREATE TABLE [AS], DROP, ALTER TABLE, CREATE or DROP SCHEMA, CHECKPOINT, or a query."""
         text = str(query).strip().rstrip(";").strip()
-        for pattern, f in STATEMENTS:
-            x = re.fullmatch(pattern, text, re.I | re.S)
-            if x:
-                self.require_write()
-                f(self, *x.groups())
-                return
-        self.sql(text).collect()
+        if text.lower() == "checkpoint":
+            self.checkpoint()
+        else:
+            Statement(self, text).run()
 
     # upkeep
 
@@ -266,65 +236,6 @@ class Lake:
         return [self.get_table(n).rewrite_data_files(**kw) for n in self.list_tables()]
 
 
-KEYWORDS = {"on", "using", "where", "group", "order", "having", "limit", "union", "intersect", "except", "minus", "join", "inner", "left", "right", "full", "cross", "semi", "anti", "natural", "lateral", "pivot", "unpivot", "window", "tablesample", "qualify", "sort", "cluster", "distribute"}
-NAME = r"((?:\"[^\"]+\"|`[^`]+`|\w+)(?:\.(?:\"[^\"]+\"|`[^`]+`|\w+))?)"
-
-
-def insert(lake: Lake, name: str, columns: str | None, query: str) -> None:
-    t = lake.get_table(clean(name))
-    df = lake.sql(query)
-    names = [c.strip().strip('`"') for c in columns.split(",")] if columns else t.schema.names()
-    from pyspark.sql import functions as F
-
-    df = df.toDF(*names)
-    types = {f.name: f.dataType for f in t.schema.spark()}
-    t.append(df.select(*[F.col(f"`{n}`").cast(types[n]) if n in names else F.lit(None).cast(types[n]).alias(n) for n in t.schema.names()]))
-
-
-def update(lake: Lake, name: str, sets: str, where: str | None) -> None:
-    """Deleted and inserted anew in one commit."""
-    from pyspark.sql import functions as F
-
-    table = lake.get_table(clean(name))
-    with lake.transaction() as tx:
-        t = tx.table(table.name)
-        result = table.scan(tx.catalog)
-        rows = to_df(lake, result, where)
-        for a in re.split(r",(?![^()]*\))", sets):
-            c, e = a.split("=", 1)
-            c = c.strip().strip('`"')
-            rows = rows.withColumn(c, F.expr(e.strip()).cast(table.schema.spark()[c].dataType))
-        t.append(rows, inline=False)
-        delete_rows(t, result, where or "true")
-
-
-def clean(name: str) -> str:
-    return name.replace("`", '"') if "`" in name else name
-
-
-def create_as(lake: Lake, name: str, query: str) -> None:
-    df = lake.sql(query)
-    with lake.transaction() as tx:
-        tx.create_table(clean(name), df.schema).append(df)
-
-
-STATEMENTS = [
-    (rf"delete\s+from\s+{NAME}(?:\s+where\s+(.*))?", lambda lake, n, w: lake.get_table(clean(n)).delete_where(w or "true")),
-    (rf"insert\s+into\s+{NAME}\s*(?:\(([^()]*)\))?\s*((?:select|values|with|from)\b.*)", insert),
-    (rf"update\s+{NAME}\s+set\s+(.*?)(?:\s+where\s+(.*))?", update),
-    (rf"create\s+table\s+{NAME}\s+as\s+(.*)", create_as),
-    (rf"create\s+table\s+{NAME}\s*\((.*)\)", lambda lake, n, ddl: lake.create_table(clean(n), ddl)),
-    (rf"drop\s+table\s+{NAME}", lambda lake, n: lake.get_table(clean(n)).delete()),
-    (r"create\s+schema\s+(\w+)", lambda lake, n: lake.create_schema(n)),
-    (r"drop\s+schema\s+(\w+)(\s+cascade)?", lambda lake, n, c: lake.delete_schema(n, cascade=bool(c))),
-    (rf"alter\s+table\s+{NAME}\s+rename\s+to\s+(\w+)", lambda lake, n, new: lake.get_table(clean(n)).rename(new)),
-    (rf"alter\s+table\s+{NAME}\s+add\s+column\s+(\w+\s+.*)", lambda lake, n, ddl: lake.get_table(clean(n)).add_column(Schema(ddl).columns[0])),
-    (rf"alter\s+table\s+{NAME}\s+drop\s+column\s+(\w+)", lambda lake, n, c: lake.get_table(clean(n)).remove_column(c)),
-    (rf"alter\s+table\s+{NAME}\s+rename\s+column\s+(\w+)\s+to\s+(\w+)", lambda lake, n, c, new: lake.get_table(clean(n)).rename_column(c, new)),
-    (r"checkpoint", lambda lake: lake.checkpoint()),
-]
-
-
 class LakeTable:
     """A table by id, so it survives renames; each change is a commit of its own."""
 
@@ -363,16 +274,21 @@ class LakeTable:
 
     # reading
 
-    def scan(self, catalog: Catalog | None = None) -> ScanResult:
+    def scan(self, catalog: Catalog | None = None, stats_of: set[str] | None = None) -> ScanResult:
+        """What the table is made of; ``stats_of`` limits the statistics to these columns."""
         catalog = catalog or self.lake.catalog()
         with self.lake.store.reading() as s:
-            return scan(s, catalog, catalog.tables[self.id])
+            return scan(s, catalog, catalog.tables[self.id], stats_of)
+
+    def scan_for(self, where: str | None, catalog: Catalog | None = None) -> ScanResult:
+        """With statistics of the condition's columns only."""
+        return self.scan(catalog, set() if where is None else pruning.columns(pruning.parse(self.lake.spark, where)))
 
     def to_df(self, where: str | None = None, *, include_file_paths: str | None = None, time_zone: str | None = None) -> DataFrame:
         """The table at the connection's snapshot; later commits don't change it."""
         self.definition()
         zone = time_zone or (self.lake.time_zone if self.lake.time_zone != "UTC" else None)
-        return to_df(self.lake, self.scan(), where, include_file_paths, zone)
+        return to_df(self.lake, self.scan_for(where), where, include_file_paths, zone)
 
     def to_arrow(self, **kw: Any):
         return self.to_df(**kw).toArrow()
@@ -382,7 +298,10 @@ class LakeTable:
 
     def count(self) -> int:
         """From the catalog, without a job."""
-        return self.scan().count()
+        catalog = self.lake.catalog()
+        self.definition()
+        with self.lake.store.reading() as s:
+            return count(s, catalog, catalog.tables[self.id])
 
     # writing
 
@@ -413,10 +332,7 @@ class LakeTable:
         return TransactionTable(self.lake.transaction(), self.id).get_write_info()
 
     def delete_where(self, where: str) -> None:
-        def run(t: TransactionTable) -> None:
-            delete_rows(t, self.scan(t.tx.catalog), where)
-
-        self.change(run)
+        self.change(lambda t: t.delete_where(where))
 
     # definition
 

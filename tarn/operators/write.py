@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import decimal
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -67,7 +68,8 @@ def acceptable(have: T.DataType, want: T.DataType) -> bool:
     return False
 
 
-UNSIGNED = {"uint8": (0, 2**8), "uint16": (0, 2**16), "uint32": (0, 2**32), "uint64": (0, 2**64)}
+#: The first value beyond each; Spark has no literal of 64 bits without a sign but a decimal.
+UNSIGNED = {"uint8": 2**8, "uint16": 2**16, "uint32": 2**32, "uint64": decimal.Decimal(2**64), "uint128": None}
 
 
 def prepare(df: DataFrame, t: TableDef) -> DataFrame:
@@ -83,8 +85,9 @@ def prepare(df: DataFrame, t: TableDef) -> DataFrame:
             raise ValueError(f"column {c.name} is {own.simpleString()}; the table has {kind.simpleString()}")
         value = F.col(f"`{c.name}`").cast(kind)
         if c.data_type.kind in UNSIGNED:
-            lo, hi = UNSIGNED[c.data_type.kind]
-            value = F.when(value.isNull() | (value >= lo) & (value < hi), value).otherwise(F.raise_error(F.lit(f"{c.name} is out of the range of {c.data_type}")))
+            end = UNSIGNED[c.data_type.kind]
+            fits = (value >= 0) & (value < end) if end is not None else value >= 0
+            value = F.when(value.isNull() | fits, value).otherwise(F.raise_error(F.lit(f"{c.name} is out of the range of {c.data_type}")))
         out.append(with_default(value, c).alias(c.name))
     return df.select(*out)
 
@@ -112,11 +115,12 @@ def row_bytes(schema: T.StructType) -> int:
     return max(1, sum(sizes.get(type(f.dataType), 24) for f in schema))
 
 
-def write_files(df: DataFrame, t: TableDef, path: str, options: dict[str, Any]) -> list[WriteDataFile]:
+def write_files(df: DataFrame, t: TableDef, path: str, options: dict[str, Any], apart: bool = False) -> list[WriteDataFile]:
     """Parquet files in a fresh folder of the table; a crash before the commit leaves only orphans there.
 
     Partition keys are shadow columns, which are not in the files; their source columns are.  Rows of a partition come
-    together by a rebalancing shuffle that splits large ones.  Only files of the committed output are listed.
+    together by a rebalancing shuffle that splits large ones, unless its tasks hold them ``apart`` already.  Only files of the
+    committed output are listed.
     """
     spark = df.sparkSession
     folder = f"{path}tarn-{new_uuid()}"
@@ -128,10 +132,14 @@ def write_files(df: DataFrame, t: TableDef, path: str, options: dict[str, Any])
     for k, (i, how) in enumerate(t.partition):
         shadows.append(f"{PARTITION}{k}")
         out = out.withColumn(shadows[-1], transform(F.col(f"`{names[i]}`"), how).cast("string"))
-    if shadows:
+    if shadows and not apart:
         out = out.hint("rebalance", *shadows)
     compression = {"uncompressed": "none"}.get(options["parquet_compression"], options["parquet_compression"])
     writer = out.write.option("compression", compression).option("parquet.block.row.count.limit", str(options["parquet_row_group_size"]))
+    # every task writes files of its own, so per_thread_output has nothing to switch
+    writer = writer.option("parquet.writer.version", f"v{options['parquet_version']}")
+    if compression == "zstd":
+        writer = writer.option("parquet.compression.codec.zstd.level", str(options["parquet_compression_level"]))
     writer = writer.option("maxRecordsPerFile", str(max(1, options["target_file_size"] // row_bytes(schema))))
     (writer.partitionBy(*shadows) if shadows else writer).parquet(folder)
     files = Files(spark)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import decimal
 import json
 from dataclasses import dataclass, field
 from typing import Any
@@ -15,7 +16,7 @@ from ..catalog.store import Session
 from ..literals import format_value, parse_value
 from ..sources.footers import ColumnStats
 from ..sources.storage import Files, join
-from ..types import Column, spark_type
+from ..types import Column, DataType, spark_type
 from . import pruning
 
 #: Deletes of a scan are broadcast up to so many rows (two words each); more are joined by a shuffle.
@@ -27,6 +28,7 @@ class DeleteFile:
     id: int
     path: str
     count: int
+    begin: int = 0
 
 
 @dataclass
@@ -38,10 +40,13 @@ class ScanDataFile:
     row_id_start: int | None
     stats: dict[int, ColumnStats] = field(default_factory=dict)
     deletes: list[DeleteFile] = field(default_factory=list)
-    deleted_rows: list[int] = field(default_factory=list)
+    #: positions that the catalog holds itself, and the snapshot that deleted each
+    deleted_rows: dict[int, int] = field(default_factory=dict)
 
     def deleted(self) -> int:
-        return sum(d.count for d in self.deletes) + len(self.deleted_rows)
+        """Rows that are gone. A delete file holds all positions that were inlined before it, so only later ones add to it."""
+        last = max((d.begin for d in self.deletes), default=-1)
+        return sum(d.count for d in self.deletes) + sum(b > last for b in self.deleted_rows.values())
 
 
 @dataclass
@@ -97,7 +102,12 @@ def decode(v: Any, c: Column) -> Any:
         return nested(json.loads(v), c)
     if t.kind == "blob":
         return bytes(v)
-    return v if t.kind in ("varchar", "json") else parse_value(str(v), t)
+    return v if t.kind in ("varchar", "json") else in_spark(parse_value(str(v), t), t)
+
+
+def in_spark(v: Any, t: DataType) -> Any:
+    """Whole numbers that have no type of their own in Spark are decimals there."""
+    return decimal.Decimal(v) if t.kind in ("uint64", "int128", "uint128") and v is not None else v
 
 
 def nested(v: Any, c: Column) -> Any:
@@ -110,7 +120,7 @@ def nested(v: Any, c: Column) -> Any:
         return {nested(k, t.children[0]): nested(x, t.children[1]) for k, x in v}
     if t.kind == "struct":
         return tuple(nested(v[str(x.field_id)], x) if str(x.field_id) in v else x.initial_default for x in t.children)
-    return v if t.kind in ("varchar", "json") else parse_value(v, t)
+    return v if t.kind in ("varchar", "json") else in_spark(parse_value(v, t), t)
 
 
 def inlined_name(prefix: str, table_id: int, schema_version: int) -> str:
@@ -124,16 +134,17 @@ def deletes_name(prefix: str, table_id: int) -> str:
 # -- the scan -------------------------------------------------------------------------------
 
 
-def scan(s: Session, catalog: Catalog, t: TableDef, with_stats: bool = True) -> ScanResult:
+def scan(s: Session, catalog: Catalog, t: TableDef, stats_of: set[str] | None = None) -> ScanResult:
+    """The files, deletes and inlined rows of a snapshot; statistics only of the top columns named, of all if None."""
     at, base = (catalog.snapshot.id, catalog.snapshot.id), catalog.path_of(t)
     files = {
         r["data_file_id"]: ScanDataFile(r["data_file_id"], join(base, r["path"]) if r["path_is_relative"] else r["path"], r["record_count"], r["file_size_bytes"], r["row_id_start"])
         for r in s.rows(f"SELECT * FROM {{data_file}} WHERE table_id = ? AND {ALIVE} ORDER BY data_file_id", t.id, *at)
     }
     by_id = t.by_id()
-    if with_stats:
-        alive = ALIVE.replace("begin_", "f.begin_").replace("(end_", "(f.end_").replace("OR end_", "OR f.end_")
-        for r in s.rows(f"SELECT c.* FROM {{file_column_stats}} c JOIN {{data_file}} f ON c.data_file_id = f.data_file_id WHERE f.table_id = ? AND {alive}", t.id, *at):
+    ids = [c.field_id for c in t.columns if c.name in stats_of] if stats_of is not None else list(by_id)
+    if ids and files:
+        for r in s.matching(ids, f"SELECT c.* FROM {{file_column_stats}} c JOIN {{data_file}} f ON c.data_file_id = f.data_file_id WHERE f.table_id = ? AND {alive_as('f')} AND c.column_id IN {{ids}}", t.id, *at):
             c = by_id.get(r["column_id"])
             if c is not None and not c.data_type.children:
                 # bounds are read by the column's present type, which they were promoted to with the column
@@ -142,12 +153,12 @@ def scan(s: Session, catalog: Catalog, t: TableDef, with_stats: bool = True) ->
         if r["format"] != "parquet":
             raise ValueError(f"delete files of the format {r['format']} can't be read")
         if r["data_file_id"] in files:
-            files[r["data_file_id"]].deletes.append(DeleteFile(r["delete_file_id"], join(base, r["path"]) if r["path_is_relative"] else r["path"], r["delete_count"] or 0))
+            files[r["data_file_id"]].deletes.append(DeleteFile(r["delete_file_id"], join(base, r["path"]) if r["path_is_relative"] else r["path"], r["delete_count"] or 0, r["begin_snapshot"]))
     name = deletes_name(s.store.prefix, t.id)
     if s.has_table(name):
         for r in s.rows(f"SELECT * FROM {name} WHERE begin_snapshot <= ?", at[0]):
             if r["file_id"] in files:
-                files[r["file_id"]].deleted_rows.append(r["row_id"])
+                files[r["file_id"]].deleted_rows.setdefault(r["row_id"], r["begin_snapshot"])
     inlined = []
     for v in s.rows("SELECT * FROM {inlined_data_tables} WHERE table_id = ? ORDER BY schema_version", t.id):
         for r in s.rows(f"SELECT * FROM {v['table_name']} WHERE {ALIVE} ORDER BY row_id", *at):
@@ -155,6 +166,24 @@ def scan(s: Session, catalog: Catalog, t: TableDef, with_stats: bool = True) ->
     return ScanResult(t, list(files.values()), sorted(inlined, key=lambda x: x[0]))
 
 
+def alive_as(alias: str) -> str:
+    return ALIVE.replace("begin_", f"{alias}.begin_").replace("(end_", f"({alias}.end_").replace("OR end_", f"OR {alias}.end_")
+
+
+def count(s: Session, catalog: Catalog, t: TableDef) -> int:
+    """Rows of a snapshot, by sums in the catalog database: no file becomes an object here."""
+    at = (catalog.snapshot.id, catalog.snapshot.id)
+    total = s.rows(f"SELECT SUM(record_count) AS n FROM {{data_file}} WHERE table_id = ? AND {ALIVE}", t.id, *at)[0]["n"] or 0
+    total -= s.rows(f"SELECT SUM(d.delete_count) AS n FROM {{delete_file}} d JOIN {{data_file}} f ON d.data_file_id = f.data_file_id WHERE d.table_id = ? AND {alive_as('d')} AND {alive_as('f')}", t.id, *at, *at)[0]["n"] or 0
+    name = deletes_name(s.store.prefix, t.id)
+    if s.has_table(name):
+        later = f"NOT EXISTS (SELECT 1 FROM {{delete_file}} d WHERE d.data_file_id = x.file_id AND d.begin_snapshot >= x.begin_snapshot AND {alive_as('d')})"
+        total -= s.rows(f"SELECT COUNT(*) AS n FROM (SELECT DISTINCT x.file_id, x.row_id FROM {name} x JOIN {{data_file}} f ON x.file_id = f.data_file_id WHERE x.begin_snapshot <= ? AND {alive_as('f')} AND {later}) y", at[0], *at, *at)[0]["n"]
+    for v in s.rows("SELECT table_name FROM {inlined_data_tables} WHERE table_id = ?", t.id):
+        total += s.rows(f"SELECT COUNT(*) AS n FROM {v['table_name']} WHERE {ALIVE}", *at)[0]["n"]
+    return int(total)
+
+
 def inlined_values(result: ScanResult) -> list[tuple]:
     """Rows of the present schema; a column that did not exist yet has its initial default."""
     return [(i, *(decode(values[c.field_id], c) if c.field_id in values else c.initial_default for c in result.table.columns)) for i, values in result.inlined]
@@ -163,17 +192,18 @@ def inlined_values(result: ScanResult) -> list[tuple]:
 ROW, FILE, POSITION = "__row_id", "__file", "__position"
 
 
-def to_df(lake, result: ScanResult, where: str | None = None, include_file_paths: str | None = None, time_zone: str | None = None, hidden: bool = False) -> DataFrame:
+def to_df(lake, result: ScanResult, where: str | None = None, include_file_paths: str | None = None, time_zone: str | None = None, hidden: bool = False, alias: str | None = None) -> DataFrame:
     """The table as a DataFrame, fixed to the files of the scan.
 
     ``where`` leaves out files that it can't match and filters the rest.  Only files with deletes go through the anti-join.
-    With ``hidden`` the columns ROW (of inlined rows), FILE and POSITION (of others) come along.
+    With ``hidden`` the columns ROW (of inlined rows), FILE and POSITION (of others) come along.  The condition may call the table
+    by its name or by ``alias``.
     """
     spark, t = lake.spark, result.table
     schema = t.schema().spark()
     files = result.files
     if where is not None:
-        tree = pruning.parse(spark, where)
+        tree = pruning.parse(spark, where, {c.name: c.data_type.kind for c in t.columns})
         top = {c.field_id: c.name for c in t.columns}
         files = [f for f in files if pruning.may_match(tree, {top[i]: (x.min, x.max, x.nulls) for i, x in f.stats.items() if i in top}, f.rows)]
     paths = Files(spark)
@@ -200,7 +230,7 @@ def to_df(lake, result: ScanResult, where: str | None = None, include_file_paths
         inline = spark.createDataFrame(inlined_values(result), T.StructType([T.StructField(ROW, T.LongType()), *[T.StructField(c.name, spark_type(c.data_type)) for c in t.columns]]))
         out = out.unionByName(inline.withColumn(FILE, F.lit(None).cast("string")).withColumn(POSITION, F.lit(None).cast("long")))
     if where is not None:
-        out = out.where(where)
+        out = out.alias(alias or t.name).where(where)
     columns = [F.col(f"`{c.name}`") for c in t.columns]
     if include_file_paths:
         columns.append(F.col(FILE).alias(include_file_paths))
