@@ -6,11 +6,13 @@ Each builds a lake in a fresh place, loads the tables that it needs, runs the op
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,10 +36,12 @@ def query(sql: str | None = None):
 
 
 def fresh(spark: SparkSession, zone: str = "UTC") -> lakes.Lake:
-    """A lake whose catalog is with the driver, and whose data is in the shared folder where the cluster names one."""
+    """A lake whose catalog is with the driver, and whose data is in the shared folder that a cluster must name."""
     local = tempfile.mkdtemp(prefix="tarn-lake-")
     atexit.register(shutil.rmtree, local, ignore_errors=True)
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     data = f"{shared.rstrip('/')}/tarn-lake-{uuid.uuid4().hex}" if shared else f"{local}/data"
     return lakes.create(spark, f"sqlite:///{local}/catalog.db", data_path=data, time_zone=zone)
 
@@ -116,6 +120,26 @@ def time_travel_v1(spark, sf_dir):
     return lake.at(1).get_table("orders").to_df()
 
 
+@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)), (1, 1, NULL, NULL), (2, 1, 'me', 'more'), (3, 2, NULL, NULL)) t(snapshot_id, schema_version, author, commit_message)")
+def snapshot_log(spark, sf_dir):
+    lake = fresh(spark)
+    t = load(lake, sf_dir, "nation")
+    with lake.transaction(author="me", message="more") as tx:
+        tx.table("nation").append(source(spark, sf_dir, "nation"))
+    t.rename_column("n_name", "name")
+    return lake.snapshots().select("snapshot_id", "schema_version", "author", "commit_message")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def snapshot_of_schema(spark, sf_dir):
+    """The newest snapshot of a version of the schema."""
+    lake = fresh(spark)
+    t = load(lake, sf_dir, "nation")
+    t.rename_column("n_name", "name")
+    t.append(source(spark, sf_dir, "nation").withColumnRenamed("n_name", "name"))
+    return lake.at_schema_version(1).get_table("nation").to_df()
+
+
 @query("SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'created_schema:\"main\"'), (1, 'created_table:\"main\".\"nation\",inserted_into_table:1'), (2, 'altered_table:1'), (3, 'deleted_from_table:1')) t(snapshot_id, changes_made)")
 def changes_log(spark, sf_dir):
     lake = fresh(spark)
@@ -153,6 +177,152 @@ def sql_update(spark, sf_dir):
     return lake.sql("SELECT o_orderkey, o_totalprice FROM orders")
 
 
+def mixed_deletes(spark, sf_dir, large: str) -> lakes.LakeTable:
+    """Few rows deleted in the catalog, then many by a file that takes their place."""
+    t = load(fresh(spark), sf_dir, "orders")
+    t.delete_where("o_orderkey BETWEEN 1 AND 8")
+    t.delete_where(large)
+    return t
+
+
+def with_count(t: lakes.LakeTable) -> DataFrame:
+    return t.to_df().withColumn("n_catalog", F.lit(t.count()).cast("long"))
+
+
+@query("WITH x AS (SELECT * FROM orders WHERE NOT (o_orderkey BETWEEN 1 AND 8) AND NOT (o_orderkey < 300)) SELECT *, (SELECT count(*) FROM x) AS n_catalog FROM x")
+def delete_small_then_large(spark, sf_dir):
+    return with_count(mixed_deletes(spark, sf_dir, "o_orderkey < 300"))
+
+
+@query("WITH x AS (SELECT * FROM orders WHERE NOT (o_orderkey BETWEEN 1 AND 8) AND o_orderkey % 3 = 0) SELECT *, (SELECT count(*) FROM x) AS n_catalog, CAST(0 AS BIGINT) AS n_deletes FROM x")
+def rewrite_after_mixed_deletes(spark, sf_dir):
+    t = mixed_deletes(spark, sf_dir, "o_orderkey % 3 <> 0")
+    t.rewrite_data_files(delete_threshold=0.3)
+    return with_count(t).withColumn("n_deletes", F.lit(sum(f.deleted() for f in t.scan().files)).cast("long"))
+
+
+@query("WITH x AS (SELECT * FROM orders WHERE NOT (o_orderkey BETWEEN 1 AND 8) AND o_orderkey % 40 = 0) SELECT *, (SELECT count(*) FROM x) AS n_catalog FROM x")
+def checkpoint_after_mixed_deletes(spark, sf_dir):
+    t = mixed_deletes(spark, sf_dir, "o_orderkey % 40 <> 0")
+    t.lake.checkpoint()
+    return with_count(t)
+
+
+@query("SELECT o_orderkey, o_custkey AS o_totalprice, CAST(floor(o_totalprice) AS BIGINT) AS o_custkey FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, o_totalprice, o_custkey FROM orders WHERE o_orderstatus <> 'F'")
+def sql_update_swap(spark, sf_dir):
+    """All new values come from the old row; texts may hold what looks like syntax."""
+    lake = fresh(spark)
+    load(lake, sf_dir, "orders")
+    lake.execute_sql("UPDATE orders AS o SET o_custkey = CAST(floor(o.o_totalprice) AS BIGINT), o_totalprice = o_custkey WHERE o_orderstatus = 'F' AND o_orderpriority <> 'a, b = where c' -- orders")
+    return lake.sql("SELECT o_orderkey, o_totalprice, o_custkey FROM orders")
+
+
+@query("WITH nation AS (SELECT r_regionkey AS x FROM region) SELECT n.x, r.r_name AS customer FROM nation n JOIN region r ON n.x = r.r_regionkey GROUP BY n.x, r.r_name")
+def sql_cte_shadow(spark, sf_dir):
+    """A name that a WITH clause defines hides the table; names in comments and of columns are none."""
+    lake = fresh(spark)
+    for t in ("nation", "region", "customer"):
+        load(lake, sf_dir, t)
+    return lake.sql("WITH nation AS (SELECT r_regionkey AS x FROM /* of nation */ main.region) SELECT n.x, r.r_name AS customer FROM nation n, -- customer\n region r WHERE n.x = r.r_regionkey GROUP BY n.x, r.r_name")
+
+
+@query("SELECT * FROM customer WHERE NOT (c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000))")
+def sql_delete(spark, sf_dir):
+    lake = fresh(spark)
+    for t in ("customer", "orders"):
+        load(lake, sf_dir, t)
+    lake.execute_sql("DELETE FROM customer c WHERE c.c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
+    return lake.sql("SELECT * FROM customer")
+
+
+@query("SELECT n_nationkey + 100 AS id, n_name AS label, CAST(NULL AS INTEGER) AS r FROM nation UNION ALL SELECT r_regionkey, 'it''s, x = 1', 7 FROM region")
+def sql_insert_select(spark, sf_dir):
+    lake = fresh(spark)
+    for t in ("nation", "region"):
+        load(lake, sf_dir, t)
+    lake.execute_sql("CREATE TABLE x (id INT, label STRING, r INT)")
+    lake.execute_sql("INSERT INTO x (label, id) SELECT n_name, n_nationkey + 100 FROM nation")
+    lake.execute_sql("INSERT INTO x WITH nation AS (SELECT * FROM region) SELECT r_regionkey, 'it\\'s, x = 1', 7 FROM nation")
+    return lake.sql("SELECT * FROM x")
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, CASE WHEN s_suppkey % 4 = 1 THEN s_acctbal * 2 ELSE s_acctbal END AS s_acctbal FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 4 = 1 UNION ALL SELECT s_suppkey + 1000000, 'new', 0, NULL FROM supplier WHERE s_suppkey % 10 = 0")
+def sql_merge(spark, sf_dir):
+    """Updates, deletes and inserts of one MERGE are one commit."""
+    lake = fresh(spark)
+    t = load(lake, sf_dir, "supplier")
+    df = source(spark, sf_dir, "supplier")
+    load(lake, sf_dir, "news", df.where("s_suppkey % 2 = 1").select("s_suppkey").union(df.where("s_suppkey % 10 = 0").selectExpr("s_suppkey + 1000000")))
+    lake.execute_sql("MERGE INTO supplier s USING news n ON s.s_suppkey = n.s_suppkey WHEN MATCHED AND n.s_suppkey % 4 = 1 THEN UPDATE SET s_acctbal = s.s_acctbal * 2 WHEN MATCHED THEN DELETE WHEN NOT MATCHED THEN INSERT (s_suppkey, s_name, s_nationkey) VALUES (n.s_suppkey, 'new', 0)")
+    return t.to_df()
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS label, CAST(NULL AS DOUBLE) AS z FROM nation")
+def sql_alter(spark, sf_dir):
+    lake = fresh(spark)
+    load(lake, sf_dir, "nation")
+    for text in ("ALTER COLUMN n_nationkey TYPE BIGINT", "RENAME COLUMN n_nationkey TO id", "RENAME COLUMN n_name TO label", "DROP COLUMN n_regionkey", "ADD COLUMN z DOUBLE", "RENAME TO lands"):
+        lake.execute_sql(f"ALTER TABLE nation {text}")
+    return lake.sql("SELECT * FROM lands")
+
+
+# -- types -----------------------------------------------------------------------------------
+
+
+@contextlib.contextmanager
+def zoned(spark: SparkSession, zone: str):
+    """Another time zone for as long as Spark resolves a query, which keeps it."""
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+EPOCH = "CAST(epoch_us(o_orderdate) AS BIGINT)"
+
+
+def instants(spark, sf_dir, offset: int = 0) -> DataFrame:
+    """Orders with their dates as instants: midnights of UTC, or ``offset`` seconds later."""
+    day = F.date_diff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date"))
+    return source(spark, sf_dir, "orders").select("o_orderkey", F.timestamp_seconds(day * 86400 + offset).alias("at"))
+
+
+@query(f"SELECT o_orderkey, {EPOCH} + 18000000000 AS us FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'")
+def scan_pruned_zone(spark, sf_dir):
+    """A text is a time of the session's zone, for file pruning too: 1996-12-31 21:00 in Los Angeles is 05:00 in UTC a day later."""
+    lake = fresh(spark)
+    t = load(lake, sf_dir, "orders", instants(spark, sf_dir, 18000).where("year(at) < 1997").coalesce(1))
+    t.sink(instants(spark, sf_dir, 18000).where("year(at) >= 1997").coalesce(1))
+    with zoned(spark, "America/Los_Angeles"):
+        df = t.to_df("at < '1996-12-31 21:00:00'")
+    return df.select("o_orderkey", F.unix_micros("at").alias("us"))
+
+
+@query(f"SELECT o_orderkey, {EPOCH} AS us, CAST(o_orderdate AS VARCHAR)[:10] AS day FROM orders WHERE o_orderkey < 500 UNION ALL SELECT o_orderkey, {EPOCH}, CAST(o_orderdate AS VARCHAR)[:10] FROM orders WHERE o_orderkey < 5")
+def scan_timestamptz(spark, sf_dir):
+    """Instants inlined and in files, read back as instants and as wall-clock time of a zone."""
+    lake = fresh(spark)
+    df = instants(spark, sf_dir)
+    t = load(lake, sf_dir, "t", df.where("o_orderkey < 500"))
+    t.append(df.where("o_orderkey < 5"))
+    wall = t.to_df(time_zone="Europe/London").select(F.col("o_orderkey").alias("k"), F.col("at").alias("wall")).distinct()
+    out = t.to_df("at >= timestamp'1900-01-01 00:00:00Z'")
+    return out.join(wall, out.o_orderkey == wall.k).select("o_orderkey", F.unix_micros("at").alias("us"), F.date_format("wall", "yyyy-MM-dd").alias("day"))
+
+
+@query("SELECT n_nationkey * 10 AS a, n_nationkey * 2600 AS b, CAST(n_nationkey AS BIGINT) * 170000000 AS c, CAST(n_nationkey AS DECIMAL(38,0)) * 768614336404564650 AS d FROM nation UNION ALL SELECT 255, 65535, 4294967295, 18446744073709551615")
+def scan_unsigned(spark, sf_dir):
+    """Integers without a sign up to their largest, inlined and in files."""
+    t = fresh(spark).create_table("t", Schema([Column(n, DataType(k)) for n, k in (("a", "uint8"), ("b", "uint16"), ("c", "uint32"), ("d", "uint64"))]))
+    n = source(spark, sf_dir, "nation")
+    d = "decimal(20,0)"
+    t.append(n.select((F.col("n_nationkey") * 10).alias("a"), (F.col("n_nationkey") * 2600).alias("b"), (F.col("n_nationkey").cast("long") * 170000000).alias("c"), (F.col("n_nationkey").cast(d) * F.lit(768614336404564650).cast(d)).cast(d).alias("d")))
+    t.append(n.limit(1).select(F.lit(255).alias("a"), F.lit(65535).alias("b"), F.lit(4294967295).alias("c"), F.lit("18446744073709551615").cast(d).alias("d")))
+    return t.to_df().select("a", "b", "c", F.col("d").cast("decimal(38,0)").alias("d"))
+
+
 # -- schema evolution ------------------------------------------------------------------------
 
 
@@ -313,6 +483,66 @@ def stream_append(spark, sf_dir):
     return t.to_df().groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+def stream_of(spark, sf_dir, lake, table: str, name: str, t) -> None:
+    """All files of a table as a stream with a checkpoint of its own."""
+    import os
+
+    from .streaming.sink import append_stream
+
+    path = f"{sf_dir}/{table}.parquet"
+    stream = spark.readStream.schema(source(spark, sf_dir, table).schema).parquet(path if os.path.isdir(path) else path + "*")
+    append_stream(t, stream, f"{lake.data_path}_checkpoint_{name}", availableNow=True).awaitTermination()
+
+
+@query("SELECT event_id, count(*) AS n FROM (SELECT event_id FROM events UNION ALL SELECT event_id FROM events) GROUP BY event_id")
+def stream_two_sources(spark, sf_dir):
+    """Two streams into one table, and one of them started again, which adds nothing."""
+    lake = fresh(spark)
+    t = lake.create_table("events", source(spark, sf_dir, "events").schema)
+    for name in ("one", "two", "one"):
+        stream_of(spark, sf_dir, lake, "events", name, t)
+    return t.to_df().groupBy("event_id").agg(F.count("*").alias("n"))
+
+
+def windowed(spark, sf_dir, shape, delay: str = "1 hour") -> DataFrame:
+    """Counts by window of event time over a stream with a watermark; a last event far ahead closes all windows.
+
+    The stream's results are appended to a table of a lake, one commit a batch.
+    """
+    import os
+
+    from .streaming.sink import append_stream
+
+    lake, events = fresh(spark), source(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    folder = f"{lake.data_path}_in"
+    far = events.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"))
+    events.coalesce(1).write.parquet(f"{folder}/a")
+    stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(folder)
+    out = stream.withWatermark("ts", delay).groupBy(shape.alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.unix_seconds("w.start").alias("begin"), F.unix_seconds("w.end").alias("finish"), "event_type", "n")
+    t = lake.create_table("counts", out.schema)
+    append_stream(t, out, f"{lake.data_path}_checkpoint", availableNow=True).awaitTermination()
+    far.coalesce(1).write.parquet(f"{folder}/b")
+    append_stream(t, out, f"{lake.data_path}_checkpoint", availableNow=True).awaitTermination()
+    return t.to_df().where("event_type <> 'end'")
+
+
+@query("SELECT begin, begin + 3600 AS finish, event_type, count(*) AS n FROM (SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS begin, event_type FROM events) GROUP BY ALL")
+def stream_tumbling(spark, sf_dir):
+    return windowed(spark, sf_dir, F.window("ts", "1 hour"))
+
+
+@query("SELECT begin, begin + 7200 AS finish, event_type, count(*) AS n FROM (SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) - 3600 * k AS begin, event_type FROM events, (VALUES (0), (1)) x(k)) GROUP BY ALL")
+def stream_sliding(spark, sf_dir):
+    return windowed(spark, sf_dir, F.window("ts", "2 hours", "1 hour"))
+
+
+@query("""WITH a AS (SELECT event_type, epoch_us(ts) AS t FROM events), b AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY event_type ORDER BY t) < 60000000 THEN 0 ELSE 1 END AS new FROM a),
+    c AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM b)
+    SELECT event_type, CAST(floor(min(t) / 1000000) AS BIGINT) AS begin, CAST(floor((max(t) + 60000000) / 1000000) AS BIGINT) AS finish, count(*) AS n FROM c GROUP BY event_type, g""")
+def stream_session(spark, sf_dir):
+    return windowed(spark, sf_dir, F.session_window("ts", "1 minute"))
+
+
 # -- what Spark brings: relational operators on the lake's tables -----------------------------
 
 
@@ -380,3 +610,43 @@ def agg_pivot(spark, sf_dir):
 def agg_approx(spark, sf_dir):
     df = load(fresh(spark), sf_dir, "lineitem").to_df()
     return df.groupBy("l_returnflag").agg((F.abs(F.approx_count_distinct("l_partkey") - F.count_distinct("l_partkey")) <= 0.5 * F.count_distinct("l_partkey")).alias("near"))
+
+
+relational("fn_map", "orders", "SELECT o_custkey, m['F'] AS f, size(m) AS n, array_join(array_sort(map_keys(m)), ',') AS k FROM (SELECT o_custkey, map_from_entries(collect_list(struct(o_orderstatus, n))) AS m FROM (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY o_custkey, o_orderstatus) GROUP BY o_custkey)", "SELECT o_custkey, max(CASE WHEN o_orderstatus = 'F' THEN n END) AS f, CAST(count(*) AS INTEGER) AS n, string_agg(o_orderstatus, ',' ORDER BY o_orderstatus) AS k FROM (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY o_custkey, o_orderstatus) GROUP BY o_custkey")
+relational("fn_json", "events", "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k, to_json(struct(user_id AS u)) AS j FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, '{\"u\":' || user_id || '}' AS j FROM events")
+relational("win_percent", "customer", "SELECT c_custkey, round(percent_rank() OVER w, 9) AS p, round(cume_dist() OVER w, 9) AS d FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey)")
+relational("win_nth", "orders", "SELECT o_orderkey, nth_value(o_orderkey, 2) OVER w AS second_key, last_value(o_orderkey) OVER w AS last_key FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
+
+
+@query("SELECT p_partkey, p_size * 2 + length(p_name) AS v FROM part")
+def udf_scalar(spark, sf_dir):
+    """A function of Python over Arrow batches."""
+    @F.pandas_udf("long")
+    def weigh(size: pd.Series, name: pd.Series) -> pd.Series:
+        return size * 2 + name.str.len()
+
+    return load(fresh(spark), sf_dir, "part").to_df().select("p_partkey", weigh("p_size", "p_name").alias("v"))
+
+
+@query("SELECT p_brand, CAST(max(p_size) - min(p_size) AS DOUBLE) AS spread FROM part GROUP BY p_brand")
+def udf_aggregate(spark, sf_dir):
+    """An aggregate of Python; a group's values come together, so it is for groups of a bounded size."""
+    @F.pandas_udf("double")
+    def spread(v: pd.Series) -> float:
+        return float(v.max() - v.min())
+
+    return load(fresh(spark), sf_dir, "part").to_df().groupBy("p_brand").agg(spread("p_size").alias("spread"))
+
+
+@query("SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part")
+def udf_table(spark, sf_dir):
+    """A table function of Python, joined laterally."""
+
+    class Words:
+        def eval(self, text: str):
+            for w in (text or "").split(" "):
+                yield (w,)
+
+    words = F.udtf(Words, returnType="word: string")
+    df = load(fresh(spark), sf_dir, "part").to_df()
+    return df.lateralJoin(words(F.col("p_name").outer())).select("p_partkey", "word")
