@@ -59,12 +59,6 @@ def op7_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.scan(read(spark, sf_dir, "documents"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_katz_backoff, op3_language_id, op4_repeated_strings, op5_line_windows, op6_bpe_transducer, op7_secret_forest, op8_simhash_trie, op9_adaptive_scan, op10_source_mix, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_katz_backoff, op3_language_id, op4_repeated_strings, op5_line_windows, op6_bpe_transducer, op7_secret_forest, op8_simhash_trie, op9_adaptive_scan, op10_source_mix)}
 
 ORACLES = {"op5_line_windows": line_dedup.ORACLE, "op10_source_mix": mixing.ORACLE}
