@@ -14,22 +14,39 @@ from .common import Stage, arrow_schema, n_shuffle, staged
 
 #: Vectors that centroids are trained on, and queries that the number of probed lists is tuned on, at most.
 SAMPLE, TUNE = 8192, 128
-#: Dimensions of a column block; vectors of a block of a list, at most.
-COLUMNS, ROWS = 16, 4096
+#: Vectors that a list should hold; centroids of a level, at most: lists grow with the table to the square of that.
+LIST, CENTROIDS = 1024, 1024
+#: Dimensions of a column block; vectors of a block of a list, and queries that scan it together, at most.
+COLUMNS, ROWS, QUERIES = 16, 4096, 512
 #: The hypothesis test's factor: a candidate is abandoned if its partial distance is off by more than CONFIDENCE / sqrt(dimensions).
 CONFIDENCE = 2.1
 #: Part of true neighbours that tuning aims at.
 RECALL = 0.97
+#: Part of candidates under which those left are looked at one by one; pairs that are scored exactly at a time.
+FEW, PAIRS = 0.2, 1 << 16
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
 
 
 @dataclass
 class Index:
-    """A random rotation, the largest norm, the centroids, and how many lists a query probes."""
+    """A random rotation, the largest norm, centroids of two levels, and how many cells and lists a query looks at.
+
+    A list is a cell (the nearest of ``coarse``) and the nearest of ``fine`` to what is left of the vector; its number is
+    cell * len(fine) + place.  ``sample`` holds vectors of the table, from which queries get their first bounds.
+    """
 
     rotation: np.ndarray
     largest: float
-    centroids: np.ndarray
-    probes: int
+    coarse: np.ndarray
+    fine: np.ndarray
+    sample: np.ndarray
+    #: the list of each vector of the sample
+    at: np.ndarray | None = None
+    wide: int = 1
+    probes: int = 1
 
     def lift(self, x: np.ndarray) -> np.ndarray:
         """Vectors with one dimension more, in which the least distance is the largest inner product; rotated."""
@@ -39,79 +56,149 @@ class Index:
     def query(self, q: np.ndarray) -> np.ndarray:
         return np.concatenate([q, np.zeros((len(q), 1))], 1) @ self.rotation
 
-
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
+    def lists(self) -> int:
+        return len(self.coarse) * len(self.fine)
+
+    def list_of(self, lifted: np.ndarray) -> np.ndarray:
+        cell = distances(lifted, self.coarse).argmin(1)
+        return cell * len(self.fine) + distances(lifted - self.coarse[cell], self.fine).argmin(1)
+
+    def near(self, q: np.ndarray, wide: int) -> np.ndarray:
+        """The lists of the ``wide`` nearest cells of each lifted query, nearest first."""
+        d = distances(q, self.coarse)
+        if len(self.fine) == 1:
+            return np.argsort(d, 1, kind="stable")
+        cell = np.argsort(d, 1, kind="stable")[:, :wide]
+        # |q - c - f|^2 = |q - c|^2 - 2 q f + 2 c f + |f|^2
+        both = np.take_along_axis(d, cell, 1)[:, :, None] + 2 * (self.coarse @ self.fine.T)[cell] + ((self.fine**2).sum(1) - 2 * q @ self.fine.T)[:, None, :]
+        number = cell[:, :, None] * len(self.fine) + np.arange(len(self.fine))
+        order = np.argsort(both.reshape(len(q), -1), 1, kind="stable")
+        return np.take_along_axis(number.reshape(len(q), -1), order, 1)
+
+    def bounds(self, q: np.ndarray, routes: list[np.ndarray], k: int) -> np.ndarray:
+        """A score that k vectors of each query's own lists reach: the k-th best of the sample's vectors in them."""
+        out, there = np.full(len(q), -np.inf), np.zeros(self.lists(), bool)
+        scores = q @ self.sample.T
+        for i, near in enumerate(routes):
+            there[near] = True
+            own = scores[i, there[self.at]]
+            there[near] = False
+            if len(own) >= k:
+                out[i] = -np.partition(-own, k - 1)[k - 1]
+        return out
+
+    def route(self, q: np.ndarray, sizes: np.ndarray, k: int) -> list[np.ndarray]:
+        """The lists that each query scans: the nearest ``probes``, and further ones until they hold k vectors."""
+        lifted, out = self.query(q), []
+        for i, near in enumerate(self.near(lifted, self.wide)):
+            if sizes[near[: self.probes]].sum() < k:
+                near = self.near(lifted[i : i + 1], len(self.coarse))[0]
+                out.append(near[: max(self.probes, int(np.searchsorted(np.cumsum(sizes[near]), k)) + 1)])
+            else:
+                out.append(near[: self.probes])
+        return out
+
+
+def means(x: np.ndarray, n: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
+    """k-means: n centroids."""
+    c = x[rng.permutation(len(x))[:n]].copy()
+    for _ in range(rounds if len(c) > 1 else 1):
+        own = distances(x, c).argmin(1)
+        total = np.zeros_like(c)
+        np.add.at(total, own, x)
+        count = np.bincount(own, minlength=len(c))
+        c[count > 0] = total[count > 0] / count[count > 0][:, None]
+    return c
 
 
 def fit(sample: np.ndarray, largest: float, n: int, k: int, seed: int = 5) -> Index:
-    """k-means on the sample; then the least number of lists that finds RECALL of the sample's own k neighbours."""
+    """Centroids of the sample for a table of n vectors; then the least numbers of cells and lists that find RECALL of the
+    sample's own k neighbours."""
     rng = np.random.default_rng(seed)
     d = sample.shape[1]
     rotation = np.linalg.qr(rng.normal(size=(d + 1, d + 1)))[0]
-    index = Index(rotation, largest, np.zeros((0, d + 1)), 1)
+    index = Index(rotation, largest, np.zeros((1, d + 1)), np.zeros((1, d + 1)), sample)
     x = index.lift(sample)
-    lists = int(min(len(x), max(1, round(np.sqrt(n)) // 2), 2048))
-    c = x[rng.permutation(len(x))[:lists]]
-    for _ in range(8):
-        own = distances(x, c).argmin(1)
-        for j in np.unique(own):
-            c[j] = x[own == j].mean(0)
-    index.centroids, own = c, distances(x, c).argmin(1)
+    lists = max(1, -(-n // LIST))
+    index.coarse = means(x, min(lists, CENTROIDS, len(x)), rng)
+    if lists > len(index.coarse):
+        rest = x - index.coarse[distances(x, index.coarse).argmin(1)]
+        index.fine = means(rest, min(-(-lists // len(index.coarse)), CENTROIDS, len(x)), rng)
+    own = index.at = index.list_of(x)
     q = sample[rng.permutation(len(sample))[:TUNE]]
-    scores = q @ sample.T
-    best = np.argsort(-scores, 1)[:, : min(k + 1, len(sample))]
-    order = np.argsort(distances(index.query(q), c), 1)
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(lists)[None], 1)
-    needed = np.take_along_axis(rank, own[best], 1)  # the rank of the list in which each neighbour is
-    index.probes = int(np.quantile(needed, RECALL, method="higher")) + 1
+    best = np.argsort(-(q @ sample.T), 1)[:, : min(k + 1, len(sample))]
+    lifted = index.query(q)
+    order = np.argsort(distances(lifted, index.coarse), 1, kind="stable")
+    index.wide = part_of(order, own[best] // len(index.fine), len(index.coarse)) if len(index.fine) > 1 else len(index.coarse)
+    index.probes = part_of(index.near(lifted, index.wide), own[best], index.lists())
     return index
 
 
-def scan(ids: np.ndarray, x: np.ndarray, lifted: np.ndarray, q: np.ndarray, rotated: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query number, place of the vector, score) of the k best of a block for each query, by the adaptive scan.
-
-    The first vectors set a query's bound. The others come with their first COLUMNS rotated dimensions, then the next, and so
-    on; before each a candidate goes whose partial distance, scaled to all dimensions, is over the bound by more than
-    chance allows.  Only those left are scored exactly, in double precision.
-    """
-    D = lifted.shape[1]
-    rows, cols, vals = [], [], []
-    first = min(len(x), 2 * k)
-    for i in range(len(q)):
-        exact = x[:first] @ q[i]
-        head = np.argpartition(-exact, min(k, first) - 1)[:k]
-        kept, scores = [np.arange(first)[head]], [exact[head]]
-        left = np.arange(first, len(x))
-        if len(left) and first >= k:
-            # the bound as a distance: |q|^2 + M^2 - 2 * inner product
-            norm = float(rotated[i] @ rotated[i]) + float(lifted[0] @ lifted[0])
-            bound = max(norm - 2 * float(np.sort(exact[head])[0]), 0.0)
-            part = np.zeros(len(left))
-            for at in range(0, D, COLUMNS):
-                diff = lifted[left, at : at + COLUMNS] - rotated[i, at : at + COLUMNS]
-                part += np.einsum("ij,ij->i", diff, diff)
-                seen = min(at + COLUMNS, D)
-                slack = (1 + CONFIDENCE / np.sqrt(seen)) ** 2 if seen < D else 1 + 1e-9
-                stay = part <= bound * seen / D * slack
-                left, part = left[stay], part[stay]
-                if not len(left):
+def part_of(order: np.ndarray, wanted: np.ndarray, n: int) -> int:
+    """How many of each row's ``order`` hold RECALL of what is wanted, over all rows."""
+    needed = []
+    for o, w in zip(order, wanted):
+        rank = np.full(n, len(o), np.int64)
+        rank[o] = np.arange(len(o))
+        needed.append(rank[w])
+    return min(int(np.quantile(np.concatenate(needed), RECALL, method="higher")) + 1, order.shape[1])
+
+
+class Block:
+    """The vectors of a block of a list, as they are and lifted; ``first`` is the smallest id of each."""
+
+    def __init__(self, index: Index, x: np.ndarray, first: np.ndarray):
+        self.x, self.first = x, first
+        self.lifted = index.lift(x).astype(np.float32)
+
+    def scan(self, index: Index, q: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, place, score) of the k best for each query, best first, ties by ``first``; none under the query's bound.
+
+        The adaptive scan: partial distances grow by blocks of COLUMNS rotated dimensions, of all queries and vectors at once.
+        After each, pairs go whose partial distance, scaled to all dimensions, is over the bound by more than chance
+        allows; when few are left, only those go on.  What is left at the end is scored in double precision.
+        """
+        rotated = index.query(q)
+        # the bound as a distance: |q|^2 + M^2 - 2 * inner product; floats of 32 bits are off by less than ``off``
+        norm = (rotated**2).sum(1) + index.largest**2
+        off = 1e-5 * norm.max()
+        limit = np.maximum(norm - 2 * bound, 0) + off
+        rq, D = rotated.astype(np.float32), rotated.shape[1]
+        part, pairs = np.zeros((len(q), len(self.x)), np.float32), None
+        for at in range(0, D, COLUMNS):
+            a, b = rq[:, at : at + COLUMNS], self.lifted[:, at : at + COLUMNS]
+            seen = min(at + COLUMNS, D)
+            most = (limit * (seen / D * (1 + CONFIDENCE / np.sqrt(seen)) ** 2) if seen < D else limit).astype(np.float32)
+            if pairs is None:
+                part += distances(a, b)
+                if seen == D:
                     break
-        if len(left):
-            exact = x[left] @ q[i]
-            if len(left) > k:
-                top = np.argpartition(-exact, k - 1)
-                # ties at the edge stay: the smaller id decides later
-                top = np.flatnonzero(exact >= exact[top[k - 1]])
-                left, exact = left[top], exact[top]
-            kept.append(left)
-            scores.append(exact)
-        at = np.concatenate(kept)
-        rows.append(np.full(len(at), i))
-        cols.append(at)
-        vals.append(np.concatenate(scores))
-    return np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
+                stay = part <= most[:, None]
+                if stay.mean() < FEW:
+                    pairs = np.nonzero(stay)
+                    part = part[pairs]
+                else:
+                    part[~stay] = np.inf
+            else:
+                i, j = pairs
+                for n in range(0, len(i), PAIRS):
+                    diff = b[j[n : n + PAIRS]] - a[i[n : n + PAIRS]]
+                    part[n : n + PAIRS] += np.einsum("ij,ij->i", diff, diff)
+                stay = part <= most[i]
+                pairs, part = (i[stay], j[stay]), part[stay]
+        if pairs is None:
+            if len(self.x) > k:  # the block's own k-th best is a bound too
+                limit = np.minimum(limit, np.partition(part, k - 1, 1)[:, k - 1] + 2 * off)
+            pairs = np.nonzero(part <= limit[:, None])
+        i, j = pairs
+        score = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", self.x[j[n : n + PAIRS]], q[i[n : n + PAIRS]]) for n in range(0, len(i), PAIRS))])
+        enough = score >= bound[i]
+        i, j, score = i[enough], j[enough], score[enough]
+        order = np.lexsort((self.first[j], -score, i))
+        i, j, score = i[order], j[order], score[order]
+        begin = np.searchsorted(i, i)
+        top = np.arange(len(i)) - begin < k
+        return i[top], j[top], score[top]
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -126,8 +213,11 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     take no part, nor rows without an id, nor vectors of another length than most have.  An empty table gives an empty result.
 
     Equal vectors are one candidate that stands for its k + 1 smallest ids, and equal queries are asked once, so a very
-    common vector is one entry of one list.  Lists are cut into blocks of ROWS vectors; a task takes blocks, with the queries
-    that probe their list.  The index is fitted on SAMPLE vectors, but every vector is in it.
+    common vector is one entry of one list.  Lists are cut into blocks of ROWS vectors; a task reads blocks one after the other,
+    each followed by the queries that probe its list, and holds one block and QUERIES queries at a time.  A query's bound
+    is that of the sample's vectors in its lists at first, and tightened by each block that its task scans.  The index is fitted on SAMPLE vectors, but
+    every vector is in it; a query whose lists hold too few vectors goes on to further ones.  Of different vectors with one
+    score those with smaller ids come first, so ties are never cut at random.
     """
     spark = df.sparkSession
     raw = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
@@ -149,54 +239,73 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = packed.value
-        schema = arrow_schema("list int").append(pa.field("ids", pa.list_(pa.int64()))).append(pa.field("v", pa.list_(pa.float64())))
         for b in batches:
-            where = distances(own.lift(matrix(b.column(1))), own.centroids).argmin(1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(where), b.column(0), b.column(1)], schema=schema)
+            where = np.concatenate([np.zeros(0, np.int64), *(own.list_of(own.lift(matrix(b.column(1).slice(at, ROWS)))) for at in range(0, b.num_rows, ROWS))])
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), b.column(0), b.column(1)], names=["list", "ids", "v"])
+
+    lists = staged(distinct.select("ids", "v").mapInArrow(assign, "list long, ids array<long>, v array<double>"), "lists")
+    counted = lists.groupBy("list").count().collect()  # one row a list: at most CENTROIDS squared
+    held = np.zeros(index.lists(), np.int64)
+    for r in counted:
+        held[r["list"]] = r["count"]
+    sizes = spark.sparkContext.broadcast(held)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = packed.value
-        schema = pa.schema([("list", pa.int32()), ("qid", pa.int64()), ("v", pa.list_(pa.float64()))])
+        own, n = packed.value, sizes.value
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                d = distances(own.query(matrix(part.column(1))), own.centroids)
-                near = np.argsort(d, 1, kind="stable")[:, : own.probes].astype(np.int32)
-                who = np.repeat(np.arange(part.num_rows), near.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel()), part.column(0).take(pa.array(who)), part.column(1).take(pa.array(who))], schema=schema)
-
-    lists = staged(distinct.select("ids", "v").mapInArrow(assign, "list int, ids array<long>, v array<double>"), "lists")
-    sizes = lists.groupBy("list").count().withColumn("blocks", F.ceil(F.col("count") / ROWS).cast("int")).select("list", "blocks")
-    blocked = lists.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+                some = b.slice(at, 256)
+                q = matrix(some.column(1))
+                routes = own.route(q, n, k + 1)
+                bound = own.bounds(q, routes, k + 1) - 1e-9
+                went = [(i, x, c) for i, near in enumerate(routes) for x in near[n[near] > 0].tolist() for c in range(-(-int(n[x]) // ROWS))]
+                who = pa.array([i for i, _, _ in went], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([x for _, x, _ in went], pa.int64()), pa.array([c for _, _, c in went], pa.int32()), some.column(0).take(who), pa.array(bound).take(who), some.column(1).take(who)], names=["list", "block", "qid", "bound", "v"])
+
+    blocks = F.broadcast(spark.createDataFrame([(r["list"], -(-r["count"] // ROWS)) for r in counted], "list long, blocks int"))
+    blocked = lists.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     asked = Stage(rows.where(F.col("id") % every == 0).groupBy("v").agg(F.min("id").alias("qid")), "queries").df()
-    routed = asked.select("qid", "v").mapInArrow(route, "list int, qid long, v array<double>")
-    routed = routed.join(F.broadcast(sizes), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "qid", "v")
-    both = blocked.select("list", "block", F.lit(None).cast("long").alias("qid"), "ids", "v").union(routed.select("list", "block", "qid", F.lit(None).cast("array<long>"), "v"))
+    routed = asked.select("qid", "v").mapInArrow(route, "list long, block int, qid long, bound double, v array<double>")
+    both = blocked.select("list", "block", F.lit(None).cast("long").alias("qid"), F.lit(None).cast("double").alias("bound"), "ids", "v").union(routed.select("list", "block", "qid", "bound", F.lit(None).cast("array<long>"), "v"))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = packed.value
+        own, tight = packed.value, {}
         schema = pa.schema([("qid", pa.int64()), ("score", pa.float64()), ("ids", pa.list_(pa.int64()))])
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held).combine_chunks()
-        key = t["list"].to_numpy().astype(np.int64) << 32 | t["block"].to_numpy()
-        qids, v = t["qid"].to_pylist(), matrix(t["v"].chunk(0))
-        is_q = np.array([i is not None for i in qids])
-        ids = t["ids"].chunk(0)
-        for g in np.unique(key):
-            mine = key == g
-            rows_, qs = np.flatnonzero(mine & ~is_q), np.flatnonzero(mine & is_q)
-            if not len(rows_) or not len(qs):
-                continue
-            x = v[rows_]
-            lifted = own.lift(x)
-            for at in range(0, len(qs), 512):
-                some = qs[at : at + 512]
-                i, j, s = scan(rows_, x, lifted, v[some], own.query(v[some]), k + 1)
-                yield pa.RecordBatch.from_arrays([pa.array([qids[some[n]] for n in i], pa.int64()), pa.array(s), ids.take(pa.array(rows_[j]))], schema=schema)
-
-    found = both.repartition(n_shuffle(spark), "list", "block").mapInArrow(probe, "qid long, score double, ids array<long>")
+        key, vectors, ids, block = None, [], [], None
+
+        def ask(part: pa.RecordBatch) -> pa.RecordBatch:
+            qids = part.column(2).to_pylist()
+            bound = np.array([max(a, tight.get(x, a)) for x, a in zip(qids, part.column(3).to_pylist())])
+            i, j, score = block.scan(own, matrix(part.column(5)), bound, k + 1)
+            if len(tight) > 1 << 20:
+                tight.clear()
+            full = np.flatnonzero(np.bincount(i, minlength=len(qids)) > k)
+            last = np.searchsorted(i, full, "right") - 1
+            tight.update((qids[x], s) for x, s in zip(full.tolist(), score[last].tolist()))
+            return pa.RecordBatch.from_arrays([part.column(2).take(pa.array(i)), pa.array(score), every_ids.take(pa.array(j))], schema=schema)
+
+        for b in batches:
+            lists_, blocks_ = b.column(0).to_numpy(), b.column(1).to_numpy()
+            is_q = b.column(2).is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(lists_) != 0) | (np.diff(blocks_) != 0) | (np.diff(is_q.astype(np.int8)) != 0)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+                if lo == hi:
+                    continue
+                part, here = b.slice(lo, hi - lo), (lists_[lo], blocks_[lo])
+                if here != key:
+                    key, vectors, ids, block = here, [], [], None
+                if not is_q[lo]:
+                    vectors.append(matrix(part.column(5)))
+                    ids.append(part.column(4))
+                elif vectors:
+                    if block is None:
+                        every_ids = pa.concat_arrays(ids)
+                        block = Block(own, np.concatenate(vectors), np.array([x[0] for x in every_ids.to_pylist()], np.int64))
+                    for at in range(0, part.num_rows, QUERIES):
+                        yield ask(part.slice(at, QUERIES))
+
+    dealt = both.repartition(n_shuffle(spark), "list", "block").sortWithinPartitions("list", "block", F.col("qid").asc_nulls_first())
+    found = dealt.mapInArrow(probe, "qid long, score double, ids array<long>")
     best = top(found, k + 1)
     each = staged(best, "found").join(asked, "qid").join(rows.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "v").distinct(), "v")
     each = each.select("query_id", F.posexplode("near").alias("at", "x")).where("x.vec_id != query_id")

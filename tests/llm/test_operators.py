@@ -381,3 +381,51 @@ def test_mix(docs, none, spark):
     assert sum(t[0] for t in by.values()) == pytest.approx(sum(t[2] for t in by.values()))
     assert all(abs(t[0] - t[1]) <= 30 and t[0] <= 3 * t[2] + 1e-6 for t in by.values())
     assert mixing.mix(docs).count() == len(TEXTS) and mixing.mix(none).count() == 0
+
+
+def exact_neighbours(ids, x, q, k):
+    s = (x * x[q]).sum(1)
+    o = np.lexsort((ids, -s))
+    return [int(ids[i]) for i in o if ids[i] != ids[q]][:k]
+
+
+def test_neighbours_keep_ties(spark, monkeypatch):
+    """Among vectors of one score the smaller ids come first; with all lists probed the result is exact."""
+    monkeypatch.setattr(neighbours, "CONFIDENCE", 1e9)
+    monkeypatch.setattr(neighbours, "LIST", 500)
+    rng = np.random.default_rng(8)
+    x = rng.integers(-2, 3, (4000, 8)).astype(float)
+    x[(x == 0).all(1)] = 1
+    ids = rng.permutation(40000)[:4000]
+    df = spark.createDataFrame([(int(i), v.tolist(), "a", 1.0) for i, v in zip(ids, x)], "vec_id long, embedding array<double>, list string, score double")
+    index = neighbours.fit(np.unique(x, axis=0), float(np.linalg.norm(x, axis=1).max()), 4000, 20)
+    index.probes = index.lists()
+    got = {}
+    for r in neighbours.search(df, k=20, index=index).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    queries = [n for n, i in enumerate(ids) if i % 20 == 0]
+    assert set(got) == {int(ids[q]) for q in queries}
+    assert [int(ids[q]) for q in queries if got[int(ids[q])] != exact_neighbours(ids, x, q, 20)] == []
+
+
+@pytest.mark.parametrize("n,centroids", [(600, 1024), (3000, 4), (6000, 1024)])
+def test_neighbours_recall(spark, monkeypatch, n, centroids):
+    monkeypatch.setattr(neighbours, "CENTROIDS", centroids)
+    monkeypatch.setattr(neighbours, "LIST", 150)
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 24)) + 2 * rng.normal(size=(10, 24))[rng.integers(0, 10, n)]
+    got = neighbours.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas()
+    own = {q: set(g.vec_id) for q, g in got.groupby("query_id")}
+    hits = [len(own[q] & set(exact_neighbours(np.arange(n), x, q, 20))) / 20 for q in range(0, n, 20)]
+    assert np.mean(hits) >= 0.95 and len(own) == len(range(0, n, 20)) and (got.groupby("query_id").size() == 20).all()
+    assert neighbours.fit(x[:500], float(np.linalg.norm(x, axis=1).max()), n, 20).lists() >= n / 150 / 2
+
+
+def test_neighbours_few_in_the_nearest_list(spark):
+    """Tight clusters of fewer vectors than are asked for: a query goes on to further lists."""
+    rng = np.random.default_rng(3)
+    x = np.repeat(np.eye(60) * 10, 5, 0) + rng.normal(size=(300, 60)) * 1e-3
+    index = neighbours.fit(x, float(np.linalg.norm(x, axis=1).max()), 300 * 200, 20)
+    index.probes = 1
+    got = neighbours.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), index=index).groupBy("query_id").count().collect()
+    assert len(got) == 15 and {r["count"] for r in got} == {20}
