@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -87,15 +88,17 @@ class Forest:
             self.links += zip(a[first].tolist(), b[first].tolist())
 
 
-def trie_join(fps: np.ndarray, limit: int, a: tuple[int, int], b: tuple[int, int], depth: int, errors: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two nodes (ranges of sorted distinct ``fps``), or within one node.
+def trie_join(fps: np.ndarray, limit: int, pairs: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the two nodes of each pair, or within one node; the forest is of all pairs together.
+
+    A pair is a row (begin, end, begin, end): two ranges of ``fps`` that are sorted and distinct each, or one range twice.
 
     Pairs of nodes go down the trie together.  ``errors`` counts the bits in which their paths differ; a pair over
     ``limit`` is dropped with all below it.  A pair that can't get over it any more (few bits are left) is linked as a
     chain without looking further, and so is a node with itself.
     """
     forest = Forest(len(fps))
-    stack = [(np.array([[*a, *b]], np.int64), depth, np.array([errors], np.int64))]
+    stack = [(pairs[k : k + FRONTIER], 0, np.zeros(len(pairs[k : k + FRONTIER]), np.int64)) for k in range(0, len(pairs), FRONTIER)]
     while stack:
         pairs, depth, err = stack.pop()
         sizes_a, sizes_b = pairs[:, 1] - pairs[:, 0], pairs[:, 3] - pairs[:, 2]
@@ -143,50 +146,93 @@ def split(fps: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.uint64) -> np
     return lo
 
 
-#: Distinct fingerprints that one node of the first cut should hold.
-NODE = 1 << 15
+#: Distinct fingerprints of a node that one task takes: at least, at most.
+NODES = (1 << 12, 1 << 15)
+#: Parts of a node, at most; fingerprints that go down the trie together.
+PARTS, TOGETHER = 64, 1 << 16
+
+
+def cuts(n: int, limit: int, node: int) -> list[int]:
+    """Bit masks: of two fingerprints that differ in ``limit`` bits or fewer, at least one mask shows the same of both.
+
+    The bits are cut into blocks; a mask takes all but ``limit`` of them.  There are as many blocks as are needed for nodes of
+    about ``node`` among n even fingerprints.
+    """
+    for blocks in range(limit + 1, 2 * limit + 3):
+        edges = [BITS * k // blocks for k in range(blocks + 1)]
+        masks = [sum(((1 << edges[b + 1]) - (1 << edges[b])) for b in own) for own in combinations(range(blocks), blocks - limit)]
+        if n >> min(m.bit_count() for m in masks) <= node:
+            break
+    return masks
 
 
 def links(fps: DataFrame, limit: int = 3) -> DataFrame:
     """(a, b): a spanning forest, task by task, of the pairs of distinct fingerprints that differ in ``limit`` bits or fewer.
 
-    The trie is cut at a depth at which an even node holds about NODE fingerprints.  A task is a pair of nodes whose
-    prefixes differ in at most ``limit`` bits, so a fingerprint goes to a number of tasks that grows with the logarithm
-    of the input.  An uneven node is only a larger task; links are a forest, so no group of near copies makes more links
-    than members.
+    Fingerprints that are equal under one of the masks of cuts() are a node; each is in as many nodes as there are masks (4 up to
+    some 2 * 10^9 fingerprints).  A node goes down the binary trie with itself.  One that holds more than a task should is dealt into
+    parts by hash, and its tasks are pairs of parts, so close fingerprints that share most bits are split too, which cutting by
+    further bits would leave together.  A node of more than PARTS times a task's size has larger parts.
     """
     spark = fps.sparkSession
     n = fps.count()
-    cut = max(0, min(20, (max(n, 1) // NODE).bit_length()))
-    masks = [m for m in range(1 << cut) if m.bit_count() <= limit] if cut else [0]
-    prefix = F.shiftrightunsigned("fp", BITS - cut).cast("int") if cut else F.lit(0)
-    # node p meets q = p xor mask; the pair is dealt to the task min * 2^cut + max
-    away = F.explode(F.array(*[F.lit(m) for m in masks])) if len(masks) > 1 else F.lit(0)
-    dealt = fps.select("fp", prefix.alias("p")).select("fp", "p", away.alias("m")).withColumn("q", F.col("p").bitwiseXOR(F.col("m")))
-    dealt = dealt.select("fp", (F.least("p", "q").cast("long") * (1 << cut) + F.greatest("p", "q")).alias("task"))
+    node = min(max(n // (4 * n_shuffle(spark)), NODES[0]), NODES[1])
+    masks = cuts(n, limit, node)
+    signed = lambda m: m - (1 << BITS) if m >> (BITS - 1) else m
+    each = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("cut"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("key")) for k, m in enumerate(masks)])).alias("x")).select("fp", "x.cut", "x.key")
+    sizes = each.groupBy("cut", "key").count().where("count > 1").withColumn("parts", F.least(F.ceil(F.col("count") / node), F.lit(PARTS)).cast("int"))
+    own = each.join(sizes, ["cut", "key"]).withColumn("part", F.pmod(F.xxhash64("fp", "cut"), F.col("parts")).cast("int"))
+    dealt = own.select("cut", "key", "fp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("cut", "key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), (F.col("part") > F.col("other")).alias("second"), "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        fp, task = [], []
+        held, size = [], 0
+
+        def join() -> Iterator[tuple]:
+            # columns: cut, key, lo, hi, second, fp; rows of a task come one after the other, those of its second part last
+            task = np.concatenate([h[0] for h in held])
+            second, fp = (np.concatenate([h[k] for h in held]) for k in (1, 2))
+            order = np.lexsort((fp, second, task))
+            task, second, fp = task[order], second[order], fp[order]
+            new = np.flatnonzero(np.concatenate([[True], (task[1:] != task[:-1]) | (second[1:] != second[:-1])]))
+            begin, end = new, np.append(new[1:], len(fp))
+            first = ~second[begin]
+            follows = np.append(second[begin][1:], False)  # a range after which the second part of its task comes
+            at = np.flatnonzero(first)
+            partner = np.where(follows[at], at + 1, at)
+            both = single[task[begin[at]]]
+            use = both | follows[at]  # a part that meets another, without any of it, has nothing to do
+            pairs = np.stack([begin[at], end[at], begin[partner], end[partner]], 1)[use]
+            for x, y in trie_join(fp, limit, pairs):
+                yield int(fp[x].view(np.int64)), int(fp[y].view(np.int64))
+
+        single = np.zeros(0, bool)
+        last, count = None, -1
         for b in batches:
-            fp.append(b.column(0).to_numpy().view(np.uint64))
-            task.append(b.column(1).to_numpy())
-        if not fp:
-            return
-        fp, task = np.concatenate(fp), np.concatenate(task)
-        order = np.lexsort((fp, task))
-        fp, task = fp[order], task[order]
-        bounds = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1], [True]]))
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            t, own = int(task[lo]), np.ascontiguousarray(fp[lo:hi])
-            p, q = divmod(t, 1 << cut)
-            m = hi - lo if p == q else int(np.searchsorted(own >> np.uint64(BITS - cut), q))
-            a, b = ((0, m), (0, m)) if p == q else ((0, m), (m, hi - lo))
-            if a[1] == a[0] or b[1] == b[0]:
+            if not b.num_rows:
                 continue
-            for x, y in trie_join(own, limit, a, b, cut, (p ^ q).bit_count()):
-                yield int(own[x].view(np.int64)), int(own[y].view(np.int64))
-
-    return map_rows(dealt.repartition(n_shuffle(spark), "task"), run, "a long, b long")
+            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+            change = np.zeros(b.num_rows, bool)
+            change[1:] = np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)
+            change[0] = last is None or last != tuple(int(c[0]) for c in cols[:4])
+            last = tuple(int(c[-1]) for c in cols[:4])
+            starts = np.flatnonzero(change)
+            at = 0
+            # a batch is cut where enough has come together and a task ends
+            for cut in [*(starts[starts > 0].tolist()), b.num_rows] if size + b.num_rows > TOGETHER else [b.num_rows]:
+                if change[at] and size >= TOGETHER:
+                    yield from join()
+                    held, size, count, single = [], 0, -1, np.zeros(0, bool)
+                number = count + np.cumsum(change[at:cut])
+                fresh = np.flatnonzero(change[at:cut]) + at
+                single = np.concatenate([single, cols[2][fresh] == cols[3][fresh]])
+                held.append((number, cols[4][at:cut].astype(bool), cols[5][at:cut].view(np.uint64)))
+                size, count, at = size + cut - at, int(number[-1]), cut
+        if held:
+            yield from join()
+
+    tasks = dealt.repartition(n_shuffle(spark), "cut", "key", "lo", "hi").sortWithinPartitions("cut", "key", "lo", "hi")
+    return map_rows(tasks, run, "a long, b long")
 
 
 def groups(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -308,22 +308,35 @@ def test_near_duplicates(docs, none):
     assert fingerprints.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("cut", [None, 8])
-def test_trie_join(spark, monkeypatch, cut):
-    if cut:
-        monkeypatch.setattr(fingerprints, "NODE", cut)
+@pytest.mark.parametrize("nodes,together", [(None, None), ((8, 8), 40), ((3, 20), 7)])
+def test_trie_join(spark, monkeypatch, nodes, together):
+    if nodes:
+        monkeypatch.setattr(fingerprints, "NODES", nodes)
+        monkeypatch.setattr(fingerprints, "TOGETHER", together)
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 40, np.uint64)
     near = [int(b) ^ sum(1 << int(k) for k in rng.integers(0, 64, rng.integers(0, 5))) for b in np.repeat(base, 6)]
-    fps = sorted({*near, *range(20), *(2**64 - 1 - k for k in range(9))})
+    ball = [int(base[0]) ^ sum(1 << int(k) for k in rng.integers(0, 64, 3)) for _ in range(60)]
+    fps = sorted({*near, *ball, *range(20), *(2**64 - 1 - k for k in range(9))})
     own = components(fps, 3)
     df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
     edges = fingerprints.links(df, 3)
+    assert all(((r.a ^ r.b) & (2**64 - 1)).bit_count() <= 3 for r in edges.collect())
     roots = {r.node: r.root for r in fingerprints.groups(edges).collect()}
     got = [roots.get(int(np.uint64(f).view(np.int64)), int(np.uint64(f).view(np.int64))) for f in fps]
     assert len(set(got)) == len(set(own)) == len(set(zip(got, own)))
 
 
+def test_cuts():
+    rng = np.random.default_rng(6)
+    for n in (10, 1 << 33, 1 << 45):
+        masks = fingerprints.cuts(n, 3, 1 << 15)
+        assert len(masks) == (4 if n == 10 else 10 if n == 1 << 33 else 20)
+        for _ in range(300):
+            x = sum(1 << int(k) for k in rng.choice(64, 3, False))
+            assert any(x & m == 0 for m in masks)
+
+
 def test_long_chain(spark):
     n = 200
     df = spark.createDataFrame([(k, k + 1) for k in range(n)], "a long, b long")
