@@ -57,11 +57,15 @@ def remove(spark: SparkSession, path: str) -> None:
 class Stage:
     """A table written to the shared folder: cuts lineage, survives lost executors."""
 
-    def __init__(self, df: DataFrame, name: str, release: bool = False):
-        """release: give back the disk that the shuffles behind the table took, which are not needed any more."""
+    def __init__(self, df: DataFrame, name: str, release: bool = False, by: str | None = None):
+        """release: give back the disk that the shuffles behind the table took, which are not needed any more.
+
+        by: a column by which the table is partitioned; conditions on it read only what they ask for.
+        """
         self.spark = df.sparkSession
         self.path = f"{shared_root(self.spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        df.write.option("compression", "zstd").parquet(self.path)
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(self.path)
         self.schema = df.schema
         del df
         if release:
@@ -75,14 +79,20 @@ class Stage:
         remove(self.spark, self.path)
 
 
+#: Buckets that Spark allows by default.
+MOST_BUCKETS = 100_000
+
+
 class Buckets(Stage):
     """A staged table that is dealt by a column: joins on it leave its rows where they are, and shuffle only the other side."""
 
     def __init__(self, df: DataFrame, name: str, column: str):
         self.spark, self.table = df.sparkSession, f"tarn_{uuid.uuid4().hex}"
         self.path = f"{shared_root(self.spark)}/{name}-{self.table}"
+        # buckets follow the input, so the rows of one don't grow with it
+        n = max(n_shuffle(self.spark), 4 * df._jdf.queryExecution().toRdd().getNumPartitions())
         writer = df.write.format("parquet").option("path", self.path).option("compression", "zstd")
-        writer.bucketBy(n_shuffle(self.spark), column).sortBy(column).saveAsTable(self.table)
+        writer.bucketBy(min(n, MOST_BUCKETS), column).sortBy(column).saveAsTable(self.table)
 
     def df(self) -> DataFrame:
         return self.spark.table(self.table)
@@ -119,8 +129,29 @@ def n_shuffle(spark: SparkSession) -> int:
 
 
 def n_buckets(spark: SparkSession) -> int:
-    """Key ranges of a packed shuffle: several a partition, so that partitions come out even."""
-    return max(64, min(2048, 1 << (6 * n_shuffle(spark) - 1).bit_length()))
+    """Key ranges of a packed shuffle: several a partition, so that partitions come out even; their number follows that of the
+    partitions, which follows the input."""
+    n = n_shuffle(spark)
+    return max(64, 1 << ((6 if n <= 341 else 2) * n - 1).bit_length())
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of 64-bit keys: a range of the top bits."""
+    return (keys >> np.uint64(64 - (buckets - 1).bit_length())).astype(np.int64)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple[int, list[tuple]]]:
+    """The rows (*more, chunk, blob) of each bucket, one bucket at a time, of batches that deal() sorted."""
+    key, held = None, []
+    for b in batches:
+        for k, *row in zip(*(b.column(n).to_pylist() for n in ("bucket", *more, "chunk", "blob"))):
+            if k != key:
+                if held:
+                    yield key, held
+                key, held = k, []
+            held.append(tuple(row))
+    if held:
+        yield key, held
 
 
 # -- packed arrays ---------------------------------------------------------------------------
@@ -187,8 +218,8 @@ def map_rows(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[tup
 
 
 def deal(df: DataFrame) -> DataFrame:
-    """Bring the blobs of a bucket into one partition."""
-    return df.repartition(n_shuffle(df.sparkSession), "bucket")
+    """Bring the blobs of a bucket into one partition, one bucket after the other."""
+    return df.repartition(n_shuffle(df.sparkSession), "bucket").sortWithinPartitions("bucket")
 
 
 def answers(df: DataFrame, name: str = "answers") -> DataFrame:

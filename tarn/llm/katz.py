@@ -1,10 +1,11 @@
-"""LM scoring: a Katz backoff model with Good-Turing discounts, its counts in partitioned tables.
-
-The model is of order two: a token follows the token before it, the first one a mark for the beginning.  Tokens are known
-by 64-bit hashes.  Texts become chunks of packed token numbers, staged once; two packed shuffles by key then gather the
-counts of words (keyed by the word) and of word pairs (keyed by the first word).  Both answer each chunk with what it asked
-for, so no vocabulary is ever broadcast or collected, and a word or pair that is in every text is one entry a chunk.  The first
-answer also numbers the words without gaps, in the order of their hashes; pairs are of these numbers, which take fewer bytes.
+"""LM scoring: a Katz backoff model with Good-Turing discounts, its counts and backoff weights in partitioned tables.
+
+A model of order m scores a token after the m - 1 tokens before it.  Texts become chunks of packed tokens, staged once.  For each
+order two packed shuffles follow: grams are dealt by a hash of context and word, so the successors of a frequent word are
+spread over all tasks, and counted; then contexts, of which each task sends one partial sum, are dealt by their own hash and
+get their backoff weights.  Both answer each chunk with what it asked for, so nothing is broadcast or collected that grows with
+the vocabulary, and a gram that is in every text is one entry a chunk.  Answers number the grams that were seen without gaps; the
+contexts of the next order are these numbers.  A chunk then evaluates its tokens from the highest order down.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, Buckets, Stage, answers, arrow_schema, by_bucket, crc_mod, deal, give_back, map_rows, mix64, n_buckets, pack, text_bytes, unpack
+from .common import PACKED, Buckets, Stage, answers, arrow_schema, bucket_of, by_bucket, crc_mod, deal, give_back, grouped, map_rows, mix64, n_buckets, pack, text_bytes, unpack
 
+#: The order of the query's model.
+ORDER = 2
 #: Counts up to here are discounted.
 K = 5
 #: Tokens of a chunk, about.
@@ -100,31 +103,15 @@ class Chunk:
     def trained(self) -> np.ndarray:
         return ~self.held[self.doc()]
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """(context, word) of each token, numbers into vocab; the context of a first token is len(vocab)."""
-        before = np.empty(len(self.local), np.int64)
-        before[1:] = self.local[:-1]
-        before[np.cumsum(self.lens) - self.lens] = len(self.vocab)
-        return before, self.local.astype(np.int64)
-
 
-def steps(x: np.ndarray, at: np.ndarray | int = 0) -> np.ndarray:
-    """Each value but the first of a run (runs begin ``at``) as the step from the one before it: sorted runs compress so."""
+def steps(x: np.ndarray) -> np.ndarray:
+    """Each value but the first as the step from the one before it: sorted values compress so."""
     out = x.copy()
     out[1:] -= x[:-1]
-    out[at] = x[at]
     return out
 
 
-def summed(moved: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """What steps() began from, of runs with these sizes, none empty."""
-    total = np.cumsum(moved)
-    begin = np.cumsum(sizes.astype(np.int64)) - sizes
-    before = np.where(begin > 0, total[np.maximum(begin, 1) - 1], 0)
-    return total - np.repeat(before, sizes)
-
-
-# -- the first shuffle: counts of words -----------------------------------------------------
+# -- words ----------------------------------------------------------------------------------
 
 
 def ask_words(table: DataFrame, buckets: int) -> DataFrame:
@@ -140,33 +127,29 @@ def ask_words(table: DataFrame, buckets: int) -> DataFrame:
     return map_rows(table.select("chunk", "vocab", "tokens"), run, PACKED)
 
 
-def grouped(batches: Iterator[pa.RecordBatch]) -> dict[int, list[tuple[int, bytes]]]:
-    """All blobs of a partition, by bucket."""
-    out: dict[int, list] = {}
-    for b in batches:
-        for k, chunk, blob in zip(*(c.to_pylist() for c in b.columns)):
-            out.setdefault(k, []).append((chunk, blob))
-    return out
+#: Kinds of rows: an answer to a chunk; a part of the table; counts of counts; a partial sum over contexts.
+ANSWER, TABLE, COUNTS, PARTIAL = range(4)
+KINDS = "kind int, " + PACKED
 
 
 def count_words(asked: DataFrame) -> DataFrame:
-    """kind 0: the counts that a chunk asked for, and the words' places in the bucket; kind 1: the table of words itself, in
-    the order of these places; kind 2: counts of counts, and the numbers of tokens, of words in training and of places."""
+    """Answers: the counts that a chunk asked for, and the words' places among those that were seen in the bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for k, blobs in grouped(batches).items():
+        for k, blobs in grouped(batches):
             parts = [unpack(x, "uint64", "uint32", spread=True) for _, x in blobs]
             words, inverse = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
             total = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(words)).astype(np.int64)
+            place = np.cumsum(total > 0)
             at = 0
             for (chunk, _), p in zip(blobs, parts):
-                place = inverse[at : at + len(p[0])]
-                yield 0, k, chunk, pack(total[place], steps(place), spread=True)
+                own = inverse[at : at + len(p[0])]
+                yield ANSWER, k, chunk, pack(total[own], steps(place[own]), spread=True)
                 at += len(p[0])
-            yield 1, k, 0, pack(steps(words), total, spread=True)
-            yield 2, k, 0, pack(count_counts(total), np.array([total.sum(), (total > 0).sum(), len(words)]))
+            yield TABLE, k, 0, pack(steps(words[total > 0]), total[total > 0], spread=True)
+            yield COUNTS, k, 0, pack(count_counts(total), np.array([total.sum(), (total > 0).sum()]))
 
-    return map_rows(deal(asked), run, "kind int, " + PACKED)
+    return map_rows(deal(asked), run, KINDS)
 
 
 def count_counts(n: np.ndarray) -> np.ndarray:
@@ -214,95 +197,266 @@ class Words:
         return np.where(c > 0, self.seen * self.d[np.minimum(c, K + 1)] * c / max(self.total, 1), self.unknown)
 
 
-# -- the second shuffle: pairs, by their first word -----------------------------------------
+# -- a chunk at each order ------------------------------------------------------------------
 
 
-def ask_pairs(joined: DataFrame, first: np.ndarray, buckets: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for b in batches:
-            for chunk, vocab, tokens, got in zip(*(c.to_pylist() for c in b.columns)):
-                c = Chunk.of(vocab, tokens)
-                known, ids = known_words(got, first)
-                for k, context, word, n in distinct_pairs(c, ids, buckets):
-                    heads, at = np.unique(context, return_index=True)
-                    sizes = np.diff(np.append(at, len(context)))
-                    yield k, chunk, pack(steps(ids[heads]), sizes.astype(np.uint32), steps(ids[word], at), n.astype(np.uint32), known[word], level=3, spread=True)
+@dataclass
+class Level:
+    """What holds for all grams of an order above one: discounts, and the number of each bucket's first gram, of all grams last."""
 
-    return map_rows(joined.select("chunk", "vocab", "tokens", "answers"), run, PACKED)
+    d: np.ndarray
+    numbers: np.ndarray
 
 
-def known_words(got: list, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The counts and numbers of a chunk's vocabulary, the latter with one for the beginning at its end.
+class Walk:
+    """The tokens of a chunk: the gram that ends at each and its probability, order by order.
 
-    ``first`` has the number of each bucket's first word, and last that of the beginning.
+    ``answers`` has, for each order that is known, what the chunk was told: (words,), then (grams, contexts).
     """
-    parts = [(x["bucket"], *unpack(x["blob"], "int64", "int64", spread=True)) for x in sorted(got, key=lambda x: x["bucket"])]
-    return np.concatenate([n for _, n, _ in parts]), np.concatenate([*(first[k] + np.cumsum(i) for k, _, i in parts), first[-1:]])
 
+    def __init__(self, c: Chunk, words: Words, numbers: np.ndarray, levels: list[Level], answers: list[list], buckets: int):
+        self.c, self.words, self.levels, self.answers, self.buckets = c, words, levels, answers, buckets
+        parts = [(x["bucket"], *unpack(x["blob"], "int64", "int64", spread=True)) for x in sorted(answers[0], key=lambda x: x["bucket"])]
+        self.known = np.concatenate([n for _, n, _ in parts])
+        #: the number of each word of the chunk's vocabulary; -1 if training has none of it
+        self.word = np.where(self.known > 0, np.concatenate([numbers[k] + np.cumsum(i) - 1 for k, _, i in parts]), -1)
+        self.numbers, self.first = numbers, np.cumsum(c.lens) - c.lens
+
+    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """(number, probability) of the gram of this order that ends at each token; -1 is the number of one never seen.
+
+        The recursion of Katz: a seen gram has its discounted share of its context, any other the weight that the context
+        leaves times the probability that the next lower order gives.
+        """
+        if order == 1:
+            return self.word[self.c.local], self.words.p(self.known)[self.c.local]
+        gram, p = self.grams(order - 1)
+        level, (got, weights) = self.levels[order - 2], self.answers[order - 1]
+        context = self.context(gram, order)
+        a = self.asked(gram, context, p)
+        n, rank = self.told(got, a.bucket, "int64", "int64")
+        k = np.full(len(gram), -1)
+        k[a.tokens] = a.place
+        count = np.where(k >= 0, n[k], 0) if len(n) else np.zeros(len(gram), np.int64)
+        at, bucket, _ = self.contexts(context)
+        alpha, scale, whole = self.told(weights, bucket, "float64", "float64", "int64")
+        own = np.maximum(at, 0)
+        seen = (at >= 0) & (whole[own] > 0) if len(whole) else np.zeros(len(gram), bool)
+        lower = p * np.where(seen, alpha[own], 1.0) if len(whole) else p
+        with np.errstate(divide="ignore", invalid="ignore"):
+            share = scale[own] * level.d[np.minimum(count, K + 1)] * count / np.maximum(whole[own], 1) if len(whole) else lower
+        number = np.full(len(gram), -1)
+        if len(rank) == len(n) and len(n):
+            begin = np.concatenate([[True], a.bucket[1:] != a.bucket[:-1]])
+            places = level.numbers[a.bucket] + summed(rank, begin) - 1
+            number = np.where(count > 0, places[np.maximum(k, 0)], -1)
+        return number, np.where(count > 0, share, lower)
+
+    def context(self, gram: np.ndarray, order: int) -> np.ndarray:
+        """The number of the gram of one order less before each token; at the first of a text, that of the beginning."""
+        before = np.empty_like(gram)
+        before[1:] = gram[:-1]
+        before[self.first] = self.numbers[-1] if order == 2 else self.levels[order - 3].numbers[-1]
+        return before
+
+    def asked(self, gram: np.ndarray, context: np.ndarray, p: np.ndarray) -> Asked:
+        """Distinct grams that training may have: their context and what follows it were seen. In order of bucket, context, word.
+
+        The same chunk gives the same order each time, so answers need no keys.
+        """
+        tokens = np.flatnonzero((context >= 0) & (gram >= 0))
+        heads, head = np.unique(context[tokens], return_inverse=True)
+        local = self.c.local[tokens].astype(np.int64)
+        code, one, inverse = np.unique(head * np.int64(len(self.word) + 1) + local, return_index=True, return_inverse=True)
+        ctx, word = heads[code // (len(self.word) + 1)] if len(code) else code, self.word[code % (len(self.word) + 1)] if len(code) else code
+        n = np.bincount(inverse[self.c.trained()[tokens]], minlength=len(code)) if len(code) else code
+        bucket = bucket_of(gram_hash(ctx, word), self.buckets)
+        order = np.lexsort((word, ctx, bucket))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return Asked(tokens, place[inverse] if len(code) else code, bucket[order], ctx[order], word[order], n[order], np.where(n > 0, p[tokens[one]], 0.0)[order] if len(code) else np.zeros(0))
+
+    def contexts(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of each token's context or -1, buckets, contexts): distinct ones in order of bucket and number."""
+        tokens = np.flatnonzero(context >= 0)
+        own, inverse = np.unique(context[tokens], return_inverse=True)
+        bucket = bucket_of(mix64(own.astype(np.uint64)), self.buckets)
+        order = np.lexsort((own, bucket))
+        place, at = np.empty(len(order), np.int64), np.full(len(context), -1)
+        place[order] = np.arange(len(order))
+        at[tokens] = place[inverse]
+        return at, bucket[order], own[order]
 
-def distinct_pairs(c: Chunk, ids: np.ndarray, buckets: int) -> list[tuple]:
-    """For each bucket of the first word's number: contexts, words (numbers, sorted), training counts, and tokens' places.
+    @staticmethod
+    def told(got: list, bucket: np.ndarray, *types: str) -> list[np.ndarray]:
+        """Answers put together in the order of their buckets, which is that of the questions."""
+        parts = [unpack(x["blob"], *types, spread=True) for x in sorted(got or [], key=lambda x: x["bucket"])]
+        return [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, t) for k, t in enumerate(types)]
 
-    The same chunk gives the same order each time, so answers need no keys.
-    """
-    before, word = c.pairs()
-    code, inverse = np.unique(before * np.int64(len(c.vocab)) + word, return_inverse=True)
-    n = np.bincount(inverse[c.trained()], minlength=len(code))
-    context, second = code // len(c.vocab), code % len(c.vocab)
-    bucket = (mix64(ids[context].astype(np.uint64)) >> np.uint64(64 - (buckets - 1).bit_length())).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    out = [(int(bucket[o[0]]), context[o], second[o], n[o]) for o in np.split(order, cuts)] if len(order) else []
-    c.token_pair = place[inverse]
-    del code, inverse, place
-    give_back()
-    return out
 
+@dataclass
+class Asked:
+    """tokens with a question, the place of each one's; bucket, context, word, training count, lower probability of each question."""
+
+    tokens: np.ndarray
+    place: np.ndarray
+    bucket: np.ndarray
+    context: np.ndarray
+    word: np.ndarray
+    n: np.ndarray
+    lower: np.ndarray
+
+
+def gram_hash(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix64(mix64(context.astype(np.uint64)) ^ word.astype(np.uint64))
+
+
+def summed(moved: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """What steps() began from, of runs that begin where ``begin`` is true."""
+    total = np.cumsum(moved)
+    at = np.flatnonzero(begin)
+    before = np.concatenate([[0], total[at[1:] - 1]]).astype(total.dtype)
+    return total - before[np.cumsum(begin) - 1]
 
-def count_pairs(asked: DataFrame, words: Words, keep: bool = False) -> DataFrame:
-    """kind 0: answers (log10 probability of each pair that a chunk asked for); 1: the table of pairs; 2: counts of counts.
 
-    Discounts of pairs need the counts of counts of all pairs, so answers leave them open: a pair's answer is its count,
-    and by context the count, its kinds and what the second words of its pairs sum to, from which ``pair_logs`` goes on.
+def slices(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Runs of one bucket."""
+    cuts = np.flatnonzero(np.diff(bucket)) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)]):
+        if hi > lo:
+            yield int(bucket[lo]), slice(lo, hi)
+
+
+# -- grams and contexts of an order ---------------------------------------------------------
+
+
+@dataclass
+class State:
+    """All that tasks need to walk a chunk up to some order: a few numbers a bucket."""
+
+    words: Words
+    numbers: np.ndarray
+    levels: list[Level]
+    buckets: int
+
+    def walks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Walk]]:
+        """Columns: chunk, vocab, tokens, words, then grams and contexts of each order."""
+        for b in batches:
+            for k in range(b.num_rows):
+                chunk, vocab, tokens, words, *more = (c[0].as_py() for c in b.slice(k, 1).columns)
+                yield chunk, Walk(Chunk.of(vocab, tokens), self.words, self.numbers, self.levels, [words, *zip(more[::2], more[1::2])], self.buckets)
+
+
+def ask_grams(joined: DataFrame, state: State, order: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for chunk, w in state.walks(batches):
+            gram, p = w.grams(order - 1)
+            a = w.asked(gram, w.context(gram, order), p)
+            for k, at in slices(a.bucket):
+                yield k, chunk, pack(steps(a.context[at]), a.word[at], a.n[at].astype(np.uint32), a.lower[at], level=3, spread=True)
+            del w, gram, p, a
+            give_back()
+
+    return map_rows(joined, run, PACKED)
+
+
+#: Entries of partial sums over contexts that a task holds, about.
+HELD = 2_000_000
+
+
+def count_grams(asked: DataFrame, buckets: int, numbered: bool) -> DataFrame:
+    """Answers: the count of each gram that a chunk asked for, and with ``numbered`` its place among those that were seen.
+
+    Partial sums of a task, by the bucket of the context: context, count, kinds, lower probabilities of its seen grams, and how many of
+    these have the counts 1 to K.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for k, blobs in grouped(batches).items():
-            parts = [unpack(x, "int64", "uint32", "int64", "uint32", "int64", spread=True) for _, x in blobs]
-            heads = np.concatenate([np.cumsum(p[0]) for p in parts])
-            sizes = np.concatenate([p[1] for p in parts]).astype(np.int64)
-            seconds, c = np.concatenate([summed(p[2], p[1]) for p in parts]), np.concatenate([p[4] for p in parts])
-            n = np.concatenate([p[3] for p in parts])
-            own, head_of = np.unique(heads, return_inverse=True)
-            context = np.repeat(head_of, sizes)
-            order = np.lexsort((seconds, context))
+        open_, size = [], 0
+
+        def flush() -> Iterator[tuple]:
+            for k, ctx, sums in partial([np.concatenate(x) for x in zip(*open_)], buckets):
+                yield PARTIAL, k, 0, pack(steps(ctx), *sums, spread=True)
+
+        for k, blobs in grouped(batches):
+            parts = [unpack(x, "int64", "int64", "uint32", "float64", spread=True) for _, x in blobs]
+            ctx = np.concatenate([np.cumsum(p[0]) for p in parts])
+            word, n, lower = (np.concatenate([p[j] for p in parts]) for j in (1, 2, 3))
+            order = np.lexsort((word, ctx))
             new = np.ones(len(order), bool)
-            new[1:] = (context[order][1:] != context[order][:-1]) | (seconds[order][1:] != seconds[order][:-1])
+            new[1:] = (ctx[order][1:] != ctx[order][:-1]) | (word[order][1:] != word[order][:-1])
             group = np.empty(len(order), np.int64)
             group[order] = np.cumsum(new) - 1
             total = np.bincount(group, n).astype(np.int64)
-            first = order[new]
-            seen = total > 0
-            kept = seconds[first][seen] if keep else None
-            ctx, tot = context[first][seen], total[seen]
-            p1 = words.p(c[first][seen])
-            count = np.bincount(ctx, tot, len(own)).astype(np.int64)
-            kinds = np.bincount(ctx, minlength=len(own))
-            mass = np.bincount(ctx, p1, len(own))
-            small = np.stack([np.bincount(ctx[tot == r], minlength=len(own)) for r in range(1, K + 1)], 1)
-            del seconds, n, c, order, context
-            at = at_head = 0
+            seen, first = total > 0, order[new]
+            rank, at = np.cumsum(seen), 0
             for (chunk, _), p in zip(blobs, parts):
-                o, h = slice(at, at + len(p[3])), head_of[at_head : at_head + len(p[0])]
-                yield 0, k, chunk, pack(total[group[o]], count[h], kinds[h], mass[h], small[h].T.ravel(), level=3, spread=True)
-                at, at_head = at + len(p[3]), at_head + len(p[0])
-            if keep:
-                yield 1, k, 0, pack(own, kinds, kept, tot, spread=True)
-            yield 2, k, 0, pack(count_counts(total), np.array([tot.sum(), seen.sum(), len(total)]))
+                own = group[at : at + len(p[0])]
+                yield ANSWER, k, chunk, pack(total[own], steps(rank[own]) if numbered else rank[:0], level=3, spread=True)
+                at += len(p[0])
+            held = ctx[first][seen], total[seen], np.maximum.reduceat(lower[order], np.flatnonzero(new))[seen]
+            yield TABLE, k, 0, pack(steps(held[0]), word[first][seen], held[1], spread=True)
+            yield COUNTS, k, 0, pack(count_counts(total), np.array([total.sum(), seen.sum()]))
+            open_.append(held)
+            size += len(held[0])
+            if size >= HELD:
+                yield from flush()
+                open_, size = [], 0
+        if open_:
+            yield from flush()
+
+    return map_rows(deal(asked), run, KINDS)
+
+
+def partial(seen: tuple[np.ndarray, ...], buckets: int) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    """(bucket, contexts, sums) of seen grams: (context, count, lower probability)."""
+    ctx, n, lower = seen
+    own, at = np.unique(ctx, return_inverse=True)
+    m = len(own)
+    sums = [np.bincount(at, n, m).astype(np.int64), np.bincount(at, minlength=m), np.bincount(at, lower, m), *(np.bincount(at[n == r], minlength=m) for r in range(1, K + 1))]
+    bucket = bucket_of(mix64(own.astype(np.uint64)), buckets)
+    order = np.lexsort((own, bucket))
+    for k, s in slices(bucket[order]):
+        yield k, own[order][s], [x[order][s] for x in sums]
+
+
+def ask_contexts(joined: DataFrame, state: State, order: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for chunk, w in state.walks(batches):
+            gram, _ = w.grams(order - 1)
+            _, bucket, own = w.contexts(w.context(gram, order))
+            for k, at in slices(bucket):
+                yield ANSWER, k, chunk, pack(steps(own[at]), spread=True)
+            del w, gram, bucket, own
+            give_back()
+
+    return map_rows(joined, run, KINDS)
+
 
-    return map_rows(deal(asked), run, "kind int, " + PACKED)
+SUMS = ("int64", "int64", "int64", "float64", *("int64",) * K)
+
+
+def weigh_contexts(asked: DataFrame, d: np.ndarray) -> DataFrame:
+    """Answers: backoff weight, scale and count of the contexts that a chunk asked for; the table has those of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for k, rows in grouped(batches, "kind"):
+            parts = [unpack(x, *SUMS, spread=True) for kind, _, x in rows if kind == PARTIAL]
+            ctx, at = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.cumsum(p[0]) for p in parts)]), return_inverse=True)
+            add = lambda j: np.bincount(at, np.concatenate([np.zeros(0), *(p[j] for p in parts)]), len(ctx))
+            count, kinds, mass = add(1).astype(np.int64), add(2), add(3)
+            scale, alpha = backoff(d, count, kinds, mass, np.stack([add(j) for j in range(4, 4 + K)], 1))
+            yield TABLE, k, 0, pack(steps(ctx), count, scale, alpha, spread=True)
+            # a context that nothing followed in training comes last
+            scale, alpha, count = np.append(scale, 1.0), np.append(alpha, 1.0), np.append(count, 0)
+            for kind, chunk, x in rows:
+                if kind == ANSWER:
+                    own = np.cumsum(unpack(x, "int64", spread=True)[0])
+                    place = np.searchsorted(ctx, own)
+                    place[ctx[np.minimum(place, max(len(ctx) - 1, 0))] != own if len(ctx) else slice(None)] = len(ctx)
+                    yield ANSWER, k, chunk, pack(alpha[place], scale[place], count[place], level=3, spread=True)
+
+    return map_rows(deal(asked), run, KINDS)
 
 
 def backoff(d: np.ndarray, count: np.ndarray, kinds: np.ndarray, mass: np.ndarray, small: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -320,58 +474,70 @@ def backoff(d: np.ndarray, count: np.ndarray, kinds: np.ndarray, mass: np.ndarra
     return scale, np.where(count > 0, left / rest, 1.0)
 
 
-def score_chunks(joined: DataFrame, words: Words, d: np.ndarray, numbers: np.ndarray, buckets: int) -> DataFrame:
-    ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
 
+def score_chunks(joined: DataFrame, state: State, order: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema(ddl)
-        for b in batches:
-            for vocab, tokens, got1, got2 in zip(*(c.to_pylist() for c in b.columns)):
-                c = Chunk.of(vocab, tokens)
-                known, ids = known_words(got1, numbers)
-                p1 = words.p(known)
-                got = {x["bucket"]: x["blob"] for x in got2}
-                logs = []
-                for k, context, word, _ in distinct_pairs(c, ids, buckets):
-                    n, count, kinds, mass, small = unpack(got[k], "int64", "int64", "int64", "float64", "int64", spread=True)
-                    head = np.cumsum(np.concatenate([[0], np.diff(context) != 0])).astype(np.int64)
-                    scale, alpha = backoff(d, count, kinds, mass, small.reshape(K, -1).T)
-                    pair = scale[head] * d[np.minimum(n, K + 1)] * n / np.maximum(count[head], 1)
-                    logs.append(np.log10(np.where(n > 0, pair, alpha[head] * p1[word])))
-                token = np.concatenate(logs)[c.token_pair] if logs else np.zeros(0)
-                doc, m = c.doc(), len(c.lens)
-                base = np.log10((known + 1) / (words.total + words.kinds + 1))[c.local]
-                cols = [c.ids, c.held.tolist(), c.lens, np.bincount(doc, (known > 0)[c.local], m).astype(np.int64), np.full(m, words.total), np.bincount(doc, base, m), np.bincount(doc, token, m)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, schema)], schema=schema)
-
-    return joined.select("vocab", "tokens", "words", "pairs").mapInArrow(run, ddl)
+        schema, words = arrow_schema(RESULT), state.words
+        for _, w in state.walks(batches):
+            c, known = w.c, w.known
+            token = np.log10(w.grams(order)[1])
+            doc, m = c.doc(), len(c.lens)
+            base = np.log10((known + 1) / (words.total + words.kinds + 1))[c.local]
+            cols = [c.ids, c.held.tolist(), c.lens, np.bincount(doc, (known > 0)[c.local], m).astype(np.int64), np.full(m, words.total), np.bincount(doc, base, m), np.bincount(doc, token, m)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, schema)], schema=schema)
+            del w, c, token, doc, base, cols
+
+    return joined.mapInArrow(run, RESULT)
 
 
 # -- the operator ---------------------------------------------------------------------------
 
 
-def totals(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
-    """Counts of counts, the sums of what else kind 2 has, and its last number by bucket: a few numbers from each bucket."""
-    parts = {r.bucket: unpack(bytes(r.blob), "int64", "int64") for r in counted.where("kind = 2").select("bucket", "blob").collect()}
-    return sum((p[0] for p in parts.values()), np.zeros(K + 2, np.int64)), sum((p[1] for p in parts.values()), np.zeros(3, np.int64)), {k: int(p[1][-1]) for k, p in parts.items()}
+def totals(counted: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of counts; the sums of what else COUNTS has; the number of each bucket's first entry, and of all: a few numbers a bucket."""
+    parts = {r.bucket: unpack(bytes(r.blob), "int64", "int64") for r in counted.where(F.col("kind") == COUNTS).select("bucket", "blob").collect()}
+    numbers = np.cumsum([0, *(int(parts[k][1][1]) if k in parts else 0 for k in range(buckets))])
+    return sum((p[0] for p in parts.values()), np.zeros(K + 2, np.int64)), sum((p[1] for p in parts.values()), np.zeros(2, np.int64)), numbers
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from documents whose crc32(id as text) mod 7 is not 2 (a null id is not held out) and scores all, both as the
-    contract of the query says.  A null text is empty: one token, its end.  Rows that repeat an id each count and get
-    a row.  Without training documents every token is unknown.  An empty table gives an empty table.
+    contract of the query says, the latter by a model of ``order`` (2 or more).  A null text is empty: one token, its end.  Rows
+    that repeat an id each count and get a row.  Without training documents every token is unknown.  A text of any length is one
+    chunk at least, whose tokens a task holds.  An empty table gives an empty table.
+
+    The tables of an order (TABLE rows: gram counts, then contexts with their weights) lie in the shared folder, partitioned by kind and
+    packed by bucket, until the scores are written.
     """
+    if order < 2:
+        raise ValueError("a backoff model has order two or more")
     spark = df.sparkSession
     buckets = n_buckets(spark)
     table = Buckets(chunks(df, id_col, text_col), "katz-chunks", "chunk")
-    counted = Stage(count_words(ask_words(table.df(), buckets)), "katz-words", release=True)
-    counts, (total, kinds, _), places = totals(counted.df())
-    words = Words.of(counts, int(total), int(kinds))
-    numbers = np.cumsum([0, *(places.get(k, 0) for k in range(buckets))])
-    one = answers(counted.df().where("kind = 0"))
-    pairs = Stage(count_pairs(ask_pairs(table.df().join(one, "chunk"), numbers, buckets), words), "katz-pairs", release=True)
-    d = discounts(totals(pairs.df())[0])
-    joined = table.df().join(answers(counted.df().where("kind = 0"), "words"), "chunk").join(answers(pairs.df().where("kind = 0"), "pairs"), "chunk")
-    return score_chunks(joined, words, d, numbers, buckets)
+    counted = Stage(count_words(ask_words(table.df(), buckets)), "katz-words", release=True, by="kind")
+    counts, (total, kinds), numbers = totals(counted.df(), buckets)
+    state, staged = State(Words.of(counts, int(total), int(kinds)), numbers, [], buckets), [counted]
+
+    def joined(known: list[Stage]) -> DataFrame:
+        out = table.df()
+        for k, x in enumerate(known):
+            out = out.join(answers(x.df().where(F.col("kind") == ANSWER), f"got{k}"), "chunk", "left")
+        return out.select("chunk", "vocab", "tokens", *(f"got{k}" for k in range(len(known))))
+
+    for m in range(2, order + 1):
+        asked = ask_grams(joined(staged), state, m)
+        grams = Stage(count_grams(asked, buckets, m < order), f"katz-grams-{m}", release=True, by="kind")
+        counts, _, numbers = totals(grams.df(), buckets)
+        level = Level(discounts(counts), numbers)
+        sums = grams.df().where(F.col("kind") == PARTIAL).select("kind", "bucket", "chunk", "blob")
+        weights = Stage(weigh_contexts(ask_contexts(joined(staged), state, m).union(sums), level.d), f"katz-contexts-{m}", release=m < order, by="kind")
+        staged += [grams, weights]
+        state = State(state.words, state.numbers, [*state.levels, level], buckets)
+    out = Stage(score_chunks(joined(staged), state, order), "katz-scores")
+    for x in (table, *staged):
+        x.drop()
+    return out.df()

@@ -17,8 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, Stage, answers, arrow_schema, by_bucket, deal, docs_of, map_rows, mix64, n_buckets, pack, text_bytes, unpack
-from .katz import grouped
+from .common import PACKED, Stage, answers, arrow_schema, by_bucket, deal, docs_of, grouped, map_rows, mix64, n_buckets, pack, text_bytes, unpack
 
 #: Bytes of a chunk of texts, about.
 CHUNK = 4 << 20
@@ -151,7 +150,7 @@ def ask_contexts(table: DataFrame, width: int, buckets: int) -> DataFrame:
 
 def judge_contexts(asked: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for k, blobs in grouped(batches).items():
+        for k, blobs in grouped(batches):
             parts = [unpack(x, "uint64", "uint64") for _, x in blobs]
             core, whole = (np.concatenate([p[j] for p in parts]) for j in (0, 1))
             order = np.lexsort((whole, core))
@@ -208,7 +207,7 @@ def ask_windows(joined: DataFrame, width: int, buckets: int) -> DataFrame:
 
 def judge_windows(asked: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for k, blobs in grouped(batches).items():
+        for k, blobs in grouped(batches):
             parts = [unpack(x, "uint64")[0] for _, x in blobs]
             h = np.concatenate(parts)
             order = np.argsort(h, kind="stable")

@@ -76,38 +76,69 @@ def test_decision_list(spark, docs):
 # -- Katz backoff ----------------------------------------------------------------------------
 
 
-def test_katz(docs, none, spark):
-    rows = katz.score(docs).collect()
+def katz_brute(train, order):
+    """(p(word, the tokens before it), contexts of each order), by plain counting; None stands for the end, 0 for the beginning."""
+    c = Counter(w for t in train for w in t)
+    uni = katz.Words.of(counts(c), sum(c.values()), len(c))
+    below = {1: lambda w, h: float(uni.p(np.array([c[w]]))[0])}
+    seen = {}
+    for m in range(2, order + 1):
+        grams = Counter()
+        for t in train:
+            padded = [0] * (m - 1) + t
+            grams.update((tuple(padded[k : k + m - 1]), padded[k + m - 1]) for k in range(len(t)))
+        d, own = katz.discounts(counts(grams)), {}
+        for (h, w), n in grams.items():
+            own.setdefault(h, {})[w] = n
+        weights = {}
+        for h, n in own.items():
+            v = list(n.values())
+            small = np.array([[v.count(r) for r in range(1, katz.K + 1)]])
+            mass = sum(below[m - 1](w, h[1:]) for w in n)
+            s, a = katz.backoff(d, np.array([sum(v)]), np.array([len(v)]), np.array([mass]), small)
+            weights[h] = float(s[0]), float(a[0]), sum(v)
+
+        def p(w, h, m=m, d=d, own=own, weights=weights):
+            if h not in own:
+                return below[m - 1](w, h[1:])
+            s, a, n = weights[h]
+            k = own[h].get(w, 0)
+            return s * d[min(k, katz.K + 1)] * k / n if k else a * below[m - 1](w, h[1:])
+
+        below[m], seen[m] = p, list(own)
+    return below[order], seen, c
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_katz(docs, none, spark, monkeypatch, order):
+    if order > 2:
+        monkeypatch.setattr(katz, "CHUNK", 3000)
+        monkeypatch.setattr(katz, "HELD", 50)
+    rows = katz.score(docs, order=order).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     low = lambda t: [*(w.lower() for w in words(t)), None]
     train = [low(t) for i, t in zip(IDS, TEXTS) if not held(i)]
-    c = Counter(w for t in train for w in t)
+    p, seen, c = katz_brute(train, order)
     n, v = sum(c.values()), len(c)
     want = sorted((-1 if i is None else i, held(i), len(low(t)), sum(c[w] > 0 for w in low(t)), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in low(t)), 6)) for i, t in zip(IDS, TEXTS))
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in rows) == want
-    # the model itself, by plain counting
-    pairs = Counter(p for t in train for p in zip([0, *t], t))
-    ctx, d1 = Counter(), katz.discounts(counts(c))
-    for (a, _), k in pairs.items():
-        ctx[a] += k
-    uni = katz.Words.of(counts(c), n, v)
-    p1 = lambda w: float(uni.p(np.array([c[w]]))[0])
-    assert sum(p1(w) for w in c) + uni.unknown == pytest.approx(1) and len(d1) == katz.K + 2
-    d2 = katz.discounts(counts(pairs))
-
-    def model(a):
-        own = {w: k for (x, w), k in pairs.items() if x == a}
-        small = np.array([[sum(k == r for k in own.values()) for r in range(1, katz.K + 1)]])
-        s, al = katz.backoff(d2, np.array([ctx[a]]), np.array([len(own)]), np.array([sum(map(p1, own))]), small)
-        return lambda w: float(s[0] * d2[min(own[w], katz.K + 1)] * own[w] / ctx[a]) if w in own else float(al[0] * p1(w))
-
-    for a in [0, b"the", b"one", b"never seen", b"ab" * 400]:
-        p = model(a)
-        assert sum(p(w) for w in c) + p("unknown") == pytest.approx(1)
-    models = {a: model(a) for a in {0, *(w for t in TEXTS for w in low(t))}}
-    score = {i: sum(math.log10(models[a](w)) for a, w in zip([0, *low(t)], low(t))) for i, t in zip(IDS, TEXTS) if i not in (3, None)}
-    assert all(r.score == pytest.approx(score[r.doc_id]) for r in rows if r.doc_id in score)
-    assert katz.score(none).count() == 0
+    for h in [*seen[order][:: max(1, len(seen[order]) // 12)], (0,) * (order - 1), (b"never seen",) * (order - 1)]:
+        assert sum(p(w, h) for w in c) + p("unknown", h) == pytest.approx(1)
+
+    def whole(t):
+        padded = [0] * (order - 1) + low(t)
+        return round(sum(math.log10(p(w, tuple(padded[k : k + order - 1]))) for k, w in enumerate(low(t))), 5)
+
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in rows)
+    assert np.allclose(got, sorted((-1 if i is None else i, whole(t)) for i, t in zip(IDS, TEXTS)), atol=1e-4, rtol=1e-9)
+    assert katz.score(none, order=order).count() == 0
+    assert not [x for x in spark.catalog.listTables() if x.name.startswith("tarn_")]
+
+
+def test_katz_without_training(spark):
+    held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    got = katz.score(spark.createDataFrame([(i, "a b a") for i in held], "doc_id long, text string"), order=3).collect()
+    assert [(r.n_tokens, r.n_known, r.train_tokens, r.score) for r in got] == [(4, 0, 0, 0.0)] * 2
 
 
 def counts(c):
