@@ -1,78 +1,157 @@
-"""Secret scans: rules find candidates, a random forest takes out what is none."""
+"""Secret scans: rules find candidates, a random forest takes out what is none.
+
+The forest sees a candidate's length, its character transitions and the part of it that dictionary words cover, signs of paths and
+code, and the words around it.  Dictionary and transitions are counted from all documents of the table that is scanned, so
+long words of its languages don't look like keys.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import docs_of, map_rows
 
-# Words that name a secret, words that name something else that looks like one, and frequent words.
-NAMES = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api", "auth", "bearer", "credential", "private", "access")
-OTHERS = ("commit", "sha", "md5", "checksum", "hash", "digest", "uuid", "id", "isbn", "order", "invoice", "phone", "call", "card", "account", "version", "revision", "build")
-COMMON = ("the", "and", "for", "with", "that", "this", "from", "user", "name", "test", "example", "data", "file", "path", "value", "config", "server", "client", "index", "page", "home",
-          "main", "list", "item", "type", "date", "time", "mail", "http", "https", "www", "com", "org", "net", "image", "photo", "video", "news", "blog", "post", "doc", "project", "source")
-
-#: A run of at least 16 characters that encodings of random bytes use, or a quoted or bare value after a naming word: both whole,
-#: however long.  Long words are candidates too; the forest takes them out.
-LONG = re.compile(r"(?<![A-Za-z0-9_+/=.@-])[A-Za-z0-9_+/=.@-]{16,}")
-NAMED = re.compile(r"(?i)(?:" + "|".join(NAMES) + r")[a-z_-]{0,20}[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?([^\s\"']{8,})")
+#: Parts of names that secrets go by; words beside what only looks like one; words of samples and placeholders.
+NAMES = ("token", "secret", "password", "passwd", "passphrase", "pwd", "key", "auth", "bearer", "credential", "private", "signature")
+OTHERS = ("commit", "sha", "sha256", "md5", "checksum", "hash", "digest", "uuid", "guid", "id", "isbn", "order", "invoice", "phone", "card", "account", "version", "revision", "build", "etag", "integrity", "public", "image", "serial", "tracking")
+SAMPLES = ("example", "sample", "dummy", "fake", "test", "your", "changeme", "placeholder", "xxx", "todo", "insert", "redacted", "none", "null", "default", "here")
+
+#: A name with a sign after it: the value follows.  A run of at least 16 characters that encodings of random bytes use.  Both whole,
+#: however long; each run of a text is looked at once.
+ASSIGNED = re.compile(r"(?<![\w-])([\w-]++)[\"']?+[ \t]*+[=:][ \t]*+[\"']?+(?=[^\s\"'])")
+LONG = re.compile(r"(?<![A-Za-z0-9_+/=.@-])[A-Za-z0-9_+/=.@-]{16,}+")
+STOP = re.compile(r"[\s\"']|$")
+PEM, PEM_BODY = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), re.compile(r"[A-Za-z0-9+/=\s]*")
+NAMED = re.compile("|".join(NAMES), re.I)
 WORDS = re.compile(r"[^\W_]+")
-FEATURES = ("length", "entropy", "transitions", "digits", "upper", "lower", "other", "hex", "runs", "dictionary", "slashes", "dots", "at", "assigned", "quoted", "named", "other_named", "distinct")
+#: Characters before and after a candidate that its features see.
+CONTEXT = 48
+
+
+def candidates(text: str) -> Iterator[tuple[int, int, str]]:
+    """(begin, end, rule) in order: key blocks (pem), values with a name that speaks of a secret (named), other runs (long).
+
+    A run that overlaps one of the former counts once, as that.
+    """
+    found, close = [], None
+    for m in PEM.finditer(text):
+        if found and m.start() < found[-1][1]:
+            continue
+        close = text.find("-----END", m.end()) if close is None or -1 < close < m.end() else close
+        end = close if close >= 0 else PEM_BODY.match(text, m.end()).end()
+        stop = text.find("-----", end + 8) if close >= 0 else -1
+        found.append((m.start(), stop + 5 if stop >= 0 else end, "pem"))
+    pems, last, taken = [f[0] for f in found], 0, 0
+    for m in ASSIGNED.finditer(text):
+        if m.end() >= last:  # signs inside one value share its end
+            last = STOP.search(text, m.end()).start()
+        if m.end() >= taken and NAMED.search(m[1]):  # names inside a value that has a name are part of it
+            value = text[m.end() : last].rstrip(",;")
+            value = value.rstrip(")]}") if not set(value) & set("([{") else value
+            k = bisect_right(pems, m.end()) - 1
+            if len(value) >= 8 and not (k >= 0 and m.end() < found[k][1]):
+                taken = m.end() + len(value)
+                found.append((m.end(), taken, "named"))
+    found.sort()
+    at, end = 0, 0
+    for m in LONG.finditer(text):
+        a, b = m.start(), m.start() + len(m[0].rstrip(".=@-"))
+        while at < len(found) and found[at][0] < b:
+            end = max(end, found[at][1])
+            at += 1
+        if b - a >= 16 and end <= a:
+            found.append((a, b, "long"))
+            # what was added lies before all that is still to come, and behind ``at``
+    yield from sorted(found)
+
+
+# -- what the corpus teaches ------------------------------------------------------------------
+
+#: Words of the dictionary, at most: the most frequent ones of all documents; their lengths.
+DICTIONARY, SHORTEST, LONGEST = 20_000, 3, 24
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+@dataclass
+class Lexicon:
+    """Frequent words, and the bits that each transition between letters takes in them (27: a letter that is not a-z)."""
 
+    words: frozenset[str]
+    bits: np.ndarray
 
-def char_class(c: str) -> int:
-    return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+    @staticmethod
+    def of(counts: list[tuple[str, int]]) -> Lexicon:
+        n = np.ones((27, 27))
+        for w, c in counts:
+            k = codes(w)
+            np.add.at(n, (k[:-1], k[1:]), math.log2(c + 1))
+        return Lexicon(frozenset(w for w, _ in counts), -np.log2(n / n.sum(axis=1, keepdims=True)))
 
 
-def coverage(text: str) -> float:
-    """The part of a text's characters that frequent words cover, the longest first."""
-    low, n = text.lower(), 0
-    for w in sorted(COMMON, key=len, reverse=True):
-        if len(w) >= 3 and w in low:
-            n += low.count(w) * len(w)
-            low = low.replace(w, "\n")
+def codes(word: str) -> np.ndarray:
+    raw = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.int64) - 97
+    return np.where((raw >= 0) & (raw < 26), raw, 26)
+
+
+def lexicon(df: DataFrame, text_col: str = "text") -> Lexicon:
+    """Counted from the whole texts of all rows; ties by the word. Only DICTIONARY words come to the driver."""
+    word = F.explode(F.split(F.lower(F.col(f"`{text_col}`")), r"[^\p{L}]+")).alias("w")
+    counts = df.select(word).where(F.length("w").between(SHORTEST, LONGEST)).groupBy("w").count()
+    return Lexicon.of([(r.w, r["count"]) for r in counts.orderBy(F.desc("count"), "w").limit(DICTIONARY).collect()])
+
+
+def coverage(text: str, words: frozenset[str]) -> float:
+    """The part of a text's characters that dictionary words cover, from the left, the longest first."""
+    low, at, n = text.lower(), 0, 0
+    while at < len(low):
+        for k in range(min(LONGEST, len(low) - at), SHORTEST - 1, -1):
+            if low[at : at + k] in words:
+                n, at = n + k, at + k
+                break
+        else:
+            at += 1
     return n / max(len(text), 1)
 
 
-def features(value: str, before: str, after: str) -> list[float]:
-    """Length, character transitions, dictionary coverage, path signs and neighbouring words of one candidate."""
+FEATURES = ("length", "entropy", "transition_bits", "class_changes", "digits", "upper", "lower", "other", "hex", "runs", "distinct", "dictionary", "slashes", "word_segments", "path_start", "extension", "dots", "dashes", "at", "code_signs", "assigned", "quoted", "called", "named", "other_named", "sample")
+
+
+def features(value: str, before: str, after: str, lex: Lexicon) -> list[float]:
+    """Length, character transitions, dictionary coverage, path and neighbouring words of one candidate."""
     n = max(len(value), 1)
     counts = {c: value.count(c) for c in set(value)}
-    kinds = [char_class(c) for c in value]
-    k = [kinds.count(j) / n for j in range(4)]
-    near = [w.lower() for w in WORDS.findall(before)[-4:]]
+    raw = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
+    lower, upper, digit = (raw >= 97) & (raw <= 122), (raw >= 65) & (raw <= 90), (raw >= 48) & (raw <= 57)
+    kind = np.select([lower, upper, digit], [0, 1, 2], 3)
+    low = np.where(upper, raw + 32, raw).astype(np.int64) - 97
+    low = np.where((low >= 0) & (low < 26), low, 26)
+    pair = (kind[:-1] < 2) & (kind[1:] < 2)
+    bits = lex.bits[low[:-1], low[1:]][pair].mean() if pair.any() else 8.0
+    hexa = digit | (raw >= 97) & (raw <= 102) | (raw >= 65) & (raw <= 70)
+    segments = [x for x in re.split(r"[/\\.:_-]+", value) if x]
+    near = [w.lower() for w in WORDS.findall(before)[-4:]] + [w.lower() for w in WORDS.findall(after)[:2]]
+    name = before.rstrip(" \t\"'=:")
     sign = before.rstrip(" \t\"'")[-1:]
+    own = value.lower()
     return [
-        min(n, 256), -sum(v / n * math.log2(v / n) for v in counts.values()), sum(a != b for a, b in zip(kinds, kinds[1:])) / n, k[2], k[1], k[0], k[3],
-        sum(c in "0123456789abcdefABCDEF" for c in value) / n, sum(a == b for a, b in zip(value, value[1:])) / n, coverage(value), value.count("/"), value.count("."), value.count("@"),
-        float(sign in ("=", ":")), float(before[-1:] in ("\"", "'")), float(any(w in NAMES for w in near)), float(any(w in OTHERS for w in near)), len(counts) / n,
+        math.log2(n), -sum(v / n * math.log2(v / n) for v in counts.values()), float(bits), float((kind[1:] != kind[:-1]).mean()) if n > 1 else 0.0, float(digit.mean()), float(upper.mean()), float(lower.mean()), float((kind == 3).mean()),
+        float(hexa.mean()), float((raw[1:] == raw[:-1]).mean()) if n > 1 else 0.0, len(counts) / n, coverage(value, lex.words), value.count("/"),
+        sum(s.lower() in lex.words for s in segments) / max(len(segments), 1), float(value.startswith(("/", "./", "../", "~", "$", "%")) or "://" in value), float(bool(re.search(r"\.[a-z]{2,5}$", value))),
+        value.count("."), value.count("-"), value.count("@"), float(sum(value.count(c) for c in "()[]{}<>$*%")), float(sign in ("=", ":")), float(before[-1:] in ("\"", "'")), float(after[:1] in ("(", "[") or value.endswith("(")),
+        float(bool(NAMED.search(name[-24:]))) + float(any(NAMED.fullmatch(w) for w in near)), float(any(w in OTHERS for w in near)), float(any(w in own for w in SAMPLES) or any(w in SAMPLES for w in near[-4:])),
     ]
 
 
-#: Characters before and after a candidate that its features see.
-CONTEXT = 48
-
-
-def candidates(text: str) -> Iterator[tuple[int, int, str]]:
-    """(begin, end, rule) in order; a named value that is also a long run counts once, as named."""
-    named = {m.span(1): None for m in NAMED.finditer(text)}
-    taken = sorted(named)
-    yield_ = [(a, b, "named") for a, b in taken]
-    for m in LONG.finditer(text):
-        a, b = m.start(), m.start() + len(m[0].rstrip(".=@-"))
-        if b - a >= 16 and not any(x < b and a < y for x, y in taken):
-            yield_.append((a, b, "long"))
-    yield from sorted(yield_)
-
-
 # -- the forest -----------------------------------------------------------------------------
 
 
@@ -118,7 +197,8 @@ def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, lea
             cost[(v[1:] == v[:-1]) | (n < least) | (m < least)] = np.inf
             k = int(cost.argmin())
             if cost[k] < best[0]:
-                best = (float(cost[k]), int(f), float(v[k] + v[k + 1]) / 2)
+                middle = float(v[k] + v[k + 1]) / 2
+                best = (float(cost[k]), int(f), middle if middle < v[k + 1] else float(v[k]))
         if best[1] >= 0:
             feature[at], threshold[at] = best[1:]
             left[at] = node()
@@ -128,12 +208,12 @@ def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, lea
     return np.array(feature), np.array(threshold), np.array(left), np.array(value)
 
 
-def train(findings: list[tuple[str, str, str, bool]], trees: int = 40, depth: int = 10, least: int = 2, seed: int = 3) -> Forest:
+def train(findings: list[tuple[str, str, str, bool]], lex: Lexicon, trees: int = 40, depth: int = 12, least: int = 2, seed: int = 3) -> Forest:
     """From labelled findings (value, text before, text after, is a secret). Without both kinds the forest is empty."""
     y = np.array([f[3] for f in findings], float)
     if not len(y) or y.min() == y.max():
         return Forest()
-    x, rng = np.array([features(*f[:3]) for f in findings]), np.random.default_rng(seed)
+    x, rng = np.array([features(*f[:3], lex) for f in findings]), np.random.default_rng(seed)
     out = Forest()
     for _ in range(trees):
         rows = rng.integers(0, len(y), len(y))
@@ -141,70 +221,145 @@ def train(findings: list[tuple[str, str, str, bool]], trees: int = 40, depth: in
     return out
 
 
-def labelled_findings(n: int = 1500, seed: int = 17) -> list[tuple[str, str, str, bool]]:
-    """Labelled findings made by rule: n secrets in the ways that they are written down, and n things that look like some."""
+# -- labelled findings ------------------------------------------------------------------------
+# Written after public formats of keys and after code and settings of all kinds, not after any corpus. {v} is the finding; a name in
+# braces is filled by the rule of that name below.
+
+SECRET_LINES = (
+    '{NAME} = "{v}"', "{NAME}='{v}'", "{NAME}={v}", "{name}: {v}", '"{name}": "{v}",', "export {NAME}={v}", "--{name}={v} --verbose", "set {name} {v}", "{name} := {v}", "const {name} = '{v}';",
+    "Authorization: Bearer {v}", "curl -H 'X-Api-Key: {v}' https://api.service.io", "machine git.host.org login bot password {v}", "the {name} is {v} and", "-u admin:{v} ", "<add key='{name}' value='{v}'/>", "# {v}", "sent {v} by mail",
+)
+SECRET_KINDS = ("hex32", "hex40", "hex64", "b64", "alnum", "upper", "prefixed", "password", "jwt", "letters")
+PLAIN_LINES = (
+    ("word_run", "{w} {w} {v} {w}"), ("word_run", "{w}. {V} {w}"), ("word_run", "{name}: {v}"), ("word_run", "the {name} = {v}"), ("snake", "{w} = {v}({w})"), ("snake", '{name} = "{v}"'), ("snake", "{name}={v}"), ("snake", "import {v}"),
+    ("digits", "{w} {v} {w}"), ("digits", "order {v} shipped"), ("digits", "{name}: {v}"), ("mail", "write to {v} or"), ("mail", "{w} <{v}>"), ("url", "see {v} for"), ("url", '{name}_url = "{v}"'), ("path", "open {v} first"), ("path", '{name}_file: "{v}"'), ("path", "{name}_path={v}"),
+    ("hex40", "commit {v}"), ("hex40", "at revision {v} of"), ("hex32", "md5: {v}"), ("hex64", "sha256 = {v}"), ("hex64", "sha256:{v} "), ("b64", 'integrity="sha512-{v}"'), ("uuid", "id {v} {w}"), ("uuid", '"uuid": "{v}"'), ("hex32", "etag: {v}"), ("b64", "image/png;base64,{v}"), ("hex40", "checksum {v} ok"),
+    ("call", "{name} = {v}"), ("call", "{NAME}={v}"), ("sample", '{name} = "{v}"'), ("sample", "{NAME}={v}"), ("stars", "{name}: {v}"), ("variable", "{name}={v}"), ("variable", '"{name}": "{v}"'), ("camel", "{name}: {v},"), ("camel", "new {v} {w}"), ("version", "{w} {v} {w}"), ("plain_key", "key: {v}"), ("plain_key", 'key="{v}"'),
+    ("rule", "{v} {w}"), ("date", "at {v} {w}"), ("caps", "{w} {v} {w}"), ("caps", "{v}! {w}"),
+)
+HEX, ALNUM = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+#: Public prefixes of keys of well-known services.
+PREFIXES = ("ghp_", "gho_", "sk_live_", "rk_live_", "xoxb-", "AKIA", "AIza", "glpat-", "npm_", "SG.", "pk_prod_")
+
+
+def labelled_findings(lex: Lexicon, n: int = 1500, seed: int = 17) -> list[tuple[str, str, str, bool]]:
+    """n secrets and n findings that are none, from the lines above; ordinary words are drawn from the dictionary."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     chars = lambda alphabet, k: "".join(pick(alphabet) for _ in range(k))
-    hexa, b64, digits = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789"
-    word = lambda: "".join(pick(("th", "er", "on", "an", "re", "he", "in", "ed", "le", "de", "que", "la", "sch", "ung")) for _ in range(int(rng.integers(1, 6))))
-    prose = lambda k: " ".join(pick((word(), pick(COMMON))) for _ in range(k))
+    size = lambda a, b: int(rng.integers(a, b + 1))
+    vocabulary = sorted(lex.words) or ["lorem", "ipsum", "dolor", "amet", "value", "server"]
+    ascii_ = [w for w in vocabulary if w.isascii()] or vocabulary
+    word = lambda: pick(vocabulary)
+    join = lambda sep, a, b: sep.join(pick(ascii_) for _ in range(size(a, b)))
+
+    def name() -> str:
+        base = pick(("token", "secret", "password", "passwd", "api_key", "apikey", "secret_key", "access_key", "auth_token", "client_secret", "private_key", "db_password", "key", "credential"))
+        return pick((base, base, f"{pick(ascii_)}_{base}", f"{base}_of_{join('_', 1, 3)}"))
+
+    def value(kind: str) -> str:
+        match kind:
+            case "hex32" | "hex40" | "hex64":
+                return chars(HEX, int(kind[3:]))
+            case "b64":
+                return chars(ALNUM + "+/", size(20, 88)) + pick(("", "=", "=="))
+            case "alnum":
+                return chars(ALNUM, size(16, 64))
+            case "upper":
+                return chars(ALNUM[:26] + "0123456789", size(16, 32))
+            case "letters":
+                return chars(ALNUM[:52] if rng.integers(2) else ALNUM[26:52], size(18, 40))
+            case "prefixed":
+                return pick(PREFIXES) + chars(ALNUM, size(16, 40))
+            case "jwt":
+                return ".".join(("eyJ" + chars(ALNUM, size(20, 40)), "eyJ" + chars(ALNUM, size(40, 160)), chars(ALNUM + "-_", 43)))
+            case "password":
+                return "".join((chars(ALNUM, size(3, 8)), pick("!#%&?_-+"), chars(ALNUM, size(3, 8)), pick(("", "!", "9"))))
+            case "word_run":
+                text = join("", 2, 5)
+                return text if len(text) >= 16 else text + "".join(pick(ascii_) for _ in range(5))
+            case "snake":
+                return join("_", 2, 5) + pick(("", "", str(size(1, 9999))))
+            case "digits":
+                return chars("0123456789", size(16, 20))
+            case "mail":
+                return f"{pick(ascii_)}{pick(('.', '_', ''))}{pick(ascii_)}{pick(('', str(size(1, 99))))}@{join('.', 1, 2)}.{pick(('com', 'org', 'net', 'de', 'fr'))}"
+            case "url":
+                return f"https://{pick(ascii_)}.{pick(('com', 'org', 'io'))}/{join('/', 1, 4)}{pick(('', '.html', '?page=2'))}"
+            case "path":
+                return f"{pick(('/', './', '~/', '/etc/', '/home/'))}{join('/', 1, 4)}{pick(('', '.txt', '.pem', '.json', '.pub'))}"
+            case "uuid":
+                return "-".join(chars(HEX, k) for k in (8, 4, 4, 4, 12))
+            case "call":
+                return pick((f"get_{join('_', 1, 2)}({pick(ascii_)})", f"os.environ[{pick(ascii_).upper()}]", f"config.{join('.', 1, 3)}", f"{pick(ascii_)}.{pick(ascii_)}()", f"request.headers.get({pick(ascii_)})", f"{join('_', 2, 3)}("))
+            case "sample":
+                return pick((f"YOUR_{join('_', 1, 2).upper()}_HERE", f"your-{join('-', 1, 2)}", "changeme" + str(size(1, 99)), f"<{join('-', 1, 3)}>", f"example_{join('_', 1, 2)}", f"insert-{join('-', 1, 2)}-here", "xxxxxxxx" + "x" * size(0, 24), f"dummy{pick(ascii_)}", "placeholder", "REDACTED-" + pick(ascii_)))
+            case "stars":
+                return pick("*.x-#") * size(8, 24)
+            case "variable":
+                return pick((f"${{{join('_', 1, 3).upper()}}}", f"$({join('_', 1, 3)})", f"{{{{ {join('.', 1, 3)} }}}}".replace(" ", ""), f"%{join('_', 1, 2).upper()}%", f"${join('_', 2, 3).upper()}"))
+            case "camel":
+                return "".join(w.capitalize() for w in join(" ", 3, 5).split())
+            case "version":
+                return f"{join('-', 1, 2)}-{size(0, 20)}.{size(0, 20)}.{size(0, 99)}-{pick(('alpha', 'beta', 'release'))}"
+            case "plain_key":
+                return join(pick(("-", ".", "_")), 2, 4)
+            case "rule":
+                return pick("=-_/") * size(16, 60)
+            case "date":
+                return f"20{size(10, 30)}-0{size(1, 9)}-{size(10, 28)}T{size(10, 23)}:{size(10, 59)}:{size(10, 59)}.{size(100, 999)}Z"
+            case _:  # caps
+                return join("", 3, 5).upper()
+
+    def finding(line: str, kind: str, secret: bool) -> tuple[str, str, str, bool]:
+        v = value(kind)
+        v = v if len(v) >= 8 else v + value("snake")
+        filled = line.replace("{name}", name()).replace("{NAME}", name().upper())
+        while "{w}" in filled:
+            filled = filled.replace("{w}", word(), 1)
+        v = v.capitalize() if "{V}" in filled else v
+        before, _, after = filled.replace("{V}", "{v}").partition("{v}")
+        before = f"{' '.join(word() for _ in range(size(0, 5)))}{pick((' ', chr(10)))}{before}"
+        after = f"{after}{pick((' ', chr(10)))}{' '.join(word() for _ in range(size(0, 4)))}"
+        return v, before[-CONTEXT:], after[:CONTEXT], secret
+
     out = []
     for _ in range(n):
-        size = int(rng.integers(16, 65))
-        value = pick((chars(hexa, pick((32, 40, 64))), chars(b64, size), chars(b64, 20).upper(), chars(b64.replace("+/", ""), size), chars(b64[:52], size)))
-        name, sign = pick(NAMES), pick((" = ", "=", ": ", ":"))
-        name = pick((name, name.upper(), f"{word()}_{name}", f"{name}_{word()}"))
-        quote = pick(("\"", "\"", "'", ""))
-        start = f"{prose(4)} " if value.isalpha() and rng.integers(2) else f"{prose(4)} {name}{sign}{quote}"
-        out.append((value, start[-CONTEXT:], f"{quote if start[-1:] != ' ' else ''} {prose(2)}"[:CONTEXT], True))
-        kind = int(rng.integers(9))
-        before = prose(5)
-        if kind == 0:
-            value = chars(digits, int(rng.integers(16, 20)))
-        elif kind == 1:
-            value = f"{word()}.{word()}{int(rng.integers(100))}@mail{int(rng.integers(9))}.example.com"
-        elif kind == 2:
-            value = f"/{word()}/{pick(COMMON)}/{word()}-{int(rng.integers(3000))}.html"
-        elif kind == 3:
-            value, before = chars(hexa, pick((32, 40, 64))), f"{before} {pick(OTHERS)} "
-        elif kind == 4:
-            value = "-".join(chars(hexa, k) for k in (8, 4, 4, 4, 12))
-        elif kind == 5:
-            value = f"{word()}_{word()}_{pick(COMMON)}_{int(rng.integers(10000))}"
-        elif kind == 6:
-            value, before = f"{word()}{word()}{pick(COMMON)}", f"{before} {pick(NAMES)}{pick((': ', ' = '))}"
-        elif kind == 7:
-            value = "".join(word() for _ in range(9))[: int(rng.integers(16, 40))]
-            value = pick((value, value.capitalize(), value.upper()))
-        else:
-            value = word() + word() + str(int(rng.integers(10**6))) + word()
-        out.append((value, f"{before} "[-CONTEXT:] if before[-1:] not in "=: " else before[-CONTEXT:], f" {prose(3)}"[:CONTEXT], False))
+        kind = pick(SECRET_KINDS)
+        # a bare password or a run of letters says nothing without a name; hexadecimal alone may be any digest
+        lines = SECRET_LINES if kind in ("alnum", "b64", "prefixed", "jwt", "letters") else SECRET_LINES[:-2]
+        out.append(finding(pick(lines), kind, True))
+        kind, line = pick(PLAIN_LINES)
+        out.append(finding(line, kind, False))
     return out
 
 
 FINDINGS = "doc_id long, begin long, end long, rule string, value_sha256 string, score double, is_secret boolean"
 
 
-def scan(df: DataFrame, forest: Forest | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+def scan(df: DataFrame, model: tuple[Lexicon, Forest] | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """One row a candidate: doc_id, begin, end (code points), rule, value_sha256, score, is_secret (score >= ``least``).
 
-    The value itself is not returned.  A null or empty text has no candidates, and a document without any has no row.  Candidates
-    are sought in whole texts; rows that repeat an id are scanned each.  With an empty forest all candidates score 0.  No shuffle.
+    ``model`` is a lexicon and a forest trained with it; without one the words of all texts are counted and the forest is trained
+    on labelled_findings().  The value itself is not returned.  A null or empty text has no candidates, and a document without any
+    has no row.  Candidates are sought in whole texts, and are whole however long they are; rows that repeat an id are scanned each, and
+    so are equal texts.  With an empty forest all candidates score 0.  An empty table gives an empty table.
     """
-    forest = forest or train(labelled_findings())
-    packed = df.sparkSession.sparkContext.broadcast(forest)  # as large as its training set, whatever the input
+    if model is None:
+        lex = lexicon(df, text_col)
+        model = lex, train(labelled_findings(lex), lex)
+    packed = df.sparkSession.sparkContext.broadcast(model)  # DICTIONARY words, and trees of the training set's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        own = packed.value
+        lex, forest = packed.value
         for b in batches:
             found, x = [], []
             for i, t in zip(*(c.to_pylist() for c in b.columns)):
                 for a, z, rule in candidates(t or ""):
-                    found.append((i, a, z, rule, hashlib.sha256(t[a:z].encode()).hexdigest()))
-                    x.append(features(t[a:z], t[max(0, a - CONTEXT) : a], t[z : z + CONTEXT]))
+                    found.append((i, a, z, rule, hashlib.sha256(t[a:z].encode("utf-8", "surrogatepass")).hexdigest()))
+                    x.append(features(t[a:z], t[max(0, a - CONTEXT) : a], t[z : z + CONTEXT], lex))
             if found:
-                for f, s in zip(found, own.score(np.array(x)).tolist()):
+                for f, s in zip(found, forest.score(np.array(x)).tolist()):
                     yield (*f, s, s >= least)
 
     return map_rows(docs_of(df, id_col, (text_col, "text")), run, FINDINGS)
