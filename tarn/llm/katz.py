@@ -194,7 +194,7 @@ class Words:
 
     def p(self, c: np.ndarray) -> np.ndarray:
         """The probability of a word with the count c; with 0, of the unknown word."""
-        return np.where(c > 0, self.seen * self.d[np.minimum(c, K + 1)] * c / max(self.total, 1), self.unknown)
+        return np.where(c > 0, self.seen * self.d[np.minimum(c, K + 1).astype(np.int64)] * c / max(self.total, 1), self.unknown)
 
 
 # -- a chunk at each order ------------------------------------------------------------------
@@ -268,20 +268,21 @@ class Walk:
         heads, head = np.unique(context[tokens], return_inverse=True)
         local = self.c.local[tokens].astype(np.int64)
         code, one, inverse = np.unique(head * np.int64(len(self.word) + 1) + local, return_index=True, return_inverse=True)
-        ctx, word = heads[code // (len(self.word) + 1)] if len(code) else code, self.word[code % (len(self.word) + 1)] if len(code) else code
-        n = np.bincount(inverse[self.c.trained()[tokens]], minlength=len(code)) if len(code) else code
+        ctx, word = heads[code // (len(self.word) + 1)], self.word[code % (len(self.word) + 1)]
+        n = np.bincount(inverse[self.c.trained()[tokens]], minlength=len(code))
         bucket = bucket_of(gram_hash(ctx, word), self.buckets)
-        order = np.lexsort((word, ctx, bucket))
+        # codes are in the order of context and word already, as words are numbered in the order of the vocabulary
+        order = by_buckets(bucket, self.buckets)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        return Asked(tokens, place[inverse] if len(code) else code, bucket[order], ctx[order], word[order], n[order], np.where(n > 0, p[tokens[one]], 0.0)[order] if len(code) else np.zeros(0))
+        return Asked(tokens, place[inverse], bucket[order], ctx[order], word[order], n[order], np.where(n > 0, p[tokens[one]], 0.0)[order])
 
     def contexts(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place of each token's context or -1, buckets, contexts): distinct ones in order of bucket and number."""
         tokens = np.flatnonzero(context >= 0)
         own, inverse = np.unique(context[tokens], return_inverse=True)
         bucket = bucket_of(mix64(own.astype(np.uint64)), self.buckets)
-        order = np.lexsort((own, bucket))
+        order = by_buckets(bucket, self.buckets)
         place, at = np.empty(len(order), np.int64), np.full(len(context), -1)
         place[order] = np.arange(len(order))
         at[tokens] = place[inverse]
@@ -307,6 +308,11 @@ class Asked:
     lower: np.ndarray
 
 
+def by_buckets(bucket: np.ndarray, buckets: int) -> np.ndarray:
+    """The order of buckets; within one, things stay as they are."""
+    return np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+
+
 def gram_hash(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix64(mix64(context.astype(np.uint64)) ^ word.astype(np.uint64))
 
@@ -351,7 +357,8 @@ def ask_grams(joined: DataFrame, state: State, order: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for chunk, w in state.walks(batches):
             gram, p = w.grams(order - 1)
-            a = w.asked(gram, w.context(gram, order), p)
+            # of single words the counts are sent, which take fewer bytes than their probabilities
+            a = w.asked(gram, w.context(gram, order), w.known[w.c.local].astype(float) if order == 2 else p)
             for k, at in slices(a.bucket):
                 yield k, chunk, pack(steps(a.context[at]), a.word[at], a.n[at].astype(np.uint32), a.lower[at], level=3, spread=True)
             del w, gram, p, a
@@ -364,9 +371,11 @@ def ask_grams(joined: DataFrame, state: State, order: int) -> DataFrame:
 HELD = 2_000_000
 
 
-def count_grams(asked: DataFrame, buckets: int, numbered: bool) -> DataFrame:
+def count_grams(asked: DataFrame, buckets: int, numbered: bool, words: Words | None) -> DataFrame:
     """Answers: the count of each gram that a chunk asked for, and with ``numbered`` its place among those that were seen.
 
+    ``words``: lower probabilities are those of single words, whose counts are in their place.
+
     Partial sums of a task, by the bucket of the context: context, count, kinds, lower probabilities of its seen grams, and how many of
     these have the counts 1 to K.
     """
@@ -394,7 +403,8 @@ def count_grams(asked: DataFrame, buckets: int, numbered: bool) -> DataFrame:
                 own = group[at : at + len(p[0])]
                 yield ANSWER, k, chunk, pack(total[own], steps(rank[own]) if numbered else rank[:0], level=3, spread=True)
                 at += len(p[0])
-            held = ctx[first][seen], total[seen], np.maximum.reduceat(lower[order], np.flatnonzero(new))[seen]
+            below = np.maximum.reduceat(lower[order], np.flatnonzero(new))[seen]
+            held = ctx[first][seen], total[seen], words.p(below) if words else below
             yield TABLE, k, 0, pack(steps(held[0]), word[first][seen], held[1], spread=True)
             yield COUNTS, k, 0, pack(count_counts(total), np.array([total.sum(), seen.sum()]))
             open_.append(held)
@@ -415,9 +425,10 @@ def partial(seen: tuple[np.ndarray, ...], buckets: int) -> Iterator[tuple[int, n
     m = len(own)
     sums = [np.bincount(at, n, m).astype(np.int64), np.bincount(at, minlength=m), np.bincount(at, lower, m), *(np.bincount(at[n == r], minlength=m) for r in range(1, K + 1))]
     bucket = bucket_of(mix64(own.astype(np.uint64)), buckets)
-    order = np.lexsort((own, bucket))
+    order = by_buckets(bucket, buckets)
+    own, sums = own[order], [x[order] for x in sums]
     for k, s in slices(bucket[order]):
-        yield k, own[order][s], [x[order][s] for x in sums]
+        yield k, own[s], [x[s] for x in sums]
 
 
 def ask_contexts(joined: DataFrame, state: State, order: int) -> DataFrame:
@@ -530,7 +541,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
 
     for m in range(2, order + 1):
         asked = ask_grams(joined(staged), state, m)
-        grams = Stage(count_grams(asked, buckets, m < order), f"katz-grams-{m}", release=True, by="kind")
+        grams = Stage(count_grams(asked, buckets, m < order, state.words if m == 2 else None), f"katz-grams-{m}", release=True, by="kind")
         counts, _, numbers = totals(grams.df(), buckets)
         level = Level(discounts(counts), numbers)
         sums = grams.df().where(F.col("kind") == PARTIAL).select("kind", "bucket", "chunk", "blob")
