@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_of, map_rows
+from .common import Stage, docs_of, map_rows
 
 #: Parts of names that secrets go by; words beside what only looks like one; words of samples and placeholders.
 NAMES = ("token", "secret", "password", "passwd", "passphrase", "pwd", "key", "auth", "bearer", "credential", "private", "signature")
@@ -103,11 +103,24 @@ def codes(word: str) -> np.ndarray:
     return np.where((raw >= 0) & (raw < 26), raw, 26)
 
 
-def lexicon(df: DataFrame, text_col: str = "text") -> Lexicon:
-    """Counted from the whole texts of all rows; ties by the word. Only DICTIONARY words come to the driver."""
+def lexicon(df: DataFrame, text_col: str = "text", most: int = DICTIONARY) -> Lexicon:
+    """The most frequent words of the whole texts of all rows, ``most`` at most; of words of like frequency all or none.
+
+    A histogram of the words' counts, in steps of an eighth of a power of two, says from which count on they fit; so only the
+    words themselves come to the driver, and no task sends a list of its own.
+    """
     word = F.explode(F.split(F.lower(F.col(f"`{text_col}`")), r"[^\p{L}]+")).alias("w")
-    counts = df.select(word).where(F.length("w").between(SHORTEST, LONGEST)).groupBy("w").count()
-    return Lexicon.of([(r.w, r["count"]) for r in counts.orderBy(F.desc("count"), "w").limit(DICTIONARY).collect()])
+    counts = df.select(word).where(F.length("w").between(SHORTEST, LONGEST)).groupBy("w").count().withColumn("step", F.floor(F.log2("count") * 8).cast("int"))
+    table = Stage(counts, "words")
+    total, least = 0, 1 << 30
+    for step, n in sorted(((r.step, r["count"]) for r in table.df().groupBy("step").count().collect()), reverse=True):
+        total += n
+        if total > most:
+            break
+        least = step
+    found = sorted((r.w, r["count"]) for r in table.df().where(F.col("step") >= least).select("w", "count").collect())
+    table.drop()
+    return Lexicon.of(found)
 
 
 def coverage(text: str, words: frozenset[str]) -> float:
