@@ -1,15 +1,18 @@
 """Removal of repeated byte strings by a distributed prefix-free parse.
 
-Rolling-hash triggers cut texts into phrases.  A phrase's *context* is what windows that start in it can see; contexts
-are the dictionary, and their order in the texts is the parse.  Where the dictionary holds a context once and nothing in it
-begins like another, no window of the context repeats: that settles almost all of a text.  A context that is held
-twice settles all its windows at once.  Only where repeated passages begin or end are single windows compared.
+Rolling-hash triggers cut texts into phrases.  A phrase's *context* is what windows that start in it can see, so windows are
+equal only if their contexts have the same *core*, the bytes at the trigger that all of them see; cores deal contexts to buckets.  A
+core that occurs once settles its windows: that is almost all of a text, and is known from hashes alone, as equal cores
+have equal hashes.  The bytes of all other contexts go to their bucket.  There distinct contexts are the dictionary, and which of them
+each place in the texts has is the parse.  The suffix array of the dictionary, to the depth of a window, with each suffix
+repeated for the places that the parse has of its context, is the corpus order of the bucket: neighbours that agree to that depth repeat.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +20,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, Stage, answers, arrow_schema, by_bucket, deal, docs_of, grouped, map_rows, mix64, n_buckets, pack, text_bytes, unpack
+from .common import PACKED, Stage, answers, by_bucket, deal, docs_of, grouped, map_rows, mix64, n_buckets, n_shuffle, pack, text_bytes, unpack
 
-#: Bytes of a chunk of texts, about.
+#: Bytes of a chunk of texts, about; a longer text is cut into pieces of so many.
 CHUNK = 4 << 20
 #: Bytes that the rolling hash of a trigger sees.
 TRIGGER = 16
@@ -46,15 +49,18 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class Text:
-    """The texts of a chunk, one after the other, with sums from which any stretch is hashed at once."""
+    """The pieces of a chunk, one after the other, with sums from which any stretch is hashed at once.
+
+    A piece is a text or a part of one: ``own`` bytes, ``before`` them up to a window of the part before, which windows that
+    reach into the piece begin in, and ``after`` them what its own windows reach into.
+    """
 
     def __init__(self, docs: bytes, texts: bytes):
-        ids, known, lens = unpack(docs, "int64", "uint8", "int64")
+        ids, known, self.key, self.number, self.before, self.own, after = unpack(docs, *DOCS)
         self.ids = [i if k else None for i, k in zip(ids.tolist(), known.tolist())]
         (self.bytes,) = unpack(texts, "uint8")
-        self.ends = np.cumsum(lens)
-        self.lens = lens
-        self.sums = None
+        self.lens = self.before + self.own + after
+        self.ends = np.cumsum(self.lens)
 
     def prepare(self) -> None:
         n = len(self.bytes)
@@ -67,15 +73,16 @@ class Text:
         with np.errstate(over="ignore"):
             return mix64((self.sums[hi] - self.sums[lo]) * self.back[lo])
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Phrases: (trigger, lo, hi); its windows are those that start at trigger - hi ... trigger - lo.
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases: (trigger, lo, hi, counts); its windows are those that start at trigger - hi ... trigger - lo.
 
         The trigger of a window is the place of the least rolling hash (the first of equals) among its first
-        width - TRIGGER - ``reach`` places, so it depends on nothing outside the window and each window has one.
+        width - TRIGGER - ``reach`` places, so it depends on nothing outside the window and each window has one.  Windows that
+        begin before a piece's own bytes are phrases of their own, which don't count: the part before has them.
         """
         n, look = len(self.bytes), reach(width)
         if n < width:
-            return (np.zeros(0, np.int64),) * 3
+            return (np.zeros(0, np.int64),) * 4
         with np.errstate(over="ignore"):
             m = n - TRIGGER + 1
             h = mix64((self.sums[TRIGGER:] - self.sums[:m]) * self.back[:m])
@@ -85,21 +92,35 @@ class Text:
             key = np.minimum(key[:-step], key[step:])
             step *= 2
         start = np.arange(n - width + 1)
-        doc_end = np.repeat(self.ends, self.lens)
-        ok = start + width <= doc_end[: len(start)]
+        begin = self.ends - self.lens
+        piece = lambda x: np.repeat(x, self.lens)[: len(start)]
+        ok = (start + width <= piece(self.ends)) & (start < piece(begin + self.before + self.own))
+        counts = (start >= piece(begin + self.before))[ok]
         start = start[ok]
         trigger = (key[: n - width + 1][ok] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        new = np.flatnonzero(np.concatenate([[True], (trigger[1:] != trigger[:-1]) | (start[1:] != start[:-1] + 1)])) if len(start) else np.zeros(0, np.int64)
+        new = np.flatnonzero(np.concatenate([[True], (trigger[1:] != trigger[:-1]) | (start[1:] != start[:-1] + 1) | (counts[1:] != counts[:-1])])) if len(start) else np.zeros(0, np.int64)
         last = np.append(new[1:], len(start)) - 1
-        return trigger[new], trigger[new] - start[last], trigger[new] - start[new]
+        return trigger[new], trigger[new] - start[last], trigger[new] - start[new], counts[new].astype(np.int64)
 
-    def contexts(self, width: int) -> tuple[np.ndarray, ...]:
-        """Phrases in the order of their cores' hashes: (trigger, lo, hi, core, context)."""
-        t, lo, hi = self.windows(width)
+    def phrases(self, width: int) -> Phrases:
+        self.prepare()
+        t, lo, hi, counts = self.windows(width)
         core = self.hash(t, t + width - reach(width) + 1)
-        whole = self.hash(t - hi, t + width - lo) ^ mix64((hi * 256 + lo + 1).astype(np.uint64))
         order = np.lexsort((t, core))
-        return t[order], lo[order], hi[order], core[order], whole[order]
+        return Phrases((t - hi)[order], (t - lo + width)[order], counts[order], core[order])
+
+
+@dataclass
+class Phrases:
+    """In the order of their cores' hashes: where the contexts begin and end, how many windows' places they count (0 or 1), core."""
+
+    begin: np.ndarray
+    end: np.ndarray
+    counts: np.ndarray
+    core: np.ndarray
+
+    def pick(self, mask: np.ndarray) -> Phrases:
+        return Phrases(self.begin[mask], self.end[mask], self.counts[mask], self.core[mask])
 
 
 def reach(width: int) -> int:
@@ -107,158 +128,242 @@ def reach(width: int) -> int:
     return max(1, 1 << ((2 * (width - TRIGGER)) // 3).bit_length() - 1)
 
 
-def chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+#: Of each piece: id, whether there is one, number of its text, number of the piece in it or -1 if it is whole, bytes before, own, after.
+DOCS = ("int64", "uint8", "int64", "int64", "int64", "int64", "int64")
+
+
+def chunks(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    size_of = CHUNK
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        part, n, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
+        part, n, serial, rows, texts, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
 
         def flush() -> tuple:
-            known = np.array([i is not None for i in ids], np.uint8)
-            docs = pack(np.array([i or 0 for i in ids], np.int64), known, np.array([len(t) for t in texts], np.int64))
+            docs = pack(*(np.array(x, t) for x, t in zip(zip(*rows), DOCS)))
             return (part << 32) + n, docs, pack(np.frombuffer(b"".join(texts), np.uint8), level=3)
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), text_bytes(b.column(1))):
-                ids.append(i)
-                texts.append(t)
-                size += len(t)
-                if size >= CHUNK or len(ids) >= 100_000:
-                    yield flush()
-                    ids, texts, size, n = [], [], 0, n + 1
-        if ids:
+                key, serial = (part << 32) + serial, serial + 1
+                for k, at in enumerate(range(0, len(t), size_of) or [0]):
+                    before, own = min(at, width), min(size_of, len(t) - at)
+                    after = min(width - 1, len(t) - at - own)
+                    rows.append((i or 0, i is not None, key, k if len(t) > size_of else -1, before, own, after))
+                    texts.append(t[at - before : at + own + after])
+                    size += before + own + after
+                    if size >= size_of or len(rows) >= 100_000:
+                        yield flush()
+                        rows, texts, size, n = [], [], 0, n + 1
+        if rows:
             yield flush()
 
     return map_rows(docs_of(df, id_col, (text_col, "text")), run, CHUNKS)
 
 
-#: What is known of a context: none of its windows repeats; all do; unknown; all do, and others may share some of them.
-ONCE, TWICE, OPEN, SHARED = range(4)
+# -- cores ----------------------------------------------------------------------------------
 
 
-def ask_contexts(table: DataFrame, width: int, buckets: int) -> DataFrame:
+def ask_cores(table: DataFrame, width: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            for chunk, docs, texts in zip(*(c.to_pylist() for c in b.columns)):
-                x = Text(docs, texts)
-                x.prepare()
-                _, _, _, core, whole = x.contexts(width)
-                for k, (lo, hi) in enumerate(zip(*by_bucket(core, buckets))):
+            for k in range(b.num_rows):
+                chunk, docs, texts = (c[k].as_py() for c in b.columns)
+                f = Text(docs, texts).phrases(width)
+                for k_, (lo, hi) in enumerate(zip(*by_bucket(f.core, buckets))):
                     if hi > lo:
-                        yield k, chunk, pack(core[lo:hi], whole[lo:hi])
+                        yield k_, chunk, pack(np.diff(f.core[lo:hi], prepend=np.uint64(0)), f.counts[lo:hi].astype(np.uint8), spread=True)
 
     return map_rows(table.select("chunk", "docs", "texts"), run, PACKED)
 
 
-def judge_contexts(asked: DataFrame) -> DataFrame:
+def judge_cores(asked: DataFrame) -> DataFrame:
+    """One bit for each core that a chunk asked about: whether it occurs more than once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for k, blobs in grouped(batches):
-            parts = [unpack(x, "uint64", "uint64") for _, x in blobs]
-            core, whole = (np.concatenate([p[j] for p in parts]) for j in (0, 1))
-            order = np.lexsort((whole, core))
-            c, w = core[order], whole[order]
-            new_core = np.concatenate([[True], c[1:] != c[:-1]])
-            new = new_core | np.concatenate([[True], w[1:] != w[:-1]])
-            of_core, of_whole = np.cumsum(new_core) - 1, np.cumsum(new) - 1
-            n_core, n_whole = np.bincount(of_core)[of_core], np.bincount(of_whole)[of_whole]
-            state = np.where(n_whole > 1, TWICE, np.where(n_core > 1, OPEN, ONCE)).astype(np.uint8)
-            # one of each repeated context speaks for it where a context with the same core is open
-            open_ = np.bincount(of_core, state == OPEN)[of_core] > 0
-            state[(state == TWICE) & new & open_] = SHARED
-            back = np.empty_like(state)
-            back[order] = state
+            parts = [unpack(x, "uint64", "uint8", spread=True) for _, x in blobs]
+            core = np.concatenate([np.cumsum(p[0]) for p in parts])
+            order = np.argsort(core)
+            new = np.concatenate([[True], core[order][1:] != core[order][:-1]])
+            group = np.empty(len(core), np.int64)
+            group[order] = np.cumsum(new) - 1
+            often = (np.bincount(group, np.concatenate([p[1] for p in parts])) > 1)[group]
             at = 0
             for (chunk, _), p in zip(blobs, parts):
-                yield k, chunk, pack(back[at : at + len(p[0])])
+                yield k, chunk, pack(np.array([len(p[0])]), np.packbits(often[at : at + len(p[0])]))
                 at += len(p[0])
 
     return map_rows(deal(asked), run, PACKED)
 
 
-def states(got: list | None) -> np.ndarray:
-    return np.concatenate([unpack(x["blob"], "uint8")[0] for x in sorted(got, key=lambda x: x["bucket"])]) if got else np.zeros(0, np.uint8)
+def repeated_cores(f: Phrases, got: list | None) -> Phrases:
+    """The phrases whose core occurs more than once."""
+    bits = [np.unpackbits(x[1], count=int(x[0][0])) for x in (unpack(g["blob"], "int64", "uint8") for g in sorted(got or [], key=lambda g: g["bucket"]))]
+    return f.pick(np.concatenate(bits).astype(bool) if bits else np.zeros(len(f.core), bool))
+
 
+# -- contexts -------------------------------------------------------------------------------
 
-def open_windows(x: Text, width: int, got: list | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
-    """(hash, start, open) of each window that has to be compared, in hash order; and the contexts with their states."""
-    t, lo, hi, _, _ = found = x.contexts(width)
-    s = states(got)
-    pick = s >= OPEN
-    n = (hi - lo + 1)[pick]
-    first = np.repeat((t - hi)[pick], n)
-    start = first + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
-    h = x.hash(start, start + width)
-    order = np.lexsort((start, h))
-    return h[order], start[order], np.repeat(s[pick] == OPEN, n)[order], (*found[:3], s)
 
+def distinct(raw: bytes, f: Phrases, buckets: int) -> Iterator[tuple[int, slice, list[bytes], np.ndarray]]:
+    """For each bucket: its phrases, their distinct contexts in the order of the first places, and which of these each phrase has."""
+    for k, (lo, hi) in enumerate(zip(*by_bucket(f.core, buckets))):
+        if hi > lo:
+            own: dict[bytes, int] = {}
+            which = [own.setdefault(raw[a:z], len(own)) for a, z in zip(f.begin[lo:hi].tolist(), f.end[lo:hi].tolist())]
+            yield k, slice(lo, hi), list(own), np.array(which)
 
-def ask_windows(joined: DataFrame, width: int, buckets: int) -> DataFrame:
+
+def ask_contexts(joined: DataFrame, width: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            for chunk, docs, texts, got in zip(*(c.to_pylist() for c in b.columns)):
-                if (states(got) >= OPEN).any():
-                    x = Text(docs, texts)
-                    x.prepare()
-                    h = open_windows(x, width, got)[0]
-                    for k, (lo, hi) in enumerate(zip(*by_bucket(h, buckets))):
-                        if hi > lo:
-                            yield k, chunk, pack(h[lo:hi])
+            for k in range(b.num_rows):
+                chunk, docs, texts, got = (c[k].as_py() for c in b.columns)
+                x = Text(docs, texts)
+                f = repeated_cores(x.phrases(width), got)
+                for k_, at, contexts, which in distinct(x.bytes.tobytes(), f, buckets):
+                    first = np.unique(which, return_index=True)[1]
+                    counts = np.bincount(which, f.counts[at]).astype(np.uint32)
+                    yield k_, chunk, pack(np.diff(f.core[at][first], prepend=np.uint64(0)), np.array(list(map(len, contexts)), np.uint32), counts, np.frombuffer(b"".join(contexts), np.uint8), level=3, spread=True)
+
+    return map_rows(joined.select("chunk", "docs", "texts", "cores"), run, PACKED)
 
-    return map_rows(joined.select("chunk", "docs", "texts", "contexts"), run, PACKED)
 
+def suffix_ranks(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """The suffix array's ranks of the suffixes of ``data`` that begin at ``starts``, to a depth of ``width``: equal ranks mean
+    equal strings, and ranks are in the strings' order.
+
+    By doubling: ranks to a depth of 2 d are those of the pairs of ranks to the depth d, d places apart.
+    """
+    n = len(data)
+    padded, rank = np.concatenate([data, np.zeros(8, np.uint8)]), np.zeros(n, np.uint64)
+    for k in range(8):
+        rank = rank << np.uint64(8) | padded[k : k + n]
+    rank, depth = np.unique(rank, return_inverse=True)[1].astype(np.uint64), 8
+    while 2 * depth <= width:
+        further = np.concatenate([rank[depth:], np.zeros(min(depth, n), np.uint64)])[:n]
+        rank, depth = np.unique(rank << np.uint64(32) | further, return_inverse=True)[1].astype(np.uint64), 2 * depth
+    return np.unique(rank[starts] << np.uint64(32) | rank[starts + width - depth], return_inverse=True)[1]
+
+
+def corpus_order(contexts: list[bytes], counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rank, places, context) of each window of each distinct context: its rank in the order of all windows, and at how many
+    places of the texts windows of this rank begin.
+
+    The suffix array of the dictionary (``contexts``) is combined with the parse, of which only the number of places of each context matters.
+    """
+    sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
+    n = sizes - width + 1
+    own = np.repeat(np.arange(len(contexts)), n)
+    starts = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.cumsum(sizes) - sizes, n)
+    rank = suffix_ranks(np.frombuffer(b"".join(contexts), np.uint8), starts, width)
+    return rank, np.bincount(rank, counts[own]).astype(np.int64)[rank], own
+
+
+def repeated_windows(core: np.ndarray, contexts: list[bytes], counts: np.ndarray, width: int) -> np.ndarray:
+    """[contexts, words of 64 bits]: bit j of a distinct context says whether its window j begins at two places or more."""
+    out = np.zeros((len(contexts), -(-reach(width) // 64) * 64), np.uint8)
+    sizes = np.fromiter(map(len, contexts), np.int64, len(contexts)) - width + 1
+    group = np.unique(core, return_inverse=True)[1]
+    shared = np.bincount(group)[group] > 1
+    alone = ~shared & (counts > 1)  # no other context has its core, so nothing else can have its windows
+    out[alone] = np.arange(out.shape[1]) < sizes[alone, None]
+    if shared.any():
+        at = np.flatnonzero(shared)
+        _, places, own = corpus_order([contexts[i] for i in at.tolist()], counts[at], width)
+        n = sizes[at]
+        out[at[own], np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)] = places > 1
+    return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
+
+
+def judge_contexts(asked: DataFrame, width: int) -> DataFrame:
+    """For each context that a chunk asked about, one bit a window."""
 
-def judge_windows(asked: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for k, blobs in grouped(batches):
-            parts = [unpack(x, "uint64")[0] for _, x in blobs]
-            h = np.concatenate(parts)
-            order = np.argsort(h, kind="stable")
-            s = h[order]
-            twice = np.zeros(len(s), bool)
-            twice[1:] |= s[1:] == s[:-1]
-            twice[:-1] |= s[1:] == s[:-1]
-            back = np.empty(len(s), bool)
-            back[order] = twice
-            at = 0
-            for (chunk, _), p in zip(blobs, parts):
-                if back[at : at + len(p)].any():
-                    yield k, chunk, pack(np.packbits(back[at : at + len(p)]))
-                at += len(p)
+            own: dict[bytes, int] = {}
+            which, cores, counts = [], [], []
+            for _, x in blobs:
+                core, sizes, n, raw = unpack(x, "uint64", "uint32", "uint32", "uint8", spread=True)
+                raw, ends = raw.tobytes(), np.cumsum(sizes.astype(np.int64))
+                which.append(np.array([own.setdefault(raw[z - s : z], len(own)) for z, s in zip(ends.tolist(), sizes.tolist())]))
+                cores.append(np.cumsum(core))
+                counts.append(n)
+            every = np.concatenate(which)
+            first = np.unique(every, return_index=True)[1]
+            bits = repeated_windows(np.concatenate(cores)[first], list(own), np.bincount(every, np.concatenate(counts)).astype(np.int64), width)
+            for (chunk, _), w in zip(blobs, which):
+                if bits[w].any():
+                    yield k, chunk, pack(bits[w].ravel(), spread=True)
 
     return map_rows(deal(asked), run, PACKED)
 
 
+# -- the result -----------------------------------------------------------------------------
+
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+PIECES = "doc_id long, text long, piece long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
 def cut(joined: DataFrame, width: int, buckets: int, with_text: bool = False) -> DataFrame:
-    ddl = RESULT + ", kept binary" * with_text
+    """One row a piece; the kept bytes come along of pieces that are part of a text, or with ``with_text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            for docs, texts, got, more in zip(*(c.to_pylist() for c in b.columns)):
+            for k in range(b.num_rows):
+                docs, texts, got, more = (c[k].as_py() for c in b.columns)
                 x = Text(docs, texts)
                 edge = np.zeros(len(x.bytes) + 1, np.int32)  # +1 where removal begins, -1 where it ends
-                if (states(got) > ONCE).any():
-                    x.prepare()
-                    h, start, _, (t, lo, hi, s) = open_windows(x, width, got)
-                    all_ = (s == TWICE) | (s == SHARED)
-                    np.add.at(edge, (t - hi)[all_], 1)
-                    np.add.at(edge, (t - lo)[all_] + width, -1)
-                    begin, end = by_bucket(h, buckets)
-                    for m in more or []:
-                        a, z = begin[m["bucket"]], end[m["bucket"]]
-                        bits = np.unpackbits(unpack(m["blob"], "uint8")[0], count=int(z - a)).astype(bool)
-                        np.add.at(edge, start[a:z][bits], 1)
-                        np.add.at(edge, start[a:z][bits] + width, -1)
+                if more:
+                    f = repeated_cores(x.phrases(width), got)
+                    blobs = {m["bucket"]: m["blob"] for m in more}
+                    for k_, at, _, which in distinct(x.bytes.tobytes(), f, buckets):
+                        if k_ in blobs:
+                            bits = unpack(blobs[k_], "uint64", spread=True)[0].reshape(-1, -(-reach(width) // 64))[which]
+                            phrase, j = np.nonzero(np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little"))
+                            start = f.begin[at][phrase] + j
+                            edge[start] += 1  # each window once
+                            edge[start + width] -= 1
                 gone = np.cumsum(edge[:-1]) > 0
-                at = 0
-                for i, n in zip(x.ids, x.lens.tolist()):
-                    g, raw = gone[at : at + n], x.bytes[at : at + n]
-                    spans = int(g[:1].sum() + (g[1:] & ~g[:-1]).sum())
-                    kept = raw[~g].tobytes() if spans else raw.tobytes()
-                    at += n
-                    yield (i, n, int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), *[kept] * with_text)
+                for n, (i, end) in enumerate(zip(x.ids, x.ends.tolist())):
+                    a = end - int(x.lens[n] - x.before[n])
+                    g, raw = gone[a : a + int(x.own[n])], x.bytes[a : a + int(x.own[n])]
+                    before = bool(gone[a - 1]) if x.before[n] else False
+                    spans = int((g & ~np.concatenate([[before], g[:-1]])).sum()) if len(g) else 0
+                    kept = raw[~g].tobytes() if g.any() else raw.tobytes()
+                    part = x.number[n] >= 0
+                    yield i, int(x.key[n]) if part else None, int(x.number[n]) if part else None, len(raw), int(g.sum()), spans, None if part else hashlib.sha256(kept).hexdigest(), kept if part or with_text else None
+
+    return map_rows(joined.select("docs", "texts", "cores", "windows"), run, PIECES)
 
-    return map_rows(joined.select("docs", "texts", "contexts", "windows"), run, ddl)
+
+def whole(pieces: DataFrame, with_text: bool) -> DataFrame:
+    """The rows of texts from those of their pieces, which come in order; a task holds one piece at a time, or with the text one text."""
+    ddl = RESULT + ", kept binary" * with_text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        key, held, digest, kept = None, None, None, []
+
+        def close() -> tuple:
+            return (*held, digest.hexdigest(), *([b"".join(kept)] if with_text else []))
+
+        for b in batches:
+            for k in range(b.num_rows):
+                i, text, _, n, gone, spans, _, raw = (c[k].as_py() for c in b.columns)
+                if text != key:
+                    if key is not None:
+                        yield close()
+                    key, held, digest, kept = text, [i, 0, 0, 0], hashlib.sha256(), []
+                held[1:] = [held[1] + n, held[2] + gone, held[3] + spans]
+                digest.update(raw)
+                if with_text:
+                    kept.append(raw)
+        if key is not None:
+            yield close()
+
+    dealt = pieces.where("text IS NOT NULL").repartition(n_shuffle(pieces.sparkSession), "text").sortWithinPartitions("text", "piece")
+    done = pieces.where("text IS NULL").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text)
+    return done.union(map_rows(dealt, run, ddl))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, with_text: bool = False) -> DataFrame:
@@ -269,16 +374,20 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``width`` stay.  A cut may fall inside a code point, so kept bytes are binary.  Rows that repeat an id, or have none,
     are documents of their own.  An empty table gives an empty table.
 
-    Strings are equal if 64-bit polynomial hashes with random values are.  What moves is packed: 16 bytes a phrase, then
-    8 bytes a window where repeated passages begin and end.  A passage in a third of all documents is one entry a
-    chunk and phrase; nothing is gathered by passage.
+    Strings are equal if their bytes are: hashes only say which contexts can't be.  What moves is packed: about 6 bytes a
+    phrase, then the contexts whose core repeats, each once a chunk.  A passage in a third of all documents is one entry a
+    chunk and phrase; nothing is gathered by passage.  A text longer than CHUNK is cut into overlapping pieces, so memory is bounded by
+    CHUNK, but for the row itself.
     """
     if width < 3 * TRIGGER:
         raise ValueError(f"strings of under {3 * TRIGGER} bytes have no trigger")
     buckets = n_buckets(df.sparkSession)
-    table = Stage(chunks(df, id_col, text_col), "repeats-chunks")
-    contexts = Stage(judge_contexts(ask_contexts(table.df(), width, buckets)), "repeats-contexts", release=True)
-    first = table.df().join(answers(contexts.df(), "contexts"), "chunk")
-    windows = Stage(judge_windows(ask_windows(first, width, buckets)), "repeats-windows", release=True)
-    last = table.df().join(answers(contexts.df(), "contexts"), "chunk", "left").join(answers(windows.df(), "windows"), "chunk", "left")
-    return cut(last, width, buckets, with_text)
+    table = Stage(chunks(df, id_col, text_col, width), "repeats-chunks")
+    cores = Stage(judge_cores(ask_cores(table.df(), width, buckets)), "repeats-cores", release=True)
+    first = table.df().join(answers(cores.df(), "cores"), "chunk")
+    windows = Stage(judge_contexts(ask_contexts(first, width, buckets), width), "repeats-windows", release=True)
+    last = table.df().join(answers(cores.df(), "cores"), "chunk", "left").join(answers(windows.df(), "windows"), "chunk", "left")
+    pieces = Stage(cut(last, width, buckets, with_text), "repeats-pieces")
+    for x in (table, cores, windows):
+        x.drop()
+    return whole(pieces.df(), with_text)

@@ -201,21 +201,42 @@ def cut_brute(texts, width):
     return out
 
 
-def test_repeats(docs, none):
+@pytest.mark.parametrize("chunk", [None, 1000])
+def test_repeats(docs, none, monkeypatch, chunk):
+    if chunk:
+        monkeypatch.setattr(repeats, "CHUNK", chunk)
     for width in (200, 64):
         got = sorted(tuple(r)[1:5] for r in repeats.remove_repeats(docs, width=width).collect())
         assert got == sorted(cut_brute(TEXTS, width))
     assert repeats.remove_repeats(none).count() == 0
+    out = repeats.remove_repeats(docs, with_text=True).collect()
+    assert len(out) == len(TEXTS) and all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and len(r.kept) == r.n_bytes - r.n_removed for r in out)
 
 
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.text("ab", max_size=300), min_size=1, max_size=4))
 def test_phrases_cover_windows(texts):
-    x = repeats.Text(repeats.pack(np.arange(len(texts)), np.ones(len(texts), np.uint8), np.array([len(t) for t in texts])), repeats.pack(np.frombuffer("".join(texts).encode(), np.uint8)))
+    n = len(texts)
+    lens = np.array([len(t) for t in texts])
+    zeros = np.zeros(n, np.int64)
+    x = repeats.Text(repeats.pack(np.arange(n), np.ones(n, np.uint8), np.arange(n), zeros - 1, zeros, lens, zeros), repeats.pack(np.frombuffer("".join(texts).encode(), np.uint8)))
     x.prepare()
-    t, lo, hi = x.windows(64)
+    t, lo, hi, counts = x.windows(64)
     starts = sorted(s for a, b, c in zip(t, lo, hi) for s in range(a - c, a - b + 1))
-    assert starts == [e - n + k for e, n in zip(x.ends, x.lens) for k in range(n - 63)]
+    assert starts == [e - n + k for e, n in zip(x.ends, x.lens) for k in range(n - 63)] and counts.all()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.text("abc", min_size=40, max_size=90), st.integers(0, 3)), min_size=1, max_size=6, unique_by=lambda x: x[0]), st.integers(20, 40))
+def test_corpus_order(rows, width):
+    """Against a naive suffix array of all places."""
+    contexts, counts = [t.encode() for t, _ in rows], np.array([n for _, n in rows])
+    rank, places, own = repeats.corpus_order(contexts, counts, width)
+    windows = [c[k : k + width] for c in contexts for k in range(len(c) - width + 1)]
+    naive = {w: r for r, w in enumerate(sorted(set(windows)))}
+    assert rank.tolist() == [naive[w] for w in windows]
+    every = Counter(c[k : k + width] for c, n in zip(contexts, counts) for _ in range(n) for k in range(len(c) - width + 1))
+    assert places.tolist() == [every[w] for w in windows]
 
 
 # -- line dedup ------------------------------------------------------------------------------
