@@ -1,9 +1,9 @@
 """LM scoring: a Katz backoff model with Good-Turing discounts, its counts and backoff weights in partitioned tables.
 
 A model of order m scores a token after the m - 1 tokens before it.  Texts become chunks of packed tokens, staged once.  For each
-order two packed shuffles follow: grams are dealt by a hash of context and word, so the successors of a frequent word are
-spread over all tasks, and counted; then contexts, of which each task sends one partial sum, are dealt by their own hash and
-get their backoff weights.  Both answer each chunk with what it asked for, so nothing is broadcast or collected that grows with
+order two packed shuffles follow: grams are dealt by hashes of context and word, so what follows a frequent word is
+spread over SPREAD buckets, and counted; then contexts, of which each of these buckets sends a partial sum, are dealt by their own
+hash and get their backoff weights.  Both answer each chunk with what it asked for, so nothing is broadcast or collected that grows with
 the vocabulary, and a gram that is in every text is one entry a chunk.  Answers number the grams that were seen without gaps; the
 contexts of the next order are these numbers.  A chunk then evaluates its tokens from the highest order down.
 """
@@ -270,7 +270,7 @@ class Walk:
         code, one, inverse = np.unique(head * np.int64(len(self.word) + 1) + local, return_index=True, return_inverse=True)
         ctx, word = heads[code // (len(self.word) + 1)], self.word[code % (len(self.word) + 1)]
         n = np.bincount(inverse[self.c.trained()[tokens]], minlength=len(code))
-        bucket = bucket_of(gram_hash(ctx, word), self.buckets)
+        bucket = context_bucket(ctx, self.buckets) * SPREAD + (mix64(mix64(ctx.astype(np.uint64)) ^ word.astype(np.uint64)) % np.uint64(SPREAD)).astype(np.int64)
         # codes are in the order of context and word already, as words are numbered in the order of the vocabulary
         order = by_buckets(bucket, self.buckets)
         place = np.empty(len(order), np.int64)
@@ -281,7 +281,7 @@ class Walk:
         """(place of each token's context or -1, buckets, contexts): distinct ones in order of bucket and number."""
         tokens = np.flatnonzero(context >= 0)
         own, inverse = np.unique(context[tokens], return_inverse=True)
-        bucket = bucket_of(mix64(own.astype(np.uint64)), self.buckets)
+        bucket = context_bucket(own, self.buckets)
         order = by_buckets(bucket, self.buckets)
         place, at = np.empty(len(order), np.int64), np.full(len(context), -1)
         place[order] = np.arange(len(order))
@@ -313,8 +313,12 @@ def by_buckets(bucket: np.ndarray, buckets: int) -> np.ndarray:
     return np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
 
 
-def gram_hash(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix64(mix64(context.astype(np.uint64)) ^ word.astype(np.uint64))
+#: Buckets over which the grams of one context are spread.
+SPREAD = 16
+
+
+def context_bucket(context: np.ndarray, buckets: int) -> np.ndarray:
+    return bucket_of(mix64(context.astype(np.uint64)), buckets // SPREAD)
 
 
 def summed(moved: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -367,26 +371,16 @@ def ask_grams(joined: DataFrame, state: State, order: int) -> DataFrame:
     return map_rows(joined, run, PACKED)
 
 
-#: Entries of partial sums over contexts that a task holds, about.
-HELD = 2_000_000
-
-
-def count_grams(asked: DataFrame, buckets: int, numbered: bool, words: Words | None) -> DataFrame:
+def count_grams(asked: DataFrame, numbered: bool, words: Words | None) -> DataFrame:
     """Answers: the count of each gram that a chunk asked for, and with ``numbered`` its place among those that were seen.
 
     ``words``: lower probabilities are those of single words, whose counts are in their place.
 
-    Partial sums of a task, by the bucket of the context: context, count, kinds, lower probabilities of its seen grams, and how many of
+    Partial sums of a bucket, for the bucket of its contexts: context, count, kinds, lower probabilities of its seen grams, and how many of
     these have the counts 1 to K.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        open_, size = [], 0
-
-        def flush() -> Iterator[tuple]:
-            for k, ctx, sums in partial([np.concatenate(x) for x in zip(*open_)], buckets):
-                yield PARTIAL, k, 0, pack(steps(ctx), *sums, spread=True)
-
         for k, blobs in grouped(batches):
             parts = [unpack(x, "int64", "int64", "uint32", "float64", spread=True) for _, x in blobs]
             ctx = np.concatenate([np.cumsum(p[0]) for p in parts])
@@ -404,31 +398,20 @@ def count_grams(asked: DataFrame, buckets: int, numbered: bool, words: Words | N
                 yield ANSWER, k, chunk, pack(total[own], steps(rank[own]) if numbered else rank[:0], level=3, spread=True)
                 at += len(p[0])
             below = np.maximum.reduceat(lower[order], np.flatnonzero(new))[seen]
-            held = ctx[first][seen], total[seen], words.p(below) if words else below
-            yield TABLE, k, 0, pack(steps(held[0]), word[first][seen], held[1], spread=True)
+            heads, tails = ctx[first][seen], total[seen]
+            yield TABLE, k, 0, pack(steps(heads), word[first][seen], tails, spread=True)
             yield COUNTS, k, 0, pack(count_counts(total), np.array([total.sum(), seen.sum()]))
-            open_.append(held)
-            size += len(held[0])
-            if size >= HELD:
-                yield from flush()
-                open_, size = [], 0
-        if open_:
-            yield from flush()
+            yield PARTIAL, k // SPREAD, 0, partial(heads, tails, words.p(below) if words else below)
 
     return map_rows(deal(asked), run, KINDS)
 
 
-def partial(seen: tuple[np.ndarray, ...], buckets: int) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
-    """(bucket, contexts, sums) of seen grams: (context, count, lower probability)."""
-    ctx, n, lower = seen
+def partial(ctx: np.ndarray, n: np.ndarray, lower: np.ndarray) -> bytes:
+    """The sums of seen grams by context, which are in order."""
     own, at = np.unique(ctx, return_inverse=True)
     m = len(own)
-    sums = [np.bincount(at, n, m).astype(np.int64), np.bincount(at, minlength=m), np.bincount(at, lower, m), *(np.bincount(at[n == r], minlength=m) for r in range(1, K + 1))]
-    bucket = bucket_of(mix64(own.astype(np.uint64)), buckets)
-    order = by_buckets(bucket, buckets)
-    own, sums = own[order], [x[order] for x in sums]
-    for k, s in slices(bucket[order]):
-        yield k, own[s], [x[s] for x in sums]
+    sums = np.bincount(at, n, m).astype(np.int64), np.bincount(at, minlength=m), np.bincount(at, lower, m), *(np.bincount(at[n == r], minlength=m) for r in range(1, K + 1))
+    return pack(steps(own), *sums, spread=True)
 
 
 def ask_contexts(joined: DataFrame, state: State, order: int) -> DataFrame:
@@ -541,7 +524,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
 
     for m in range(2, order + 1):
         asked = ask_grams(joined(staged), state, m)
-        grams = Stage(count_grams(asked, buckets, m < order, state.words if m == 2 else None), f"katz-grams-{m}", release=True, by="kind")
+        grams = Stage(count_grams(asked, m < order, state.words if m == 2 else None), f"katz-grams-{m}", release=True, by="kind")
         counts, _, numbers = totals(grams.df(), buckets)
         level = Level(discounts(counts), numbers)
         sums = grams.df().where(F.col("kind") == PARTIAL).select("kind", "bucket", "chunk", "blob")

@@ -113,7 +113,6 @@ def katz_brute(train, order):
 def test_katz(docs, none, spark, monkeypatch, order):
     if order > 2:
         monkeypatch.setattr(katz, "CHUNK", 3000)
-        monkeypatch.setattr(katz, "HELD", 50)
     rows = katz.score(docs, order=order).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     low = lambda t: [*(w.lower() for w in words(t)), None]
