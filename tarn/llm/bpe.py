@@ -1,8 +1,9 @@
 """BPE encoding and decoding as a streaming transducer with bounded lookahead.
 
-A merge list has a *sufficient lookahead*: text beyond so many symbols can't change a token any more.  The encoder holds
-that much of a piece and no more, and emits a token as soon as it is stable.  The decoder turns tokens to text by an incremental
-state machine.  Both use memory that the vocabulary bounds, not the text.
+A merge list has a *sufficient lookahead*: text beyond so many symbols can't change a token any more.  The encoder emits a token
+as soon as it is stable, so of a piece of any length it holds a few times that much.  The decoder turns tokens to text by an incremental
+state machine.  Beside a text itself and its normalised blocks both use memory that the vocabulary bounds.  What a vocabulary file
+says of normalising, cutting and decoding must be one of FORMS; any other file is refused.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -22,12 +25,10 @@ from .common import docs_of, map_rows
 
 #: What Unicode calls white space.
 SPACE = "\t-\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: The pieces that the vocabulary file's pattern finds in normalised text.
-PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
 #: Characters of a text that are looked at together, cut where white space allows.
 BLOCK = 1 << 16
-#: Pieces whose tokens are remembered, at most.
-REMEMBERED = 250_000
+#: Pieces whose tokens are remembered, at most; longer ones than so many characters go through in parts, unremembered.
+REMEMBERED, LONG = 250_000, 1 << 12
 
 
 def byte_symbols() -> list[str]:
@@ -46,22 +47,73 @@ SYMBOLS = byte_symbols()
 BYTES = {s: b for b, s in enumerate(SYMBOLS)}
 
 
-def narrow_piece() -> re.Pattern:
-    """PIECE for texts of code points under 256, in the standard library's engine, which is faster on them."""
+# How the vocabulary files of the two known kinds describe their texts.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORD_FORM = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "decoder": None,
+}
+BYTE_FORM = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, "decoder": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+ADDED = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+
+
+def narrow(pattern: str) -> re.Pattern:
+    """A pattern for texts of code points under 256, in the standard library's engine, which is faster on them."""
     kind = lambda k: "".join(re.escape(c) for c in map(chr, range(256)) if unicodedata.category(c)[0] == k)
     space = "\t-\r \x85\xa0"
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{kind('L')}]+|[{kind('N')}]|[^{space}{kind('L')}{kind('N')}]+")
+    for sign, inner in ((r"\p{L}", kind("L")), (r"\p{N}", kind("N")), (r"\s", space)):
+        pattern = in_class(pattern, sign, inner)
+    return re.compile(pattern.replace(r"\S", f"[^{space}]"))
+
 
+def wide(pattern: str) -> regex.Pattern:
+    return regex.compile(in_class(pattern, r"\s", SPACE).replace(r"\S", f"[^{SPACE}]"))
 
-NARROW = narrow_piece()
 
+def in_class(pattern: str, sign: str, inner: str) -> str:
+    """``sign`` replaced by the inner part of a class, in brackets where it does not stand in some already."""
+    out, depth, at = [], 0, 0
+    while at < len(pattern):
+        if pattern.startswith(sign, at):
+            out.append(inner if depth else f"[{inner}]")
+            at += len(sign)
+        else:
+            step = 2 if pattern[at] == "\\" else 1
+            depth += (pattern[at] == "[") - (pattern[at] == "]") if step == 1 else 0
+            out.append(pattern[at : at + step])
+            at += step
+    return "".join(out)
+
+
+class Form:
+    """How texts become pieces, and tokens text."""
+
+    def __init__(self, spec: dict, path: str):
+        own = {k: spec.get(k) for k in WORD_FORM}
+        model, added = spec["model"], spec["added_tokens"]
+        if own not in (WORD_FORM, BYTE_FORM) or any(model.get(k) != v for k, v in MODEL.items()) or any(t.get(k) != v for t in added for k, v in ADDED.items()):
+            raise ValueError(f"{path} normalises, cuts or decodes in a way that is not known here")
+        self.words = own == WORD_FORM
+        pattern = WORD_PATTERN if self.words else BYTE_PATTERN
+        self.wide, self.narrow = wide(pattern), narrow(pattern)
+
+    def pieces(self, block: str) -> Iterator[str]:
+        text = self.normal(block) if self.words else block
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return (m[0] for m in self.wide.finditer(text))
+        return (m[0] for m in self.narrow.finditer(text))
 
-def find_pieces(text: str) -> list[str]:
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return PIECE.findall(text)
-    return NARROW.findall(text)
+    @staticmethod
+    def normal(text: str) -> str:
+        """Canonical composition, then lower case by code point (so a capital sigma has one lower form)."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        return text.lower()
 
 
 class Merges:
@@ -96,6 +148,8 @@ class Merges:
 
     def apply(self, symbols: list[int]) -> list[int]:
         """All merges, lowest rank first, from the left among equals."""
+        if len(symbols) > 100:
+            return self.apply_many(symbols)
         get, out = self.rank.get, list(symbols)
         ranks = [get(p, NEVER)[0] for p in zip(out, out[1:])]
         while ranks and (low := min(ranks)) < NEVER[0]:
@@ -109,6 +163,31 @@ class Merges:
         return out
 
 
+    def apply_many(self, symbols: list[int]) -> list[int]:
+        """The same in a time that grows with n log n: pairs wait in a heap, by rank and place; those that are gone are passed over."""
+        get, own, n = self.rank.get, list(symbols), len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(got[0], i, p) for i, p in enumerate(zip(own, own[1:])) if (got := get(p))]
+        heapify(heap)
+        while heap:
+            _, i, pair = heappop(heap)
+            j = after[i]
+            if j >= n or own[i] != pair[0] or own[j] != pair[1]:
+                continue
+            own[i], own[j] = get(pair)[1], GONE
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if got := get((own[i], own[k])):
+                    heappush(heap, (got[0], i, (own[i], own[k])))
+            h = before[i]
+            if h >= 0 and (got := get((own[h], own[i]))):
+                heappush(heap, (got[0], h, (own[h], own[i])))
+        return [t for t in own if t != GONE]
+
+
+#: What is left of a symbol that was merged into the one before it.
+GONE = -2
 #: The rank and result of symbols that do not merge.
 NEVER = (1 << 60, -1)
 
@@ -123,7 +202,7 @@ class Remembered(dict):
         got = self.old.get(key) if self.old else None
         if got is None:
             got = self.f(key)
-        if len(key) <= 64:  # a long piece is not worth its memory
+        if len(key) <= 64:  # a longer piece is not worth its memory
             if len(self) >= REMEMBERED:
                 self.old = dict(self)
                 self.clear()
@@ -137,7 +216,7 @@ class Encoder:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model = spec["model"]
+        self.form, model = Form(spec, path), spec["model"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.merges = Merges(model["vocab"], pairs, model.get("end_of_word_suffix") or "")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -154,14 +233,14 @@ class Encoder:
     # one piece
 
     def stream(self, data: Iterable[bytes]) -> Iterator[int]:
-        """Tokens of one piece that comes in parts, each as soon as it is stable; holds about twice the lookahead."""
+        """Tokens of one piece that comes in parts, each as soon as it is stable; holds about eight times the lookahead."""
         ahead, held, last = self.merges.lookahead, [], None
         for part in data:
             for b in part:
                 if last is not None:
                     held.append(self.inner[last])
                 last = b
-                if len(held) >= 2 * ahead + 64:
+                if len(held) >= 8 * ahead + 64:
                     tokens, beyond, done = self.merges.apply(held), len(held), 0
                     for t in tokens:
                         beyond -= self.merges.length[t]
@@ -182,19 +261,16 @@ class Encoder:
             symbols = [self.inner[b] for b in raw]
             symbols[-1] = self.final[raw[-1]]
             return tuple(t for t in self.merges.apply(symbols) if t >= 0)
-        return tuple(t for t in self.stream([raw]) if t >= 0)
+        return tuple(self.long(p))
 
-    # whole texts
+    def long(self, p: str) -> Iterator[int]:
+        """Tokens of a piece, which is turned to bytes in parts."""
+        return (t for t in self.stream(p[k : k + LONG].encode() for k in range(0, len(p), LONG)) if t >= 0)
 
-    @staticmethod
-    def normal(text: str) -> str:
-        """Canonical composition, then lower case by code point (so a capital sigma has one lower form)."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return text.lower()
+    # whole texts
 
     def blocks(self, text: str) -> Iterator[str]:
-        """A text in parts of about BLOCK characters that end before white space: no piece, and no composition, is cut."""
+        """A text in parts of about BLOCK characters that end where white space begins: no piece, and no composition, is cut."""
         at = 0
         while at < len(text):
             end = at + BLOCK
@@ -204,7 +280,7 @@ class Encoder:
             yield text[at:end] if at or end < len(text) else text
             at = end
 
-    def pieces(self, text: str) -> Iterator[list[str]]:
+    def pieces(self, text: str) -> Iterator[Iterable[str]]:
         """The pieces of each block; a special token is a piece of its own, marked by what no piece begins with."""
         parts = [text] if self.cut is None or not any(s in text for s in self.special) else self.cut.split(text)
         for part in parts:
@@ -212,15 +288,18 @@ class Encoder:
                 yield [MARK + part]
             else:
                 for block in self.blocks(part):
-                    yield find_pieces(self.normal(block))
+                    yield self.form.pieces(block)
 
     def encode(self, text: str) -> list[int]:
-        return [t for block in self.pieces(text) for p in block for t in self.piece[p]]
+        return [t for block in self.pieces(text) for p in block for t in (self.piece[p] if len(p) <= LONG else self.long(p))]
 
+    def decoder(self) -> Decoder:
+        return Decoder(self.texts, self.merges.suffix, self.form.words)
 
-#: Normalised pieces have no white space, so a blank can mark special tokens.
-MARK = " "
-GAP = regex.compile(f"[{SPACE}]")
+
+#: No text has this, so it can mark special tokens.
+MARK = "\ud800"
+GAP = regex.compile(f"(?<=[^{SPACE}])[{SPACE}]")
 
 
 class Decoder:
@@ -244,7 +323,7 @@ class Decoder:
             self.started = True
             return out
         word = bool(self.suffix) and t.endswith(self.suffix)
-        raw = bytes(BYTES[c] for c in (t.removesuffix(self.suffix) if word else t) if c in BYTES)
+        raw = bytes(BYTES[c] for c in (t.removesuffix(self.suffix) if word else t))
         return self.utf8.decode(raw) + " " * word
 
     def end(self) -> str:
@@ -262,20 +341,36 @@ class Digests:
         self.known = Remembered(self.added)
 
     def added(self, piece: str) -> tuple[str, str]:
-        tokens = self.encoder.tokens(piece)
-        # the decoder's state between two pieces is one bit, so each piece is decoded from the state after a token
-        d = Decoder(self.encoder.texts)
+        return self.told(self.encoder.tokens(piece))
+
+    def told(self, tokens: Sequence[int]) -> tuple[str, str]:
+        # the decoder's state between two pieces, which are whole code points, is one bit; each is decoded from the state after a token
+        d = self.encoder.decoder()
         d.started = True
         return "".join(f" {t}" for t in tokens), d.decode(tokens)
 
-    def text(self, text: str) -> tuple[int, str, str]:
-        ids, out, n, known = hashlib.sha256(), hashlib.sha256(), 0, self.known
+    def parts(self, text: str) -> Iterator[tuple[str, str]]:
+        """What many short pieces add, or a part of a long one."""
         for block in self.encoder.pieces(text):
-            got = [known[p] for p in block]
-            x, y = "".join([g[0] for g in got]), "".join([g[1] for g in got])
+            got = []
+            for p in block:
+                if len(p) <= LONG:
+                    got.append(self.known[p])
+                    continue
+                yield "".join([g[0] for g in got]), "".join([g[1] for g in got])
+                got, d, tokens = [], self.encoder.decoder(), self.encoder.long(p)
+                d.started = True
+                while some := list(islice(tokens, LONG)):
+                    yield "".join(f" {t}" for t in some), "".join(map(d.push, some))
+                yield "", d.end()
+            yield "".join([g[0] for g in got]), "".join([g[1] for g in got])
+
+    def text(self, text: str) -> tuple[int, str, str]:
+        ids, out, n = hashlib.sha256(), hashlib.sha256(), 0
+        for x, y in self.parts(text):
             more = x.count(" ")
-            if not n:  # no blank before the first token
-                x, y = x[1:], y[1:]
+            if not n and more:  # no blank before the first token
+                x, y = x[1:], y[1:] if self.encoder.form.words else y
             n += more
             ids.update(x.encode())
             out.update(y.encode())
@@ -317,7 +412,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 ids = [e.encode(t or "") for t in part.column(1).to_pylist()]
-                text = [Decoder(e.texts).decode(x) for x in ids]
+                text = [e.decoder().decode(x) for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, ids), pa.int64(), size=len(ids)), pa.array(ids, pa.list_(pa.int32())), pa.array(text)], schema=schema)
 
     return docs_of(df, id_col, (text_col, "text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")

@@ -255,33 +255,75 @@ def test_lines(docs, none, spark):
 # -- BPE -------------------------------------------------------------------------------------
 
 
-def library():
+def other_vocabulary():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def library(path):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(vocabulary())
+    t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
     return t
 
 
-TOKENIZER, ENCODER = library(), bpe.Encoder(vocabulary())
+TOKENIZER, ENCODER = library(vocabulary()), bpe.Encoder(vocabulary())
+KINDS = [(TOKENIZER, ENCODER), (library(other_vocabulary()), bpe.Encoder(other_vocabulary()))]
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from([*"abetsσΣİßé1½ \n'!_", "th", "ing", "<|endoftext|>", "́", "日", "\U0001f600", "\x1c", "\x85"]), max_size=60).map("".join))
-def test_encoding_matches_library(text):
-    want = TOKENIZER.encode(text, add_special_tokens=False).ids
-    assert ENCODER.encode(text) == want
-    assert bpe.Decoder(ENCODER.texts).decode(want) == TOKENIZER.decode(want, skip_special_tokens=False)
+@pytest.mark.parametrize("kind", [0, 1])
+@settings(max_examples=120, deadline=None)
+@given(text=st.lists(st.sampled_from([*"abetsσΣİßé1½ \n'!_", "  ", "th", "ing", "<|endoftext|>", "́", "日", "\U0001f600", "\x1c", "\x85"]), max_size=60).map("".join), block=st.sampled_from([1 << 16, 5]))
+def test_encoding_matches_library(kind, text, block):
+    tokenizer, encoder = KINDS[kind]
+    want = tokenizer.encode(text, add_special_tokens=False).ids
+    old, bpe.BLOCK = bpe.BLOCK, block
+    try:
+        assert encoder.encode(text) == want
+        decoded = tokenizer.decode(want, skip_special_tokens=False)
+        assert encoder.decoder().decode(want) == decoded
+        assert bpe.Digests(encoder).text(text) == (len(want), hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+    finally:
+        bpe.BLOCK = old
 
 
 @settings(max_examples=40, deadline=None)
 @given(st.text("abcxyz", min_size=1), st.integers(1, 7))
 def test_streaming_merges(seed, step):
-    """A stream in parts gives what all merges on the whole piece give."""
-    piece = (seed * 800)[:1500].encode()
-    whole = ENCODER.merges.apply([ENCODER.inner[b] for b in piece[:-1]] + [ENCODER.final[piece[-1]]])
+    """A stream in parts gives what all merges on the whole piece give, and both ways of merging agree."""
+    piece = (seed * 5000)[:6000].encode()
+    symbols = [ENCODER.inner[b] for b in piece[:-1]] + [ENCODER.final[piece[-1]]]
+    whole = ENCODER.merges.apply(symbols)
     assert list(ENCODER.stream(piece[k : k + step] for k in range(0, len(piece), step))) == whole
+    assert ENCODER.merges.apply(symbols[:90]) == ENCODER.merges.apply_many(symbols[:90])
+
+
+def test_long_piece_in_bounded_memory():
+    """Two million characters without white space: beside the text and its copies only a few times the lookahead is held."""
+    import tracemalloc
+
+    text = "".join(np.random.default_rng(1).choice(list("abcdefghijklmnop"), 1 << 21))
+    d = bpe.Digests(ENCODER)
+    tracemalloc.start()
+    n, ids, _ = d.text(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * len(text) and n > len(text) / 10
+    part = text[: 1 << 16]
+    assert d.text(part)[:2] == (lambda e: (len(e), hashlib.sha256(" ".join(map(str, e)).encode()).hexdigest()))(TOKENIZER.encode(part, add_special_tokens=False).ids)
+
+
+def test_unknown_vocabularies_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(vocabulary()))
+    for change in ({"normalizer": {"type": "NFKC"}}, {"decoder": {"type": "BPEDecoder"}}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        (tmp_path / "x.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match="not known"):
+            bpe.Encoder(str(tmp_path / "x.json"))
 
 
 def test_bpe(docs, none):
