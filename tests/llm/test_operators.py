@@ -179,8 +179,21 @@ def test_language(docs, none, spark):
     assert len(out) == len(TEXTS) and all(0 <= r.score <= 1 for r in out)
     assert {r.lang_pred for r in out if r.doc_id in (0, 1, 2, 15)} == {"und"}
     assert language_id.fit(none) is None and language_id.predict(docs, None).where("lang_pred != 'und'").count() == 0
-    whole, one = language_id.pooled(net, ["".join(r[1] for r in rows[:9]).encode()]), language_id.pooled(net, [rows[0][1].encode()])
-    assert whole.shape == one.shape == (1, 2) and whole.sum() == pytest.approx(1, abs=1e-3)
+    texts = [rows[0][1].encode(), "".join(r[1] for r in rows[:9]).encode(), b"", b"x", b"y" * 1000, rows[3][1].encode()[:384], LONG.encode()[:9000]]
+    p = language_id.pooled(net, texts)
+    assert p.shape == (7, 2) and np.allclose(p.sum(axis=1), [1, 1, 0, 1, 1, 1, 1], atol=1e-3)
+    for t, own in zip(texts, p):  # the state of whole texts, in one piece, gives the same but for what lies far beyond an edge
+        if t:
+            x, mask = language_id.padded([t])
+            assert np.abs(net.positions(x, mask).sum(axis=0)[:, 0] / len(t) - own).max() < 2e-2
+    assert np.allclose(language_id.pooled(net, texts[:1]), p[:1], atol=1e-5)
+
+
+def test_language_held_out(spark):
+    """Accuracy on documents of the test tables that training has not seen."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet", "/root/testdata/sf0.01/documents.parquet").where("lang IS NOT NULL")
+    got = language_id.predict(docs.where(language_id.crc_mod("doc_id", 4) == 2), language_id.fit(docs), keep=("lang",)).where("lang_pred != 'und'").collect()
+    assert len(got) > 200 and np.mean([r.lang == r.lang_pred for r in got]) > 0.97
 
 
 # -- repeated strings ------------------------------------------------------------------------
