@@ -123,7 +123,7 @@ class BiGru:
         return loss, g
 
 
-def train(pieces: list[bytes], langs: list[str], hidden: int = HIDDEN, epochs: int = 6, batch: int = 256, rate: float = 0.02, seed: int = 11) -> BiGru:
+def train(pieces: list[bytes], langs: list[str], hidden: int = HIDDEN, epochs: int = 10, batch: int = 256, rate: float = 0.02, seed: int = 11) -> BiGru:
     """Adam on segments of texts; the same segments give the same network."""
     labels = sorted(set(langs))
     rng = np.random.default_rng(seed)
