@@ -159,8 +159,8 @@ def best_condition(x: dict[str, np.ndarray], low: np.ndarray, cuts: int) -> tupl
 def learn(x: dict[str, np.ndarray], low: np.ndarray, seed: int = 7, cuts: int = 64, most_conditions: int = 4, precision: float = 0.9, most_rules: int = 16) -> DecisionList:
     """Grow a rule on two thirds of the rows, prune it on the rest, drop what it covers, again.
 
-    Growing adds the condition of most gain until no kept row is covered.  Pruning cuts conditions from the end while
-    (p - n) / (p + n) on the pruning rows does not get worse.  Learning stops at a rule whose precision on the pruning rows is
+    Growing adds the condition of most gain until no kept row is covered.  Pruning takes out the condition that is missed least,
+    the last of equals, while (p - n) / (p + n) on the pruning rows does not get worse.  Learning stops at a rule whose precision on the pruning rows is
     under ``precision``.  Without low rows, or without kept ones, the list is empty.
     """
     rng, rules = np.random.default_rng(seed), []
@@ -186,8 +186,11 @@ def learn(x: dict[str, np.ndarray], low: np.ndarray, seed: int = 7, cuts: int =
             p, n = int((hit & py).sum()), int((hit & ~py).sum())
             return ((p - n) / (p + n) if p + n else -1.0), p, n
 
-        while len(conditions) > 1 and worth(conditions[:-1])[0] >= worth(conditions)[0]:
-            conditions.pop()
+        while len(conditions) > 1:
+            shorter = max((conditions[:k] + conditions[k + 1 :] for k in range(len(conditions) - 1, -1, -1)), key=lambda cs: worth(cs)[0])
+            if worth(shorter)[0] < worth(conditions)[0]:
+                break
+            conditions = shorter
         _, p, n = worth(conditions)
         if p < 2 or p < precision * (p + n):
             break

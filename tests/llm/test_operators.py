@@ -73,6 +73,30 @@ def test_decision_list(spark, docs):
     assert all(not r.kept for r in out.collect() if r.base_failed) and out.count() == len(TEXTS)
 
 
+def test_quality_verdicts(spark):
+    """kept against the list applied by hand; on the test tables the list finds what labels call low."""
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    out, rules = quality_rules.judge(spark.read.parquet(f"{sf}/documents.parquet"), labels)
+    stats = out.select("doc_id", "n_words", "n_repeat_words", "kept", "base_failed", *[c.alias(f"f_{k}") for k, c in quality_rules.features().items()]).toPandas()
+    failed = (stats.n_words < 50) | (100 * stats.n_repeat_words > 50 * stats.n_words)
+    low = np.zeros(len(stats), bool)
+    for r in rules.rules:
+        hit = np.ones(len(stats), bool)
+        for c in r.conditions:
+            v = stats[f"f_{c.feature}"].to_numpy()
+            hit &= v >= c.threshold if c.above else v < c.threshold
+        low |= hit
+    assert (stats.base_failed == failed).all() and (stats.kept == ~failed & ~low).all() and rules.rules
+    assert all(len({(c.feature, c.above) for c in r.conditions}) == len(r.conditions) for r in rules.rules), str(rules)
+    both = stats.merge(labels.toPandas(), on="doc_id")
+    both = both[~both.base_failed & both.quality.notna()]
+    assert (both.kept == (both.quality == 1)).mean() > 0.95
+    text = spark.createDataFrame([(k, i, "x") for k, i in ((1, 1), (0, 1), (None, None))], "quality int, doc_id long, kept string")
+    again, _ = quality_rules.judge(spark.createDataFrame([(1, "a b " * 40, True, 7), (None, None, False, 8)], "doc_id long, text string, kept boolean, n_words long"), text)
+    assert again.count() == 2
+
+
 # -- Katz backoff ----------------------------------------------------------------------------
 
 
