@@ -51,3 +51,25 @@ def test_language_without_labels(spark):
     docs = spark.createDataFrame([(1, "ein Text", None, "s", 8), (2, "123 456", None, "s", 7), (3, None, None, "s", 0), (4, "ñ", None, None, 1)], "doc_id long, text string, lang string, source string, n_chars long")
     got = p.language(spark, docs, "")
     assert got.columns == list(p.COLUMNS) and {(r.doc_id, r.lang) for r in got.collect()} == {(1, None), (4, None)}
+
+
+def test_odd_tables(spark):
+    """Empty tables, only nulls, very long texts, repeated ids and columns with clashing names go through all stages."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row long, component_id long, copy int, times int, taken long, size long, fp long, node long"
+    extra = (1, 2, 3, 4, 5, 6, 7, 8)
+    rng = np.random.default_rng(2)
+    long = " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"], 200_000))
+    tables = {
+        "empty": [],
+        "nulls": [(None, None, None, None, None)] * 3,
+        "odd": [(1, "", "en", "a", 0), (1, "the same text of the two rows", "en", "a", 29), (1, "the same text of the two rows", None, None, 29), (None, "a text without an id", "en", "b", 20), (4, long, "en", "a", len(long)), (5, long + " tail", "en", "b", len(long)), (6, "!!! 123", "en", "a", 7)],
+    }
+    kept = {}
+    for name, rows in tables.items():
+        docs = spark.createDataFrame([(*r, *extra) for r in rows], schema)
+        for stage, f in p.STAGES:
+            docs = f(spark, docs, "").cache()
+            kept[name, stage] = docs.count()
+            assert docs.columns == list(p.COLUMNS) or stage == p.STAGES[-1][0]
+    assert set(v for (n, _), v in kept.items() if n in ("empty", "nulls")) == {0}
+    assert kept["odd", "language ID"] == kept["odd", "line dedup"] == 5 and kept["odd", "SimHash near-dedup"] == 3
