@@ -68,6 +68,7 @@ class Stage:
         (writer.partitionBy(by) if by else writer).parquet(self.path)
         self.schema = df.schema
         del df
+        _staged.append(self)
         if release:
             tidy(self.spark)
 
@@ -77,6 +78,8 @@ class Stage:
     def drop(self) -> None:
         """Only once everything that reads it has been staged itself."""
         remove(self.spark, self.path)
+        if self in _staged:
+            _staged.remove(self)
 
 
 #: Buckets that Spark allows by default.
@@ -93,6 +96,7 @@ class Buckets(Stage):
         n = max(n_shuffle(self.spark), 4 * df._jdf.queryExecution().toRdd().getNumPartitions())
         writer = df.write.format("parquet").option("path", self.path).option("compression", "zstd")
         writer.bucketBy(min(n, MOST_BUCKETS), column).sortBy(column).saveAsTable(self.table)
+        _staged.append(self)
 
     def df(self) -> DataFrame:
         return self.spark.table(self.table)
@@ -106,6 +110,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return Stage(df, name).df()
 
 
+#: Tables that are staged and not dropped yet, in the order in which they were written.
+_staged: list[Stage] = []
+
+
+def settle(make: Callable[[], DataFrame], name: str, *gone: Stage) -> Stage:
+    """The result of ``make`` as a table, after which all that was staged for it is dropped, and ``gone`` too."""
+    before = set(map(id, _staged))
+    out = Stage(make(), name)
+    for x in [*(x for x in _staged if id(x) not in before and x is not out), *gone]:
+        x.drop()
+    return out
+
+
 def tidy(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of stages whose results are staged.
 

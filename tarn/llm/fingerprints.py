@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, arrow_schema, docs_of, map_rows, n_shuffle, staged, text_bytes
+from .common import Stage, arrow_schema, docs_of, map_rows, n_shuffle, settle, staged, text_bytes
 
 BITS = 64
 UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -372,8 +372,8 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     each = staged(sketches(df, id_col, text_col, words), "sketches")
     nodes = staged(each.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
-    pairs = staged(candidate_pairs(nodes, limit), "pairs")
+    pairs = settle(lambda: candidate_pairs(nodes, limit), "pairs").df()
     met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = nodes.join(met, "node").select("node", F.col("low").alias("doc_id")).join(docs_of(df, id_col, (text_col, "text")), "doc_id").select("node", "text")
-    root = groups(staged(alike(pairs, staged(texts, "pair-texts"), least, words), "alike"))
+    root = groups(settle(lambda: alike(pairs, staged(texts, "pair-texts"), least, words), "alike").df())
     return each.select("doc_id", "node").join(root, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))
