@@ -100,13 +100,14 @@ class Form:
         pattern = WORD_PATTERN if self.words else BYTE_PATTERN
         self.wide, self.narrow = wide(pattern), narrow(pattern)
 
-    def pieces(self, block: str) -> Iterator[str]:
-        text = self.normal(block) if self.words else block
+    def pieces(self, block: str) -> Iterable[str]:
+        text, pattern = self.normal(block) if self.words else block, self.narrow
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return (m[0] for m in self.wide.finditer(text))
-        return (m[0] for m in self.narrow.finditer(text))
+            pattern = self.wide
+        # a list is faster; a block that white space did not end goes piece by piece
+        return pattern.findall(text) if len(text) <= 2 * BLOCK else (m[0] for m in pattern.finditer(text))
 
     @staticmethod
     def normal(text: str) -> str:
@@ -352,7 +353,11 @@ class Digests:
     def parts(self, text: str) -> Iterator[tuple[str, str]]:
         """What many short pieces add, or a part of a long one."""
         for block in self.encoder.pieces(text):
-            got = []
+            if isinstance(block, list) and max(map(len, block), default=0) <= LONG:
+                got = [self.known[p] for p in block]
+                block = ()
+            else:
+                got = []
             for p in block:
                 if len(p) <= LONG:
                     got.append(self.known[p])
