@@ -10,6 +10,7 @@ contexts of the next order are these numbers.  A chunk then evaluates its tokens
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,36 +48,69 @@ class Hashes(dict):
         return h
 
 
-def chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for about CHUNK tokens: the sorted hashes of its words, and its documents as numbers into them."""
+SPACE = re.compile(rb"[ \t-\r]")
+#: Bytes of a text whose words are split at a time, about.
+SLICE = 1 << 22
+
+
+def slices_of(text: bytes, size: int) -> Iterator[bytes]:
+    """A text in parts of about ``size`` bytes that end at white space."""
+    at = 0
+    while at < len(text):
+        m = SPACE.search(text, at + size)
+        end = m.start() if m else len(text)
+        yield text[at:end]
+        at = end
+
+
+#: Of each piece: id, whether there is one, held out, number of its text or -1 if it is whole, tokens before its own, all tokens.
+DOCS = ("int64", "uint8", "uint8", "int64", "uint8", "int64")
+
+
+def chunks(df: DataFrame, id_col: str, text_col: str, order: int) -> DataFrame:
+    """One row for about CHUNK tokens: the sorted hashes of its words, and pieces as numbers into them.
+
+    A piece is a text, or a part of one of more tokens than CHUNK, with the ``order`` - 1 tokens before it, which are neither counted
+    nor scored again.
+    """
     fold = F.coalesce(crc_mod(f"`{id_col}`", 7) == 2, F.lit(False))
     own = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), fold.alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    most, size_of = CHUNK, SLICE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        hashes, part, n = Hashes(), TaskContext.get().partitionId(), 0
-        ids, held, lens, toks, size = [], [], [], [], 0
+        hashes, part, n, serial = Hashes(), TaskContext.get().partitionId(), 0, 0
+        rows, toks, size = [], [], 0
 
         def flush() -> tuple:
-            flat = np.concatenate(toks)
-            vocab, local = np.unique(flat, return_inverse=True)
-            known = np.array([i is not None for i in ids], np.uint8)
-            return (part << 32) + n, pack(steps(vocab), spread=True), pack(np.array([i or 0 for i in ids], np.int64), known, np.array(held, np.uint8), np.array(lens, np.int64), local.astype(np.uint32), level=3, spread=True)
+            vocab, local = np.unique(np.concatenate(toks), return_inverse=True)
+            docs = (np.array(x, t) for x, t in zip(zip(*rows), DOCS))
+            return (part << 32) + n, pack(steps(vocab), spread=True), pack(*docs, local.astype(np.uint32), level=3, spread=True)
+
+        def pieces(text: bytes) -> Iterator[tuple[int, np.ndarray, bool]]:
+            """(tokens before its own, tokens, whether more follow)"""
+            held, count, before = [], 0, 0
+            for x in slices_of(text, size_of):
+                words = x.translate(UPPER).split()
+                held.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
+                count += len(words)
+                if count >= most + before:
+                    t = np.concatenate(held)
+                    yield before, t, True
+                    before = min(order - 1, len(t))
+                    held, count = [t[len(t) - before :]], before
+            yield before, np.concatenate([*held, np.array([END], np.uint64)]), False
 
         for b in batches:
             for i, h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), text_bytes(b.column(2))):
-                words = text.translate(UPPER).split()
-                t = np.empty(len(words) + 1, np.uint64)
-                t[:-1] = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-                t[-1] = END
-                ids.append(i)
-                held.append(h)
-                lens.append(len(t))
-                toks.append(t)
-                size += len(t)
-                if size >= CHUNK:
-                    yield flush()
-                    ids, held, lens, toks, size, n = [], [], [], [], 0, n + 1
-        if ids:
+                serial += 1
+                for before, t, more in pieces(text):
+                    rows.append((i or 0, i is not None, h, (part << 32) + serial if more or before else -1, before, len(t)))
+                    toks.append(t)
+                    size += len(t)
+                    if size >= most:
+                        yield flush()
+                        rows, toks, size, n = [], [], 0, n + 1
+        if rows:
             yield flush()
 
     return map_rows(own, run, CHUNKS)
@@ -86,22 +120,29 @@ def chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 class Chunk:
     ids: list
     held: np.ndarray
+    text: np.ndarray
+    before: np.ndarray
     lens: np.ndarray
     vocab: np.ndarray
     local: np.ndarray
 
     @staticmethod
     def of(vocab: bytes, tokens: bytes) -> Chunk:
-        ids, known, held, lens, local = unpack(tokens, "int64", "uint8", "uint8", "int64", "uint32", spread=True)
+        ids, known, held, text, before, lens, local = unpack(tokens, *DOCS, "uint32", spread=True)
         v = np.cumsum(unpack(vocab, "uint64", spread=True)[0])
-        return Chunk([i if k else None for i, k in zip(ids.tolist(), known.tolist())], held.astype(bool), lens, v, local)
+        return Chunk([i if k else None for i, k in zip(ids.tolist(), known.tolist())], held.astype(bool), text, before.astype(np.int64), lens, v, local)
 
     def doc(self) -> np.ndarray:
-        """The document of each token."""
+        """The piece of each token."""
         return np.repeat(np.arange(len(self.lens)), self.lens)
 
+    def own(self) -> np.ndarray:
+        """Whether each token is a piece's own."""
+        place = np.arange(len(self.local)) - np.repeat(np.cumsum(self.lens) - self.lens, self.lens)
+        return place >= np.repeat(self.before, self.lens)
+
     def trained(self) -> np.ndarray:
-        return ~self.held[self.doc()]
+        return ~self.held[self.doc()] & self.own()
 
 
 def steps(x: np.ndarray) -> np.ndarray:
@@ -256,7 +297,8 @@ class Walk:
         """The number of the gram of one order less before each token; at the first of a text, that of the beginning."""
         before = np.empty_like(gram)
         before[1:] = gram[:-1]
-        before[self.first] = self.numbers[-1] if order == 2 else self.levels[order - 3].numbers[-1]
+        # what is before a piece that goes on is not known here, and only its own tokens need it
+        before[self.first] = np.where(self.c.before > 0, -1, self.numbers[-1] if order == 2 else self.levels[order - 3].numbers[-1])
         return before
 
     def asked(self, gram: np.ndarray, context: np.ndarray, p: np.ndarray) -> Asked:
@@ -469,21 +511,32 @@ def backoff(d: np.ndarray, count: np.ndarray, kinds: np.ndarray, mass: np.ndarra
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+PIECES = RESULT + ", text long"
 
 
 def score_chunks(joined: DataFrame, state: State, order: int) -> DataFrame:
+    """One row a piece."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, words = arrow_schema(RESULT), state.words
+        schema, words = arrow_schema(PIECES), state.words
         for _, w in state.walks(batches):
-            c, known = w.c, w.known
-            token = np.log10(w.grams(order)[1])
+            c, known, own = w.c, w.known, w.c.own()
+            token = np.where(own, np.log10(w.grams(order)[1]), 0.0)
             doc, m = c.doc(), len(c.lens)
-            base = np.log10((known + 1) / (words.total + words.kinds + 1))[c.local]
-            cols = [c.ids, c.held.tolist(), c.lens, np.bincount(doc, (known > 0)[c.local], m).astype(np.int64), np.full(m, words.total), np.bincount(doc, base, m), np.bincount(doc, token, m)]
+            base = np.where(own, np.log10((known + 1) / (words.total + words.kinds + 1))[c.local], 0.0)
+            text = [k if k >= 0 else None for k in c.text.tolist()]
+            cols = [c.ids, c.held.tolist(), c.lens - c.before, np.bincount(doc, (known > 0)[c.local] & own, m).astype(np.int64), np.full(m, words.total), np.bincount(doc, base, m), np.bincount(doc, token, m), text]
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, schema)], schema=schema)
-            del w, c, token, doc, base, cols
+            del w, c, token, doc, base, cols, own
+
+    return joined.mapInArrow(run, PIECES)
+
 
-    return joined.mapInArrow(run, RESULT)
+def whole(pieces: DataFrame) -> DataFrame:
+    """The rows of texts: the sums of their pieces."""
+    names = [x.split()[0] for x in RESULT.split(", ")]
+    sums = pieces.where("text IS NOT NULL").groupBy("text").agg(*[(F.sum if c in ("n_tokens", "n_known", "base_score", "score") else F.first)(c).alias(c) for c in names])
+    return pieces.where("text IS NULL").select(*names).union(sums.select(*names))
 
 
 # -- the operator ---------------------------------------------------------------------------
@@ -501,8 +554,8 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
 
     Learns from documents whose crc32(id as text) mod 7 is not 2 (a null id is not held out) and scores all, both as the
     contract of the query says, the latter by a model of ``order`` (2 or more).  A null text is empty: one token, its end.  Rows
-    that repeat an id each count and get a row.  Without training documents every token is unknown.  A text of any length is one
-    chunk at least, whose tokens a task holds.  An empty table gives an empty table.
+    that repeat an id each count and get a row.  Without training documents every token is unknown.  A text of more tokens than
+    CHUNK is several pieces, whose sums are its row.  An empty table gives an empty table.
 
     The tables of an order (TABLE rows: gram counts, then contexts with their weights) lie in the shared folder, partitioned by kind and
     packed by bucket, until the scores are written.
@@ -511,7 +564,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
         raise ValueError("a backoff model has order two or more")
     spark = df.sparkSession
     buckets = n_buckets(spark)
-    table = Buckets(chunks(df, id_col, text_col), "katz-chunks", "chunk")
+    table = Buckets(chunks(df, id_col, text_col, order), "katz-chunks", "chunk")
     counted = Stage(count_words(ask_words(table.df(), buckets)), "katz-words", release=True, by="kind")
     counts, (total, kinds), numbers = totals(counted.df(), buckets)
     state, staged = State(Words.of(counts, int(total), int(kinds)), numbers, [], buckets), [counted]
@@ -534,4 +587,4 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
     out = Stage(score_chunks(joined(staged), state, order), "katz-scores")
     for x in (table, *staged):
         x.drop()
-    return out.df()
+    return whole(out.df())
