@@ -288,6 +288,9 @@ def test_lines(docs, none, spark):
     want = sorted(c.sql(f"SELECT {names} FROM ({line_dedup.ORACLE})").fetchall(), key=str)
     assert sorted(map(tuple, line_dedup.dedup_lines(fixed).select(*names.split(", ")).collect()), key=str) == want
     assert line_dedup.dedup_lines(docs).count() == len(TEXTS) and line_dedup.dedup_lines(none).count() == 0
+    clash = fixed.selectExpr("doc_id", "text", "'x' AS w", "1 AS pos", "2 AS k", "3 AS starts", "'y' AS first", "4 AS n", "5 AS id", "6 AS at")
+    kept = line_dedup.dedup_lines(clash, keep=("k", "starts", "id"))
+    assert sorted(map(tuple, kept.select(*names.split(", ")).collect()), key=str) == want and {(r.k, r.starts, r.id) for r in kept.collect()} == {(2, 3, 5)}
 
 
 # -- BPE -------------------------------------------------------------------------------------
@@ -622,6 +625,16 @@ def test_neighbours_recall(spark, monkeypatch, n, centroids):
     assert neighbours.fit(x[:500], float(np.linalg.norm(x, axis=1).max()), n, 20).lists() >= n / 150 / 2
 
 
+def test_neighbours_repeated_ids_and_clashing_columns(spark):
+    """An id with two vectors is asked with both; its other row is a candidate of neither."""
+    x = np.eye(30)[:, :12] + 0.01
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[5].tolist()), (7, x[7].tolist())]
+    df = spark.createDataFrame([(*r, 1, 2, "b", 3.0, [4]) for r in rows], "vec_id long, embedding array<double>, list int, rank int, block string, bound double, ids array<int>")
+    got = neighbours.search(df, k=5, every=30).collect()
+    assert {r.query_id for r in got} == {0} and all(r.vec_id != 0 for r in got)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, neighbours.search(df.select("vec_id", "embedding"), k=5, every=30).collect()))
+
+
 def test_neighbours_few_in_the_nearest_list(spark):
     """Tight clusters of fewer vectors than are asked for: a query goes on to further lists."""
     rng = np.random.default_rng(3)

@@ -1,3 +1,6 @@
+import hashlib
+from collections import Counter
+
 import corpus_pipeline as p
 import numpy as np
 from pyspark.sql import functions as F
@@ -73,3 +76,73 @@ def test_odd_tables(spark):
             assert docs.columns == list(p.COLUMNS) or stage == p.STAGES[-1][0]
     assert set(v for (n, _), v in kept.items() if n in ("empty", "nulls")) == {0}
     assert kept["odd", "language ID"] == kept["odd", "line dedup"] == 5 and kept["odd", "SimHash near-dedup"] == 3
+
+
+def brute(rows, net):
+    """All stages in plain Python over (doc_id, text, source): what is left of each document, as often as the mix takes it."""
+    pooled = language_id.pooled(net, [(t or "").encode() for _, t, _ in rows])
+    rows = [r for r, x in zip(rows, pooled) if r[1] and any(map(str.isalpha, r[1])) and x.max() >= p.LEAST_SCORE]
+    seen, out = set(), []
+    for i, t, s in sorted(rows, key=lambda r: r[0]):
+        lines = t.split("\n")
+        gone = set()
+        for k in range(len(lines) - 2):
+            w = tuple(lines[k : k + 3])
+            if any(x.encode().split() for x in w):
+                gone |= {k, k + 1, k + 2} if w in seen else set()
+                seen.add(w)
+        out.append((i, "\n".join(x for k, x in enumerate(lines) if k not in gone), s))
+    rows = out
+
+    def shingles(t):
+        w = [x.lower() for x in t.encode().split()]
+        return {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set()
+
+    sets, root = [shingles(t) for _, t, _ in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            union = len(sets[a] | sets[b])
+            if not union or len(sets[a] & sets[b]) / union >= p.SIMILAR:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x  # rows are in the order of ids, so the root is the smallest
+    rows = [r for k, r in enumerate(rows) if find(k) == k]
+    sizes, by = [len(t.encode().split()) for _, t, _ in rows], {}
+    for (_, _, s), n in zip(rows, sizes):
+        by[s] = by.get(s, 0) + n
+    names = sorted((s for s in by if s is not None), key=lambda s: s.encode()) + [None] * (None in by)
+    weight, target, open_ = {s: 1 + k % 3 for k, s in enumerate(names)}, {}, set(names)
+    while True:
+        left, w = sum(by.values()) - sum(target.values()), sum(weight[s] for s in open_)
+        over = {s for s in open_ if left * weight[s] / w >= 3 * by[s]}
+        if not over:
+            break
+        target |= {s: 3 * by[s] for s in over}
+        open_ -= over
+    target |= {s: left * weight[s] / w for s in open_}
+    times = [0] * len(rows)
+    for s in names:
+        own = [k for k in range(len(rows)) if rows[k][2] == s]
+        full = min(3, int(target[s] // by[s])) if by[s] else 0
+        budget, run = target[s] - full * by[s], 0
+        for k in sorted(own, key=lambda k: hashlib.md5(str(rows[k][0]).encode()).hexdigest()):
+            run += sizes[k]
+            times[k] = min(3, full + (run <= budget)) if sizes[k] else 0
+    return Counter((r[0], r[1]) for r, n in zip(rows, times) for _ in range(n))
+
+
+def test_run_against_brute_force(spark):
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = brute([(r.doc_id, r.text, r.source) for r in docs.collect()], language_id.fit(docs))
+    library = Tokenizer.from_file(p.vocabulary())
+    library.no_truncation()
+    got = Counter((r.doc_id, tuple(r.ids)) for r in p.run(spark, sf).collect())
+    assert got == Counter({(i, tuple(library.encode(t, add_special_tokens=False).ids)): n for (i, t), n in want.items()}) and len(got) > 50
