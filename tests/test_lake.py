@@ -344,6 +344,18 @@ def test_mixed_deletes_lose_nothing(lake):
         a.delete()
 
 
+def test_delete_in_a_transaction(lake):
+    a = lake.create_table("a", {"x": t.Int64()})
+    a.sink(numbers(lake, 30))
+    with lake.transaction() as tx:
+        own = tx.table("a")
+        own.append(numbers(lake, 20, 5))
+        own.delete_where("x < 20")
+        with pytest.raises(ValueError, match="already"):
+            own.delete_where("x < 25")
+    assert values(a.to_df()) == sorted([*range(20, 30), *range(5, 25)]) and a.count() == 30 and len(lake.list_snapshots()) == 4
+
+
 def test_random_condition_marks_each_row_once(lake):
     a = lake.create_table("a", {"x": t.Int64()})
     a.sink(numbers(lake, 1000))
