@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, fingerprints, katz, language_id, line_dedup, mixing, neighbours, quality_rules, repeats, secrets_scan
-from .common import crc_mod, docs_of, read
+from .common import crc_mod, read
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stage, arrow_schema, n_shuffle, staged
+from .common import Stage, n_shuffle, staged
 
 #: Vectors that centroids are trained on, and queries that the number of probed lists is tuned on, at most.
 SAMPLE, TUNE = 8192, 128

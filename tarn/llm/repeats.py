@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import PACKED, Stage, answers, by_bucket, deal, docs_of, grouped, map_rows, mix64, n_buckets, n_shuffle, pack, text_bytes, unpack
 
