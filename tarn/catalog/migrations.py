@@ -58,6 +58,6 @@ def migrate_from(store: Store, version: str) -> None:
     for target in VERSIONS[VERSIONS.index(version) + 1 :]:
         with store.writing() as s:
             STEPS[target](s)
-            s.run("""UPDATE {metadata} SET value = ? WHERE "key" = 'version' AND scope IS NULL""", target)
-    if store.rows("""SELECT value FROM {metadata} WHERE "key" = 'version' AND scope IS NULL""")[0]["value"] != VERSION:
+            s.run("""UPDATE {metadata} SET value = ? WHERE "key" = 'version'""", target)
+    if store.rows("""SELECT value FROM {metadata} WHERE "key" = 'version'""")[0]["value"] != VERSION:
         raise RuntimeError("the migration did not reach the present version")

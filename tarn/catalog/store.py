@@ -131,7 +131,7 @@ class Store:
     def check_version(self, migrate: bool = False) -> None:
         if not self.initialised():
             raise NotInitializedError("the catalog holds no lake; create it first")
-        version = self.rows("""SELECT value FROM {metadata} WHERE "key" = 'version' AND scope IS NULL""")[0]["value"]
+        version = self.rows("""SELECT value FROM {metadata} WHERE "key" = 'version'""")[0]["value"]
         if version == VERSION:
             return
         if version not in VERSIONS or not migrate:

@@ -317,23 +317,34 @@ def option_scopes(spark, sf_dir):
     return facts(spark, [*out, ("unset", limit(a))], "scope string, inline_limit long")
 
 
-@query("SELECT n_nationkey, n_name, true AS refused FROM nation UNION ALL SELECT n_nationkey, n_name, true FROM nation")
+#: What each version of the layout brought: statements that take it away again, from the newest on.
+OLDER = {
+    "0.4": ["ALTER TABLE {data_file} DROP COLUMN schema_version", "ALTER TABLE {file_column_stats} DROP COLUMN contains_nan"],
+    "0.3": ["ALTER TABLE {schema_versions} DROP COLUMN table_id", "ALTER TABLE {column} DROP COLUMN default_value_type", "ALTER TABLE {column} DROP COLUMN default_value_dialect"],
+    "0.2": ["DROP TABLE {schema_versions}", "ALTER TABLE {metadata} DROP COLUMN scope", "ALTER TABLE {metadata} DROP COLUMN scope_id", *(f"ALTER TABLE {{snapshot_changes}} DROP COLUMN {c}" for c in ("author", "commit_message", "commit_extra_info"))],
+    "0.1": [*(f"ALTER TABLE {{{x}}} DROP COLUMN {c}" for x in ("schema", "table") for c in ("path", "path_is_relative")), "UPDATE {partition_column} SET column_id = column_id - 1"],
+}
+
+
+@query("SELECT v AS version, (SELECT count(*) * 2 FROM nation) AS n, 'OutdatedVersionError' AS refused, 'n_regionkey' AS partition_column, (SELECT count(DISTINCT n_regionkey) FROM nation) AS n_values FROM (VALUES ('0.1'), ('0.2'), ('0.3'), ('0.4')) x(v)")
 def migrate_catalog(spark, sf_dir):
-    """A catalog of an older layout is refused, then brought up to date; its rows stay, and it takes new ones."""
-    lake = fresh(spark)
-    load(lake, sf_dir, "nation")
-    with lake.store.writing() as s:
-        s.run("""UPDATE {metadata} SET value = '0.2' WHERE "key" = 'version'""")
-        s.run("DROP TABLE {schema_versions}")
-        for column in ("author", "commit_message", "commit_extra_info"):
-            s.run(f"ALTER TABLE {{snapshot_changes}} DROP COLUMN {column}")
-        for column in ("default_value_type", "default_value_dialect"):
-            s.run(f"ALTER TABLE {{column}} DROP COLUMN {column}")
-        s.run("ALTER TABLE {data_file} DROP COLUMN schema_version")
-    error = refused(lambda: lakes.connect(spark, lake.store.url))
-    with lakes.connect(spark, lake.store.url, migrate=True) as new:
-        new.get_table("nation").append(nation(spark, sf_dir))
-        return new.get_table("nation").to_df().select("n_nationkey", "n_name", F.lit(error == "OutdatedVersionError").alias("refused"))
+    """A catalog of each older layout is refused, then brought up to date; its rows and partitioning stay, and it takes new rows."""
+    out = []
+    for version in OLDER:
+        lake = fresh(spark)
+        load(lake, sf_dir, "nation", partition_by="n_regionkey")
+        with lake.store.writing() as s:
+            s.run("""UPDATE {metadata} SET value = ? WHERE "key" = 'version'""", version)
+            for v, steps in OLDER.items():
+                for text in steps if v >= version else []:
+                    s.run(text)
+        error = refused(lambda lake=lake: lakes.connect(spark, lake.store.url))
+        with lakes.connect(spark, lake.store.url, migrate=True) as new:
+            table = new.get_table("nation")
+            table.append(nation(spark, sf_dir))
+            values = {r["partition_value"] for r in new.store.rows("SELECT partition_value FROM {file_partition_value}")}
+            out.append((version, table.to_df().count(), error, table.partitioning.columns[0].column, len(values)))
+    return facts(spark, out, "version string, n long, refused string, partition_column string, n_values long")
 
 
 @query("SELECT * FROM (VALUES ('dry', CAST(3 AS BIGINT)), ('snapshots', 4), ('orphans', 2), ('left', 0)) v(what, n)")
