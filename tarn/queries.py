@@ -513,7 +513,7 @@ def windowed(spark, sf_dir, shape, delay: str = "1 hour") -> DataFrame:
 
     from .streaming.sink import append_stream
 
-    lake, events = fresh(spark), source(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    lake, events = fresh(spark), source(spark, sf_dir, "events").select(F.concat(F.col("ts").cast("timestamp_ntz").cast("string"), F.lit("Z")).cast("timestamp").alias("ts"), "event_type", "value")
     folder = f"{lake.data_path}_in"
     far = events.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"))
     events.coalesce(1).write.parquet(f"{folder}/a")
