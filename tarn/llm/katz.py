@@ -28,7 +28,7 @@ ORDER = 2
 #: Counts up to here are discounted.
 K = 5
 #: Tokens of a chunk, about.
-CHUNK = 1_000_000
+CHUNK = 800_000
 UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Hash of the end of a text; no word contains a blank.
 END = xxhash.xxh64_intdigest(b" end", 7)
