@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from .common import PACKED, Stage, answers, by_bucket, deal, docs_of, grouped, map_rows, mix64, n_buckets, n_shuffle, pack, text_bytes, unpack
 
 #: Bytes of a chunk of texts, about; a longer text is cut into pieces of so many.
-CHUNK = 4 << 20
+CHUNK = 3 << 20
 #: Bytes that the rolling hash of a trigger sees.
 TRIGGER = 16
 CHUNKS = "chunk long, docs binary, texts binary"
