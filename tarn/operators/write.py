@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from typing import Any
 from urllib.parse import quote, unquote
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,6 +134,9 @@ def write_files(df: DataFrame, t: TableDef, path: str, options: dict[str, Any],
         out = out.withColumn(shadows[-1], transform(F.col(f"`{names[i]}`"), how).cast("string"))
     if shadows and not apart:
         out = out.hint("rebalance", *shadows)
+    floats, nan = [c for c in t.columns if c.data_type.kind in ("float32", "float64")], Observation()
+    if floats:  # footers don't say whether there are NaNs, so they are counted on the way
+        out = out.observe(nan, *[F.max(F.isnan(f"`{c.name}`")).alias(str(c.field_id)) for c in floats])
     compression = {"uncompressed": "none"}.get(options["parquet_compression"], options["parquet_compression"])
     writer = out.write.option("compression", compression).option("parquet.block.row.count.limit", str(options["parquet_row_group_size"]))
     # every task writes files of its own, so per_thread_output has nothing to switch
@@ -145,6 +148,12 @@ def write_files(df: DataFrame, t: TableDef, path: str, options: dict[str, Any],
     files = Files(spark)
     paths = [f.path for f in files.list(folder) if f.path.endswith(".parquet")]
     stats = read_all(files, paths, t.columns)
+    if floats:
+        seen, full = nan.get, sum(s.rows > 0 for s in stats)
+        for s in stats:
+            for c in floats:  # what was written has none, or the only file has some; of several files it isn't known which
+                if c.field_id in s.columns:
+                    s.columns[c.field_id].nan = bool(seen[str(c.field_id)]) if not seen[str(c.field_id)] or full == 1 else None
     out_files = []
     for p, s in zip(paths, stats):
         if s.rows:

@@ -205,7 +205,7 @@ def to_df(lake, result: ScanResult, where: str | None = None, include_file_paths
     if where is not None:
         tree = pruning.parse(spark, where, {c.name: c.data_type.kind for c in t.columns})
         top = {c.field_id: c.name for c in t.columns}
-        files = [f for f in files if pruning.may_match(tree, {top[i]: (x.min, x.max, x.nulls) for i, x in f.stats.items() if i in top}, f.rows)]
+        files = [f for f in files if pruning.may_match(tree, {top[i]: (x.min, x.max, x.nulls, x.nan) for i, x in f.stats.items() if i in top}, f.rows)]
     paths = Files(spark)
 
     def read(some: list[ScanDataFile]) -> DataFrame:

@@ -344,6 +344,20 @@ def test_mixed_deletes_lose_nothing(lake):
         a.delete()
 
 
+def test_nan_is_known(lake, spark):
+    a = lake.create_table("a", {"x": t.Float64(), "i": t.Int64()})
+    flag = lambda: [r["contains_nan"] for r in lake.store.rows("SELECT contains_nan FROM {table_column_stats} WHERE table_id = ? ORDER BY column_id", a.id)]
+    a.sink(spark.range(30).selectExpr("id * 0.5D AS x", "id AS i").coalesce(1))
+    assert flag() == [0, None] and a.to_df("x > 100").inputFiles() == [] and a.to_df("x > 10").count() == 9
+    a.append(spark.sql("SELECT CAST('NaN' AS DOUBLE) AS x, 1L AS i"))
+    assert flag()[0] == 1
+    a.sink(spark.range(20).selectExpr("CAST(IF(id = 3, 'NaN', '1.0') AS DOUBLE) AS x", "id AS i").coalesce(1))
+    assert len(a.to_df("x > 100").inputFiles()) == 1 and a.to_df("x > 100").count() == 2 == a.to_df().where("x > 100").count()
+    b = lake.create_table("b", {"x": t.Float64()})
+    b.sink(spark.range(0).selectExpr("id * 0.5D AS x"))
+    assert b.count() == 0
+
+
 def test_delete_in_a_transaction(lake):
     a = lake.create_table("a", {"x": t.Int64()})
     a.sink(numbers(lake, 30))
