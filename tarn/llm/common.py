@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import sys
 import tempfile
 import time
@@ -249,6 +250,21 @@ def text_bytes(array: pa.Array) -> list[bytes]:
     return [x if x is not None else b"" for x in array.cast(pa.binary()).to_pylist()]
 
 
+SPACE = re.compile(rb"[ \t-\r]")
+#: Bytes of a text whose words are split at a time, about.
+SLICE = 1 << 22
+
+
+def slices_of(text: bytes, size: int) -> Iterator[bytes]:
+    """A text in parts of about ``size`` bytes that end at white space."""
+    at = 0
+    while at < len(text):
+        m = SPACE.search(text, at + size)
+        end = m.start() if m else len(text)
+        yield text[at:end]
+        at = end
+
+
 def docs_of(df: DataFrame, id_col: str, *cols: tuple[str, str]) -> DataFrame:
     """The columns that an operator needs, under its own names."""
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), *[F.col(f"`{c}`").alias(n) for c, n in cols])

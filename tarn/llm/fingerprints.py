@@ -11,18 +11,30 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, arrow_schema, docs_of, map_rows, n_shuffle, settle, staged, text_bytes
+from .common import SLICE, Stage, arrow_schema, docs_of, map_rows, n_shuffle, settle, slices_of, staged, text_bytes
 
 BITS = 64
 UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def shingles(text: bytes, words: int) -> np.ndarray:
-    """The hashes of a text's runs of words in order; a text of fewer words is one run, and without words there is none."""
-    w = text.translate(UPPER).split()
+def shingles(text: bytes, words: int, size: int = SLICE) -> np.ndarray:
+    """The hashes of a text's runs of words in order; a text of fewer words is one run, and without words there is none.
+
+    ``size`` bytes of a long text are split at a time; the last words of a part go on to the next.
+    """
+    parts, w = [], []
+    for x in slices_of(text, size):
+        w += x.translate(UPPER).split()
+        if len(w) >= words:
+            parts.append(runs(w, words))
+            w = w[len(w) - words + 1 :]
+    if not parts and w:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(w), 42)], np.uint64)
+    return np.concatenate([np.zeros(0, np.uint64), *parts])
+
+
+def runs(w: list[bytes], words: int) -> np.ndarray:
     joined, h = b" ".join(w), xxhash.xxh64_intdigest
-    if len(w) <= words:
-        return np.array([h(joined, 42)] if w else [], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
     starts = [0, *ends[: len(w) - words].tolist()]
     return np.array([h(joined[a:b], 42) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())], np.uint64)

@@ -10,7 +10,6 @@ contexts of the next order are these numbers.  A chunk then evaluates its tokens
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, Buckets, Stage, answers, arrow_schema, bucket_of, by_bucket, crc_mod, deal, give_back, grouped, map_rows, mix64, n_buckets, pack, text_bytes, unpack
+from .common import PACKED, SLICE, Buckets, Stage, answers, arrow_schema, bucket_of, by_bucket, crc_mod, deal, give_back, grouped, map_rows, mix64, n_buckets, pack, slices_of, text_bytes, unpack
 
 #: The order of the query's model.
 ORDER = 2
@@ -48,21 +47,6 @@ class Hashes(dict):
         return h
 
 
-SPACE = re.compile(rb"[ \t-\r]")
-#: Bytes of a text whose words are split at a time, about.
-SLICE = 1 << 22
-
-
-def slices_of(text: bytes, size: int) -> Iterator[bytes]:
-    """A text in parts of about ``size`` bytes that end at white space."""
-    at = 0
-    while at < len(text):
-        m = SPACE.search(text, at + size)
-        end = m.start() if m else len(text)
-        yield text[at:end]
-        at = end
-
-
 #: Of each piece: id, whether there is one, held out, number of its text or -1 if it is whole, tokens before its own, all tokens.
 DOCS = ("int64", "uint8", "uint8", "int64", "uint8", "int64")
 

@@ -491,6 +491,15 @@ def components(fps, limit):
     return [find(x) for x in range(len(fps))]
 
 
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_shingles_in_parts(size):
+    for t in ["", " ", "one", "one two", "a b c", "A b\tc d  e f g", PARA, LONG[:5000]]:
+        for words_ in (1, 3, 5):
+            w = [x.lower() for x in t.encode().split()]
+            want = [xxhash.xxh64_intdigest(b" ".join(w[k : k + words_]), 42) for k in range(max(1, len(w) - words_ + 1))] if w else []
+            assert fingerprints.shingles(t.encode(), words_, size).tolist() == want
+
+
 def test_near_duplicates(docs, none):
     fps = [simhash(t) for t in TEXTS]
     own = components(fps, 3)
