@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,35 +10,46 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, docs_of, staged, text_bytes
+from .common import SLICE, arrow_schema, docs_of, slices_of, staged, text_bytes
 
 SYMBOLS = b"#*$%&|<>"
 BASE = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 MORE = "n_distinct long, n_lines long, n_upper long, n_lower long, n_digits long, n_punct long, n_stops long"
 
 
-def repeat_words(words: list[bytes], width: int = 3) -> int:
-    """Words that lie in a run of ``width`` words found twice or more in the text."""
-    runs = list(zip(*[words[i:] for i in range(width)]))
-    if len(set(runs)) == len(runs):
+def repeat_words(ids: np.ndarray, width: int = 3) -> int:
+    """Words that lie in a run of ``width`` words found twice or more in the text; words are numbers from zero on."""
+    n = len(ids) - width + 1
+    if n < 2:
         return 0
-    count = Counter(runs)
-    n, end = 0, 0  # end: the first place that no repeated run has covered yet
-    for i, r in enumerate(runs):
-        if count[r] > 1:
-            n += i + width - max(i, end)
-            end = i + width
-    return n
-
-
-def statistics_of(text: bytes) -> tuple[int, ...]:
-    words = text.split()
-    lines = [x for x in text.split(b"\n") if x and not x.isspace()]
-    flat = b"".join(words)
-    kinds = np.bincount(CLASS[np.frombuffer(flat, np.uint8)], minlength=7)
-    chars = len(flat) - int(kinds[6])  # bytes that continue a code point are not counted
-    return (len(words), chars, len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeat_words(words),
-            len(set(words)), len(lines), int(kinds[1]), int(kinds[2]), int(kinds[3]), int(kinds[4]), sum(w.endswith((b".", b"!", b"?", b":")) for w in words))
+    code, kinds = ids[:n], int(ids.max()) + 1
+    for k in range(1, width):
+        code = np.unique(code * kinds + ids[k : k + n], return_inverse=True)[1]
+    begin = np.flatnonzero(np.bincount(code)[code] > 1)
+    edge = np.zeros(len(ids) + 1, np.int64)
+    edge[begin] += 1
+    edge[begin + width] -= 1
+    return int((np.cumsum(edge) > 0).sum())
+
+
+def statistics_of(text: bytes, size: int = SLICE) -> tuple[int, ...]:
+    """``size`` bytes of a long text are split at a time; what is held of its words is a number for each."""
+    number: dict[bytes, int] = {}
+    ids, kinds, chars, ends = [np.zeros(0, np.int64)], np.zeros(7, np.int64), 0, 0
+    for x in slices_of(text, size):
+        words = x.split()
+        for w in words:
+            if w not in number:
+                number[w] = len(number)
+        ids.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+        flat = b"".join(words)
+        kinds += np.bincount(CLASS[np.frombuffer(flat, np.uint8)], minlength=7)
+        chars += len(flat)
+        ends += sum(w.endswith((b".", b"!", b"?", b":")) for w in words)
+    own, lines = np.concatenate(ids), [x for x in text.split(b"\n") if x and not x.isspace()]
+    # bytes that continue a code point are not counted
+    return (len(own), chars - int(kinds[6]), len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeat_words(own),
+            len(number), len(lines), int(kinds[1]), int(kinds[2]), int(kinds[3]), int(kinds[4]), ends)
 
 
 #: Of each byte: 1 upper, 2 lower, 3 digit, 4 other printable ASCII, 6 continues a code point, 0 the rest.

@@ -60,6 +60,7 @@ def test_statistics(docs, none):
     got = by_id(quality_rules.statistics(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
     assert got == sorted((brute(i, t) for i, t in zip(IDS, TEXTS)), key=lambda r: tuple(map(str, r)))
     assert quality_rules.statistics(none).count() == 0
+    assert all(quality_rules.statistics_of((t or "").encode(), size) == quality_rules.statistics_of((t or "").encode()) for t in TEXTS for size in (5, 100))
 
 
 def test_decision_list(spark, docs):
