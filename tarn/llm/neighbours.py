@@ -208,8 +208,8 @@ def matrix(column: pa.Array) -> np.ndarray:
 def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, index: Index | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of each query, by largest inner product, ties to the smaller id.
 
-    Queries are the rows whose id is divisible by ``every``; candidates are all rows but the query's own (of rows that
-    repeat an id, the ones with another vector).  Vectors that are null, zero or hold null or non-finite components
+    Queries are the rows whose id is divisible by ``every``; candidates are all rows but those of the query's own id.  An id that
+    is asked with two vectors has one list, in which the best of both take turns.  Vectors that are null, zero or hold null or non-finite components
     take no part, nor rows without an id, nor vectors of another length than most have.  An empty table gives an empty result.
 
     Equal vectors are one candidate that stands for its k + 1 smallest ids, and equal queries are asked once, so a very
