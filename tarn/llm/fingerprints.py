@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, Stage, arrow_schema, docs_of, map_rows, n_shuffle, settle, slices_of, staged, text_bytes
+from .common import PACKED, SLICE, Stage, arrow_schema, by_bucket, deal, docs_of, grouped, map_rows, mix64, n_buckets, n_shuffle, pack, settle, slices_of, staged, text_bytes, tidy, unpack
 
 BITS = 64
 UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -300,7 +300,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 # -- near copies by shingle similarity --------------------------------------------------------
 # SimHash puts texts of similarity 0.8 at about 10 of 64 bits, where the trie visits nearly all pairs. So the trie finds the
-# closest copies, and bands of least hashes find the others: one band meets at similarity s with probability s^DEEP.
+# closest copies, and bands of least hashes find most others: one band meets at similarity s with probability s^DEEP. What
+# both miss is found by prefixes, which miss nothing, and only between the groups that are there already.
 
 #: Bands, and least hashes a band: of pairs of similarity 0.8 at least one band meets for 99.8 %.
 BANDS, DEEP = 16, 5
@@ -325,28 +326,48 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
+#: Hashes of texts that are held while frequent ones are counted; texts among them that make a hash frequent; frequent hashes, at most.
+HELD, OFTEN, FREQUENT = 1 << 20, 4, 100_000
+
+
+def often(sets: list[np.ndarray]) -> list[int]:
+    """The hashes that OFTEN sets or more hold."""
+    if len(sets) < OFTEN:
+        return []
+    h, n = np.unique(np.concatenate(sets), return_counts=True)
+    return h[n >= OFTEN].view(np.int64).tolist()
+
+
 def sketches(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(doc_id, node, fp, keys): node is a hash of the text's shingle set, so texts of one node are of similarity 1."""
-    ddl = "doc_id long, node long, fp long, keys array<long>"
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """(doc_id, node, fp, keys, often): node is a hash of the text's shingle set, so texts of one node are of similarity 1.
+
+    ``often`` is null but in some rows, which name hashes that are frequent among the different texts before them."""
+    ddl = "doc_id long, node long, fp long, keys array<long>, often array<long>"
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("often", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, fp, keys = [], [], []
-            for t in text_bytes(b.column(1)):
+            node, fp, keys, common, held, size = [], [], [], [], {}, 0
+            for k, t in enumerate(text_bytes(b.column(1))):
                 hashes = shingles(t, words)
                 own = np.unique(hashes)
                 node.append(xxhash.xxh64_intdigest(own.tobytes()))
                 fp.append(majority(hashes))
                 keys.append(band_keys(own))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+                size += len(own) if node[-1] not in held else 0
+                held[node[-1]] = own
+                full = size >= HELD or k + 1 == b.num_rows
+                common.append(often(list(held.values())) if full else None)
+                held, size = ({}, 0) if full else (held, size)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(common, pa.list_(pa.int64()))], schema=schema)
 
     return docs_of(df, id_col, (text_col, "text")).mapInArrow(run, ddl)
 
 
 def candidate_pairs(nodes: DataFrame, limit: int) -> DataFrame:
     """(a, b), a < b: in each band, and among equal fingerprints, every node with the first and the last of its key in an order
-    that differs by band; and the links of the trie.  A key makes at most two pairs a node, however many share it."""
+    that differs by band; and the links of the trie.  A key makes at most two pairs a node, however many share it, so pairs
+    are left out here; prefix_pairs() finds them."""
     keys = nodes.select("node", F.posexplode("keys").alias("band", "key")).union(nodes.select("node", F.lit(-1), "fp"))
     keys = keys.withColumn("at", F.struct(F.xxhash64("node", "band").alias("h"), "node"))
     ends = keys.groupBy("band", "key").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first != last")
@@ -375,17 +396,233 @@ def alike(pairs: DataFrame, texts: DataFrame, least: float, words: int) -> DataF
     return map_rows(joined.select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
+# Two sets of similarity ``least`` share one of the first hashes of each, in any order of all hashes: so many that fewer than
+# the share that they must have in common come after them. Hashes that many texts hold come last in the order.
+
+#: Texts of a key whose pairs are made where the key is; pairs that are looked at together; bits of a bitmap, at most.
+KEY, BLOCK, MAP = 1 << 12, 1 << 20, 1 << 20
+#: For rounding: sizes are whole numbers.
+TINY = 1e-6
+
+
+def prefix(own: np.ndarray, least: float, frequent: np.ndarray) -> np.ndarray:
+    """The first hashes of a sorted set, of which another set of similarity ``least`` holds one among its own; ``frequent`` is sorted."""
+    if len(frequent):
+        late = frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own
+        own = np.concatenate([own[~late], own[late]])
+    return own[: len(own) - int(np.ceil(least * len(own) - TINY)) + 1]
+
+
+def needed(both: np.ndarray, least: float) -> np.ndarray:
+    """What sets of ``both`` hashes, counted together, must have in common."""
+    return np.ceil(both * (least / (1 + least)) - TINY)
+
+
+def meetings(task: np.ndarray, major: np.ndarray, home: np.ndarray, own: np.ndarray, root: np.ndarray, n: np.ndarray, at: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of texts (a, b) of one task that may have the similarity, and not the same root (0: none).
+
+    ``own`` is a text's number, ``n`` the size of its set, ``at`` the place of the task's hash in its order: if it is the first that
+    two sets share, no more than n - at can be common.  ``major`` texts are of one root each task, so they don't meet each other;
+    two others meet if the smaller one is at ``home``.
+    """
+    order = np.lexsort((own, n, major, task))
+    task, major, home, own, root, n, at = (x[order] for x in (task, major, home, own, root, n, at))
+    part = 2 * np.cumsum(np.append(False, task[1:] != task[:-1])) + major
+    n, span = n.astype(np.int64), np.int64(n.max(initial=0) + 1)
+    place = part * span + n
+    i = np.flatnonzero(~major)
+    most, fewest = np.minimum(n[i] / least + TINY, span - 1).astype(np.int64), np.ceil(n[i] * least - TINY).astype(np.int64)
+    until = np.searchsorted(place, part[i] * span + most, "right")
+    begin = np.concatenate([i + 1, np.searchsorted(place, (part[i] + 1) * span + fewest, "left")])
+    end = np.concatenate([np.where(home[i], until, i + 1), np.searchsorted(place, (part[i] + 1) * span + most, "right")])
+    i = np.concatenate([i, i])
+    some = end > begin
+    i, begin, total = i[some], begin[some], np.cumsum(end[some] - begin[some])
+    k = 0
+    while k < len(i):
+        before = total[k - 1] if k else 0
+        stop = max(int(np.searchsorted(total, before + BLOCK)), k + 1)
+        width = np.diff(total[k:stop], prepend=before)
+        x = np.repeat(i[k:stop], width)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(width) - width - begin[k:stop], width)
+        need = needed(n[x] + n[y], least)
+        keep = (n[x] - at[x] >= need) & (n[y] - at[y] >= need) & ((root[x] != root[y]) | (root[x] == 0))
+        yield own[x[keep]], own[y[keep]]
+        k = stop
+
+
+def largest(key: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Of keys and roots in order, which places are of the key's most frequent root (0 is none)."""
+    new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (root[1:] != root[:-1])))
+    size = np.diff(np.append(new, len(key)))
+    weight = np.where(root[new] == 0, 0, size)
+    order = np.lexsort((weight, key[new]))
+    last = order[np.append(key[new][order][1:] != key[new][order][:-1], True)]
+    best = np.zeros(len(new), bool)
+    best[last[weight[last] > 1]] = True
+    return np.repeat(best, size)
+
+
+def prefix_pairs(texts: DataFrame, words: int, least: float, frequent: np.ndarray) -> DataFrame:
+    """(a, b), a < b: of (doc_id, root, text), all pairs of different roots (0: none) that may have the similarity; none that has it is missing.
+
+    The prefix hashes of all texts are dealt by hash, packed.  A hash that no two texts share is gone then, and one
+    that only texts of one root share.  Texts of a hash are paired at once, or in tasks if they are many: those of the
+    hash's most frequent root are dealt into parts, the others go to every part.
+    """
+    spark = texts.sparkSession
+    buckets, many, parts_most = n_buckets(spark), KEY, PARTS
+    kinds = ("<u8", "<i8", "<i8", "<i4", "<i4")
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        held, size = [], 0
+
+        def flush() -> Iterator[tuple]:
+            keys = mix64(np.concatenate([h[0] for h in held]))
+            sizes = [len(h[0]) for h in held]
+            cols = [np.repeat(np.array([h[k] for h in held], t), sizes) for k, t in ((1, np.int64), (2, np.int64), (3, np.int32))]
+            cols.append(np.concatenate([np.arange(m, dtype=np.int32) for m in sizes]))
+            order = np.argsort(keys)
+            keys, cols = keys[order], [c[order] for c in cols]
+            for bucket, (lo, hi) in enumerate(zip(*(x.tolist() for x in by_bucket(keys, buckets)))):
+                if hi > lo:
+                    yield bucket, 0, pack(keys[lo:hi], *(c[lo:hi] for c in cols), spread=True)
+
+        for b in batches:
+            for i, r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), text_bytes(b.column(2))):
+                own = np.unique(shingles(t, words))
+                if len(own):
+                    held.append((prefix(own, least, frequent), i, r, len(own)))
+                    size += len(held[-1][0])
+                if size >= HELD:
+                    yield from flush()
+                    held, size = [], 0
+        if held:
+            yield from flush()
+
+    ddl = "key long, part int, major boolean, home boolean, a long, b long, root long, n int, at int"
+    schema = arrow_schema(ddl)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in grouped(batches):
+            key, own, root, n, at = (np.concatenate(x) for x in zip(*(unpack(blob, *kinds, spread=True) for _, blob in held)))
+            order = np.lexsort((root, key))
+            key, own, root, n, at = (x[order] for x in (key, own, root, n, at))
+            major = largest(key, root)
+            new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            count = np.diff(np.append(new, len(key)))
+            use = (count > 1) & (np.add.reduceat(major, new, dtype=np.int64) < count)
+            parts = np.where(use, np.minimum(-(-count // many), parts_most), 0)
+            parts = np.repeat(parts, count)
+            x = parts == 1
+            if x.any():
+                for a, b in meetings(key[x], major[x], np.ones(int(x.sum()), bool), own[x], root[x], n[x], at[x], least):
+                    a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else (a, b)
+                    none = np.zeros(len(a), np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (none.astype(np.int64), none - 1, none > 0, none > 0, a, b, none.astype(np.int64), none, none)], schema=schema)
+            x = np.flatnonzero(parts > 1)
+            mine = (mix64(own[x].view(np.uint64)) % parts[x].astype(np.uint64)).astype(np.int32)
+            times = np.where(major[x], 1, parts[x])
+            part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            x, mine = np.repeat(x, times), np.repeat(mine, times)
+            part = np.where(major[x], mine, part).astype(np.int32)
+            for k in range(0, len(x), 1 << 16):
+                z, p, m = (v[k : k + (1 << 16)] for v in (x, part, mine))
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key[z].view(np.int64), p, major[z], p == m, own[z], own[z], root[z], n[z], at[z])], schema=schema)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, last, number = [], 0, None, 0
+
+        def join() -> Iterator[pa.RecordBatch]:
+            for a, b in meetings(*(np.concatenate(c) for c in zip(*held)), least):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=arrow_schema("a long, b long"))
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, part, major, home, own, _, root, n, at = (b.column(k).to_numpy(zero_copy_only=False) for k in range(9))
+            change = np.append((int(key[0]), int(part[0])) != last, (key[1:] != key[:-1]) | (part[1:] != part[:-1]))
+            last = (int(key[-1]), int(part[-1]))
+            task = number + np.cumsum(change)
+            number = int(task[-1])
+            first = int(np.argmax(change)) if change.any() else b.num_rows
+            for lo, hi in ((0, first), (first, b.num_rows)):
+                if lo == first and size >= BLOCK >> 4 and hi > lo:
+                    yield from join()
+                    held, size = [], 0
+                if hi > lo:
+                    held.append(tuple(c[lo:hi] for c in (task, major.astype(bool), home.astype(bool), own, root, n, at)))
+                    size += hi - lo
+        if held:
+            yield from join()
+
+    met = staged(deal(map_rows(texts, chunks, PACKED)).mapInArrow(meet, ddl), "met")
+    tasks = met.where("part >= 0").repartition(n_shuffle(spark), "key", "part").sortWithinPartitions("key", "part")
+    return met.where("part < 0").select("a", "b").union(tasks.mapInArrow(finish, "a long, b long")).distinct()
+
+
+def bitmap(own: np.ndarray) -> bytes:
+    """Whether the hashes of a set that fall on a bit are odd in number; four bits a hash or more, up to MAP."""
+    bits = min(max(64, 1 << (4 * len(own)).bit_length()), MAP)
+    odd = np.bincount((mix64(own) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """So many hashes at least are in one of two sets only, by their bitmaps; the larger is folded to the size of the other."""
+    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum(dtype=np.int64))
+
+
+def possible(pairs: DataFrame, texts: DataFrame, least: float, words: int) -> DataFrame:
+    """The (a, b) of ``pairs`` but for those whose bitmaps show that their similarity is under ``least``."""
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for node, t in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
+                own = np.unique(shingles(t, words))
+                yield node, len(own), bitmap(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for a, b, n, m, x, y in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                if apart(x, y) <= n + m - 2 * needed(n + m, least):
+                    yield a, b
+
+    each = staged(map_rows(texts, maps, "node long, n long, bits binary"), "bitmaps")
+    joined = pairs
+    for c in "ba":
+        joined = joined.join(each.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")), c)
+    return map_rows(joined.select("a", "b", "n_a", "n_b", "bits_a", "bits_b"), run, "a long, b long")
+
+
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, limit: int = 3) -> DataFrame:
-    """(doc_id, component_id): groups of texts that pairs of shingle similarity ``least`` or more connect.
+    """(doc_id, component_id): groups of texts that pairs of shingle similarity ``least`` (above 0) or more connect.
 
-    Ids must be distinct.  Similarity is the part that two texts' sets of ``words``-word shingles share of their union.  Pairs are
-    found by fingerprints within ``limit`` bits and by bands, and each is checked by its whole sets, so no other texts
-    are linked; what is found of the pairs is a matter of chance (see BANDS).  Texts without words are one group.
+    Ids must be distinct and not null.  Similarity is the part that two texts' sets of ``words``-word shingles share of their union.
+    Fingerprints within ``limit`` bits and bands find most pairs; then the pairs between the groups so far are sought by prefixes, which
+    leave out none.  Each pair is checked by its whole sets, so no other texts are linked.  (Shingles and sets are told apart by 64-bit hashes.)
+    Texts without words are one group.
     """
     each = staged(sketches(df, id_col, text_col, words), "sketches")
     nodes = staged(each.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
+    all_texts = docs_of(df, id_col, (text_col, "text"))
+    texts_of = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     pairs = settle(lambda: candidate_pairs(nodes, limit), "pairs").df()
-    met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = nodes.join(met, "node").select("node", F.col("low").alias("doc_id")).join(docs_of(df, id_col, (text_col, "text")), "doc_id").select("node", "text")
+    texts = nodes.join(texts_of(pairs), "node").select("node", F.col("low").alias("doc_id")).join(all_texts, "doc_id").select("node", "text")
     root = groups(settle(lambda: alike(pairs, staged(texts, "pair-texts"), least, words), "alike").df())
-    return each.select("doc_id", "node").join(root, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))
+    found = staged(nodes.join(root, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("linked")), "found")
+    # what is between the groups; a text has the number of its first document now
+    rows = each.select(F.explode("often").alias("hash")).groupBy("hash").count().orderBy(F.desc("count"), "hash").limit(FREQUENT).collect()
+    frequent = np.sort(np.array([r.hash for r in rows], np.int64).view(np.uint64))
+    tidy(df.sparkSession)
+    chosen = found.select(F.col("low").alias("doc_id"), F.when(F.col("linked"), F.col("root")).otherwise(0).alias("root"))
+    more = settle(lambda: prefix_pairs(chosen.join(all_texts, "doc_id").select("doc_id", "root", "text"), words, least, frequent), "more-pairs").df()
+    late = staged(texts_of(more).withColumnRenamed("node", "doc_id").join(all_texts, "doc_id").select(F.col("doc_id").alias("node"), "text"), "more-texts")
+    left = settle(lambda: possible(more, late, least, words), "possible").df()
+    new = settle(lambda: alike(left, late, least, words), "more-alike").df()
+    for c in "ab":
+        new = new.join(found.select(F.col("low").alias(c), F.col("root").alias(f"root_{c}")), c)
+    top = groups(new.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    own = found.join(top.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("component_id"))
+    return each.select("doc_id", "node").join(own, "node").select("doc_id", "component_id")

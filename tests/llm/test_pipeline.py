@@ -3,9 +3,10 @@ from collections import Counter
 
 import corpus_pipeline as p
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tarn.llm import language_id, line_dedup
+from tarn.llm import fingerprints, language_id, line_dedup
 
 
 def test_stages(spark):
@@ -50,6 +51,49 @@ def test_near_copies_of_similarity_above_the_bound(spark):
     assert kept - set(near) == {i for i, _ in rows} - set(near)
 
 
+@pytest.mark.parametrize("key, parts, held, block", [(fingerprints.KEY, fingerprints.PARTS, fingerprints.HELD, fingerprints.BLOCK), (3, 5, 2000, 64)])
+def test_no_near_copy_is_missed(spark, monkeypatch, key, parts, held, block):
+    """Large groups around the bound, where a key's texts are mostly of one group; all pairs are compared here."""
+    for name, value in (("KEY", key), ("PARTS", parts), ("HELD", held), ("BLOCK", block)):
+        monkeypatch.setattr(fingerprints, name, value)
+    rng = np.random.default_rng(3)
+    texts = ["", None, "a b", "A b", "one two three four five"]
+    for length, many, edits in ((150, 250, (2, 7)), (60, 120, (1, 3)), (400, 60, (3, 15))):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, length)]
+        for _ in range(many):
+            w = list(base)
+            for at in rng.choice(length, int(rng.integers(*edits)), replace=False):
+                w[at] = f"x{rng.integers(10**6)}"
+            texts.append(" ".join(w))
+        texts += [" ".join([*base[:40], *(f"y{x}" for x in rng.integers(0, 10**6, 100))]) for _ in range(40)]
+    texts += texts[5:15]
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set() for w in words]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            union = len(sets[a] | sets[b])
+            if root[a] != root[b] and (not union or len(sets[a] & sets[b]) / union >= 0.8):
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    assert 100 < len(set(root)) < len(texts) - 100
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
+    group = {r.doc_id: r.component_id for r in fingerprints.similar_groups(df, id_col="row").collect()}
+    low = {}
+    for i in sorted(group):
+        low.setdefault(group[i], i)
+    assert [low[group[i]] for i in range(len(texts))] == root
+
+
+def test_bitmaps_never_say_too_much():
+    rng = np.random.default_rng(4)
+    for n, m, both in ((0, 0, 0), (1, 3, 1), (300, 310, 250), (100, 900, 90), (5000, 70, 0)):
+        x = np.unique(rng.integers(0, 1 << 64, n + m - both, np.uint64))
+        a, b = x[:n], x[n - both :]
+        bits = fingerprints.apart(fingerprints.bitmap(a), fingerprints.bitmap(b))
+        assert bits <= n + m - 2 * both and (bits >= 0.6 * (n + m - 2 * both) or max(n, m) > 2 * min(n, m))
+
+
 def test_language_without_labels(spark):
     docs = spark.createDataFrame([(1, "ein Text", None, "s", 8), (2, "123 456", None, "s", 7), (3, None, None, "s", 0), (4, "ñ", None, None, 1)], "doc_id long, text string, lang string, source string, n_chars long")
     got = p.language(spark, docs, "")
