@@ -556,7 +556,7 @@ def prefix_pairs(texts: DataFrame, words: int, least: float, frequent: np.ndarra
         if held:
             yield from join()
 
-    met = staged(deal(map_rows(texts, chunks, PACKED)).mapInArrow(meet, ddl), "met")
+    met = Stage(deal(map_rows(texts, chunks, PACKED)).mapInArrow(meet, ddl), "met", release=True).df()
     tasks = met.where("part >= 0").repartition(n_shuffle(spark), "key", "part").sortWithinPartitions("key", "part")
     return met.where("part < 0").select("a", "b").union(tasks.mapInArrow(finish, "a long, b long")).distinct()
 
