@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, SLICE, Stage, arrow_schema, by_bucket, deal, docs_of, grouped, map_rows, mix64, n_buckets, n_shuffle, pack, settle, slices_of, staged, text_bytes, tidy, unpack
+from .common import PACKED, SLICE, Stage, arrow_schema, by_bucket, deal, docs_of, give_back, grouped, map_rows, mix64, n_buckets, n_shuffle, pack, settle, slices_of, staged, text_bytes, tidy, unpack
 
 BITS = 64
 UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -379,6 +379,13 @@ def candidate_pairs(nodes: DataFrame, limit: int) -> DataFrame:
     return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
+def few_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that of the rows of a batch only FEW are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, FEW):
+            yield b.slice(at, FEW)
+
+
 def alike(pairs: DataFrame, texts: DataFrame, least: float, words: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose texts, of (node, text), have a shingle similarity of ``least`` or more."""
     # texts of a hot node are split by adaptive execution; its rows come one after the other, so its set is made once
@@ -386,7 +393,7 @@ def alike(pairs: DataFrame, texts: DataFrame, least: float, words: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         held, own = None, None
-        for batch in batches:
+        for batch in few_rows(batches):
             for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), text_bytes(batch.column(3))):
                 if a != held:
                     held, own = a, np.unique(shingles(x, words))
@@ -401,6 +408,8 @@ def alike(pairs: DataFrame, texts: DataFrame, least: float, words: int) -> DataF
 
 #: Texts of a key whose pairs are made where the key is; pairs that are looked at together; bits of a bitmap, at most.
 KEY, BLOCK, MAP = 1 << 12, 1 << 20, 1 << 20
+#: Rows of a batch that a task sends on; rows with two texts or bitmaps that are unpacked at a time.
+ROWS, FEW = 1 << 16, 1 << 8
 #: For rounding: sizes are whole numbers.
 TINY = 1e-6
 
@@ -410,7 +419,7 @@ def prefix(own: np.ndarray, least: float, frequent: np.ndarray) -> np.ndarray:
     if len(frequent):
         late = frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own
         own = np.concatenate([own[~late], own[late]])
-    return own[: len(own) - int(np.ceil(least * len(own) - TINY)) + 1]
+    return own[: len(own) - int(np.ceil(least * len(own) - TINY)) + 1].copy()  # a view would hold the whole set
 
 
 def needed(both: np.ndarray, least: float) -> np.ndarray:
@@ -499,6 +508,8 @@ def prefix_pairs(texts: DataFrame, words: int, least: float, frequent: np.ndarra
                     held, size = [], 0
         if held:
             yield from flush()
+        held = []
+        give_back()
 
     ddl = "key long, part int, major boolean, home boolean, a long, b long, root long, n int, at int"
     schema = arrow_schema(ddl)
@@ -518,24 +529,29 @@ def prefix_pairs(texts: DataFrame, words: int, least: float, frequent: np.ndarra
             if x.any():
                 for a, b in meetings(key[x], major[x], np.ones(int(x.sum()), bool), own[x], root[x], n[x], at[x], least):
                     a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else (a, b)
-                    none = np.zeros(len(a), np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (none.astype(np.int64), none - 1, none > 0, none > 0, a, b, none.astype(np.int64), none, none)], schema=schema)
+                    for k in range(0, len(a), ROWS):
+                        u, v = a[k : k + ROWS], b[k : k + ROWS]
+                        none = np.zeros(len(u), np.int32)
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (none.astype(np.int64), none - 1, none > 0, none > 0, u, v, none.astype(np.int64), none, none)], schema=schema)
             x = np.flatnonzero(parts > 1)
             mine = (mix64(own[x].view(np.uint64)) % parts[x].astype(np.uint64)).astype(np.int32)
             times = np.where(major[x], 1, parts[x])
             part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
             x, mine = np.repeat(x, times), np.repeat(mine, times)
             part = np.where(major[x], mine, part).astype(np.int32)
-            for k in range(0, len(x), 1 << 16):
-                z, p, m = (v[k : k + (1 << 16)] for v in (x, part, mine))
+            for k in range(0, len(x), ROWS):
+                z, p, m = (v[k : k + ROWS] for v in (x, part, mine))
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key[z].view(np.int64), p, major[z], p == m, own[z], own[z], root[z], n[z], at[z])], schema=schema)
+        give_back()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last, number = [], 0, None, 0
 
         def join() -> Iterator[pa.RecordBatch]:
             for a, b in meetings(*(np.concatenate(c) for c in zip(*held)), least):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=arrow_schema("a long, b long"))
+                for k in range(0, len(a), ROWS):
+                    u, v = a[k : k + ROWS], b[k : k + ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], schema=arrow_schema("a long, b long"))
 
         for b in batches:
             if not b.num_rows:
@@ -584,7 +600,7 @@ def possible(pairs: DataFrame, texts: DataFrame, least: float, words: int) -> Da
                 yield node, len(own), bitmap(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
+        for batch in few_rows(batches):
             for a, b, n, m, x, y in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 if apart(x, y) <= n + m - 2 * needed(n + m, least):
                     yield a, b

@@ -3,6 +3,7 @@ from collections import Counter
 
 import corpus_pipeline as p
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,17 @@ def test_bitmaps_never_say_too_much():
         assert bits <= n + m - 2 * both and (bits >= 0.6 * (n + m - 2 * both) or max(n, m) > 2 * min(n, m))
 
 
+def test_what_near_copies_hold_is_bounded():
+    """A held prefix doesn't keep its set, and rows with texts are unpacked few at a time."""
+    own = np.unique(np.random.default_rng(5).integers(0, 1 << 64, 1000, np.uint64))
+    for frequent in (np.zeros(0, np.uint64), own[::3].copy()):
+        first = fingerprints.prefix(own, 0.8, frequent)
+        assert first.base is None and len(first) == 201
+    batch = pa.RecordBatch.from_pydict({"a": list(range(1000))})
+    parts = list(fingerprints.few_rows(iter([batch, batch.slice(0, 0), batch.slice(0, 3)])))
+    assert max(p.num_rows for p in parts) <= fingerprints.FEW and [x for p in parts for x in p.column(0).to_pylist()] == [*range(1000), 0, 1, 2]
+
+
 def test_language_without_labels(spark):
     docs = spark.createDataFrame([(1, "ein Text", None, "s", 8), (2, "123 456", None, "s", 7), (3, None, None, "s", 0), (4, "ñ", None, None, 1)], "doc_id long, text string, lang string, source string, n_chars long")
     got = p.language(spark, docs, "")
