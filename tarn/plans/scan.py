@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import decimal
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -189,6 +191,18 @@ def inlined_values(result: ScanResult) -> list[tuple]:
     return [(i, *(decode(values[c.field_id], c) if c.field_id in values else c.initial_default for c in result.table.columns)) for i, values in result.inlined]
 
 
+@contextlib.contextmanager
+def few_listings(spark: SparkSession) -> Iterator[None]:
+    """Spark looks files up in as many tasks as there are paths, up to 10,000; here a few for each core, with many paths each."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, str(4 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old) if old is not None else spark.conf.unset(key)
+
+
 ROW, FILE, POSITION = "__row_id", "__file", "__position"
 
 
@@ -209,7 +223,8 @@ def to_df(lake, result: ScanResult, where: str | None = None, include_file_paths
     paths = Files(spark)
 
     def read(some: list[ScanDataFile]) -> DataFrame:
-        df = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*[f.path for f in some])
+        with few_listings(spark):
+            df = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*[f.path for f in some])
         extra = [F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias(FILE), F.col("_metadata.row_index").alias(POSITION)] if some else [F.lit(None).cast("string").alias(FILE), F.lit(None).cast("long").alias(POSITION)]
         return df.select(*[f"`{c.name}`" for c in t.columns], *extra)
 

@@ -43,6 +43,23 @@ def plain(path: str) -> str:
     return path
 
 
+class Mounted:
+    """Files in a folder that this process sees, without Hadoop; executors have no other way to them from Python."""
+
+    @staticmethod
+    def has(path: str) -> bool:
+        local = plain(path)
+        return local.startswith("/") and os.path.exists(local)
+
+    def size(self, path: str) -> int:
+        return os.path.getsize(plain(path))
+
+    def tail(self, path: str, n: int) -> bytes:
+        with open(plain(path), "rb") as f:
+            f.seek(max(0, self.size(path) - n))
+            return f.read()
+
+
 class Files:
     """Listing, reading tails, deleting."""
 
@@ -67,6 +84,24 @@ class Files:
                 out.append(FileInfo(plain(f.getPath().toString()), f.getLen(), f.getModificationTime()))
         return sorted(out, key=lambda f: f.path)
 
+    def below(self, path: str, depth: int = 0) -> list[str]:
+        """Paths of the files ``depth`` folders below a folder, as list() has them, by a few calls to the JVM however many they are.
+
+        list() asks for the owner of each file, for which Hadoop starts a process where files are local.
+        """
+        fs, p = self.at(path)
+        if not fs.exists(p):
+            return []
+        hadoop, java, make = self.jvm.org.apache.hadoop, self.jvm.java, self.spark.sparkContext._gateway.new_array
+        found = make(hadoop.fs.Path, 1)
+        found[0] = p
+        for _ in range(depth + 1):
+            found = hadoop.fs.FileUtil.stat2Paths(fs.listStatus(found))
+        objects = make(java.lang.Object, len(found))
+        java.lang.System.arraycopy(found, 0, objects, 0, len(found))
+        names = str(hadoop.util.StringUtils.join("\0", java.util.Arrays.asList(objects)))
+        return sorted(plain(x) for x in names.split("\0") if x and not x.rpartition("/")[2].startswith(("_", ".")))
+
     def size(self, path: str) -> int:
         fs, p = self.at(path)
         return fs.getFileStatus(p).getLen()
@@ -86,11 +121,8 @@ class Files:
         return re.sub("^file:/+", "file:/", fs.makeQualified(p).toUri().toString())
 
     def tail(self, path: str, n: int) -> bytes:
-        local = plain(path)
-        if local.startswith("/") and os.path.exists(local):
-            with open(local, "rb") as f:
-                f.seek(max(0, os.path.getsize(local) - n))
-                return f.read()
+        if Mounted.has(path):
+            return Mounted().tail(path, n)
         fs, p = self.at(path)
         size = fs.getFileStatus(p).getLen()
         stream = fs.open(p)

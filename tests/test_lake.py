@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 import tarn
 from tarn import Column, Schema, errors
 from tarn import types as t
+from tarn.sources import footers
+from tarn.sources.storage import Files
 from tarn.streaming.sink import append_stream
 
 
@@ -508,3 +510,38 @@ def test_dialects():
         many = Recorder()
         store.Session(s, many).insert("tag", [{"object_id": k, "key": "k", "value": "v"} for k in range(50_000)])
         assert len(many.texts) == 3
+
+
+def test_small_targets_are_met(spark, lake, monkeypatch):
+    """Files come near a small target, whatever the types guess; their statistics are the same read by the executors or by the driver."""
+    rows = spark.range(0, 40_000, numPartitions=2).selectExpr("id AS x", "'f' AS flag", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, CAST(id % 99 AS INT)) AS at", "CAST(id % 50 AS DOUBLE) AS q")
+    a = lake.create_table("a", rows.schema)
+    a.set_metadata(target_file_size="20kb", parquet_row_group_size=1000, parquet_compression="zstd")
+    a.sink(rows)
+    files = a.scan().files
+    sizes = sorted(f.bytes for f in files)
+    assert len(files) > 2 and 12_000 < sizes[len(sizes) // 2] < 28_000 and a.count() == a.to_df().count() == 40_000
+    driver = footers.read_all(Files(spark), [f.path for f in files], a.definition().columns)
+    monkeypatch.setattr(footers, "FEW", 1)
+    assert footers.read_all(Files(spark), [f.path for f in files], a.definition().columns) == driver
+    folder = files[0].path.rpartition("/")[0]
+    assert Files(spark).below(folder) == [f.path for f in Files(spark).list(folder)]
+    up, down = folder.rpartition("/")[0], Files(spark).below(folder.rpartition("/")[0], 1)
+    assert down == [f.path for f in Files(spark).list(up)] and Files(spark).below(f"{up}/none") == []
+
+
+def test_look_up_of_many_files_takes_few_tasks(spark, lake):
+    a = lake.create_table("a", {"x": t.Int64()})
+    for k in range(3):
+        a.sink(spark.range(100 * k, 100 * k + 100, numPartitions=20).select(F.col("id").alias("x")))
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.sparkContext.setJobGroup("look-up", "")
+    try:
+        df = a.to_df()
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("look-up")
+        stages = [spark.sparkContext.statusTracker().getStageInfo(s) for j in jobs for s in spark.sparkContext.statusTracker().getJobInfo(j).stageIds]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(a.scan().files) == 60 and stages and max(s.numTasks for s in stages) <= 4 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get(key) == before and df.count() == 300
