@@ -10,13 +10,14 @@ import contextlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import lake as lakes
+from .sources.storage import Files
 from .types import Column, DataType
 from .types import List as ListOf
 from .types import Schema, Struct
@@ -504,25 +505,55 @@ def stream_two_sources(spark, sf_dir):
     return t.to_df().groupBy("event_id").agg(F.count("*").alias("n"))
 
 
-def windowed(spark, sf_dir, shape, delay: str = "1 hour") -> DataFrame:
-    """Counts by window of event time over a stream with a watermark; a last event far ahead closes all windows.
+#: Events of a micro-batch, about.
+BATCH_EVENTS = 1_000_000
 
-    The stream's results are appended to a table of a lake, one commit a batch.
-    """
-    import os
 
+def in_time_order(events: DataFrame, folder: str) -> Iterator[None]:
+    """Events into files of about BATCH_EVENTS rows each, in the order of time; at each turn one more is there."""
+    n = -(-events.count() // BATCH_EVENTS)
+    if n <= 1:
+        events.coalesce(1).write.parquet(f"{folder}/a")
+        yield
+        return
+    spark, staged = events.sparkSession, f"{folder}_staged"
+    events.repartitionByRange(n, "ts").withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(staged)
+    for k in range(n):
+        if Files(spark).exists(f"{staged}/part={k}"):
+            spark.read.schema(events.schema).parquet(f"{staged}/part={k}").coalesce(1).write.parquet(f"{folder}/a{k:06}")
+            yield
+    Files(spark).delete(staged)
+
+
+def append_stream_of(lake, t, out: DataFrame):
+    """What a stream has to read by now, to its end."""
     from .streaming.sink import append_stream
 
+    q = append_stream(t, out, f"{lake.data_path}_checkpoint", availableNow=True)
+    q.awaitTermination()
+    return q
+
+
+def windowed(spark, sf_dir, shape, delay: str = "1 hour") -> DataFrame:
+    """Counts by window of event time over a stream with a watermark; a last event far ahead closes all windows.
+
+    The stream's results are appended to a table of a lake, one commit a batch.  Batches have a bounded size and come in the order of
+    time, and the stream ends after each with one that has no rows: that closes windows before the next, which takes up all sessions
+    that are still open.
+    """
     lake, events = fresh(spark), source(spark, sf_dir, "events").select(F.concat(F.col("ts").cast("timestamp_ntz").cast("string"), F.lit("Z")).cast("timestamp").alias("ts"), "event_type", "value")
     folder = f"{lake.data_path}_in"
     far = events.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"))
-    events.coalesce(1).write.parquet(f"{folder}/a")
+    turns = in_time_order(events, folder)
+    next(turns)  # the stream needs the folder
     stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(folder)
     out = stream.withWatermark("ts", delay).groupBy(shape.alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.unix_seconds("w.start").alias("begin"), F.unix_seconds("w.end").alias("finish"), "event_type", "n")
     t = lake.create_table("counts", out.schema)
-    append_stream(t, out, f"{lake.data_path}_checkpoint", availableNow=True).awaitTermination()
+    append_stream_of(lake, t, out)
+    for _ in turns:
+        append_stream_of(lake, t, out)
     far.coalesce(1).write.parquet(f"{folder}/b")
-    append_stream(t, out, f"{lake.data_path}_checkpoint", availableNow=True).awaitTermination()
+    append_stream_of(lake, t, out)
     return t.to_df().where("event_type <> 'end'")
 
 
